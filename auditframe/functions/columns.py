@@ -73,15 +73,25 @@ def first_values(counts: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def low_cardinality(counts: DataFrame, limit: int) -> DataFrame:
-    """Values of the columns that have between 1 and ``limit`` distinct values."""
-    per_column = Window.partitionBy("column")
-    return (
-        first_values(counts, limit + 1)
-        .withColumn("_k", F.count("*").over(per_column))
-        .filter(F.col("_k") <= limit)
-        .drop("_k")
-    )
+def columns_within(df: DataFrame, columns: list[str], limit: int) -> list[str]:
+    """The columns with between 1 and ``limit`` distinct values.
+
+    One pass over all columns, in which long strings travel as digests; only
+    the names of the chosen columns reach the driver. A second pass can then
+    read just those columns.
+    """
+    if not columns:
+        return []
+    counts = value_counts(df, columns, whole_values=False).groupBy("column").agg(F.count("value").alias("k"))
+    return [r["column"] for r in counts.filter(F.col("k").between(1, limit)).select("column").collect()]
+
+
+def low_cardinality(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    """(column, value, n) of the columns that have between 1 and ``limit`` distinct values, NULLs left out."""
+    kept = columns_within(df, columns, limit)
+    if not kept:
+        return df.sparkSession.createDataFrame([], "column STRING, value STRING, n BIGINT")
+    return value_counts(df, kept).filter("value IS NOT NULL")
 
 
 def batches(items: list, size: int) -> list[list]:

@@ -162,6 +162,53 @@ VIEWS: dict[str, str] = {
                CAST(substr(column_name, 2) AS INT) % 10 = 0 AS is_key,
                CAST(substr(column_name, 2) AS INT) % 17 = 0 AS hidden
         FROM (SELECT DISTINCT table_name, column_name FROM {column_usage}) AS d""",
+    "named_columns": """
+        SELECT 'tbl' || CAST(CAST(floor(p_partkey / 12) AS BIGINT) AS STRING) AS table_name,
+               CASE p_partkey % 12
+                    WHEN 0 THEN 'order_status' WHEN 1 THEN 'customer_email' WHEN 2 THEN 'is_active'
+                    WHEN 3 THEN 'etl_batch' WHEN 4 THEN 'product_category' WHEN 5 THEN 'notes'
+                    WHEN 6 THEN 'total_amount' WHEN 7 THEN 'raw_payload' WHEN 8 THEN 'region_code'
+                    WHEN 9 THEN 'order_id' WHEN 10 THEN 'created_at' ELSE 'load_key' END AS column_name,
+               CASE p_partkey % 12 WHEN 6 THEN 'decimal(10,2)' WHEN 9 THEN 'bigint' WHEN 10 THEN 'timestamp'
+                    WHEN 11 THEN 'int' ELSE 'string' END AS data_type,
+               CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 'one of the valid values for ' || p_type
+                    WHEN 2 THEN 'internal audit column of ' || p_brand WHEN 3 THEN 'sensitive ' || p_type
+                    ELSE p_type || ' sold as ' || p_brand END AS description,
+               CAST(CASE WHEN p_size % 7 = 0 THEN 0 WHEN p_size % 7 = 1 THEN 1
+                         ELSE p_size * (p_size % 7) * 5 END AS BIGINT) AS cardinality,
+               CAST(2000 AS BIGINT) AS row_count,
+               p_size % 11 = 3 AS referenced,
+               CASE p_size % 13 WHEN 0 THEN 'tainted' WHEN 1 THEN 'unknown' ELSE 'clean' END AS verdict,
+               p_size % 4 = 0 AS enabled
+        FROM {part}""",
+    "literals": """
+        SELECT DISTINCT 'event_type' AS column_name,
+               CASE user_id % 4 WHEN 0 THEN upper(event_type) WHEN 1 THEN event_type || 's'
+                    WHEN 2 THEN event_type || ' only' ELSE event_type END AS literal
+        FROM {events}""",
+    "timed_questions": """
+        SELECT o_orderkey AS question_id, o_custkey,
+               CASE o_orderkey % 6 WHEN 0 THEN 'Returns this year for customer ' WHEN 1 THEN 'Last 30 days of returns of '
+                    WHEN 2 THEN 'Returns YTD, customer ' WHEN 3 THEN 'Returns in the past 2 months of '
+                    WHEN 4 THEN 'All returns of ' ELSE 'Yearly returns of ' END
+                 || CAST(o_custkey AS STRING) AS question
+        FROM {orders}""",
+    "eval_details": """
+        SELECT e.run_id, e.question_id, e.question_id % 3 AS iteration, e.candidate_assessment AS assessment,
+               CASE WHEN e.question_id % 4 = 0 THEN NULL WHEN e.question_id % 4 = 1 THEN 'missing_filter'
+                    WHEN e.question_id % 4 = 2 THEN 'wrong_join,missing_filter' ELSE 'wrong_grain' END AS reasons
+        FROM {eval_rows} e""",
+    "question_states": """
+        SELECT doc_id AS question_id, CAST(toxic AS STRING) AS sql_text FROM {labels} WHERE quality = 1""",
+    "dispositions": """
+        SELECT l_orderkey AS question_id,
+               CASE l_returnflag WHEN 'N' THEN 'passed' WHEN 'A' THEN 'warning' ELSE 'excluded' END AS disposition
+        FROM {lineitem}""",
+    "directory": """
+        SELECT DISTINCT 's' || CAST(c_custkey % 60 AS STRING) AS space_id,
+               'Agent ' || CAST(c_custkey % 60 AS STRING) AS title FROM {customer}""",
+    "stars": """
+        SELECT DISTINCT 's' || CAST((s_suppkey % 12) * 5 AS STRING) AS space_id FROM {supplier}""",
     "mutations": """
         SELECT 'run' || CAST(doc_id % 4 AS STRING) AS run_id, doc_id AS question_id,
                CASE doc_id % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'excluded' WHEN 2 THEN 'removed'
