@@ -99,3 +99,28 @@ def next_time(rows: DataFrame, events: DataFrame, key: str, row_time: str, event
     later = Window.partitionBy("_k").orderBy("_s").rowsBetween(1, Window.unboundedFollowing)
     carry = slices.withColumn("_after", F.min("_first").over(later)).drop("_first")
     return both.join(carry, ["_k", "_s"], "left").select("_row.*", F.coalesce("_in", "_after").alias("next_time"))
+
+
+def kth_free(rows: DataFrame, taken: DataFrame, keys: list[str], k: str, number: str, name: str, start: int = 1) -> DataFrame:
+    """Add ``name``: the ``k``-th integer from ``start`` on that ``taken`` does not hold for the row's key.
+
+    ``taken`` is (keys, number). Between two taken numbers the answer is
+    ``start - 1 + k`` plus the taken numbers below, so each key needs one row
+    per gap and every row falls into exactly one of them.
+    """
+    used = taken.filter(F.col(number) >= start).select(*keys, F.col(number).alias("_u")).distinct()
+    below = F.row_number().over(Window.partitionBy(*keys).orderBy("_u"))
+    gaps = (
+        used.withColumn("_below", below)
+        .groupBy(*keys, (F.col("_u") - F.lit(start - 1) - F.col("_below")).alias("_free"))
+        .agg(F.max("_below").alias("_below"))
+    )
+    gaps = gaps.withColumn("_until", F.lead("_free").over(Window.partitionBy(*keys).orderBy("_free")))
+    same = F.lit(True)
+    for key in keys:
+        same = same & (F.col(f"r.{key}") == F.col(f"g.{key}"))
+    inside = (F.col(f"r.{k}") > F.col("g._free")) & (F.col("g._until").isNull() | (F.col(f"r.{k}") <= F.col("g._until")))
+    shift = F.coalesce(F.col("g._below"), F.lit(0))
+    return rows.alias("r").join(gaps.alias("g"), same & inside, "left").select(
+        "r.*", (F.lit(start - 1) + F.col(f"r.{k}") + shift).cast("int").alias(name)
+    )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.functions.ranking import number_rows
+from auditframe.functions.ranking import kth_free, number_rows
 from auditframe.functions.stats import sign_tail_column
 from auditframe.operators.io import latest_wins
 
@@ -180,22 +180,12 @@ def trajectory(iterations: DataFrame) -> DataFrame:
     recovered = ~F.col("is_baseline") & (_scope() == "full") & (F.col("iteration") == 0) & unnumbered
     marked = marked.withColumn("_rec", recovered)
 
-    # Unused numbers: between used numbers, number = rank among the unused + used numbers below it.
-    used = marked.filter("attempt_no > 0").select("run_id", "attempt_no").distinct()
-    w = Window.partitionBy("run_id").orderBy("attempt_no")
-    gaps = used.withColumn("_below", F.row_number().over(w)).groupBy(
-        "run_id", (F.col("attempt_no") - F.col("_below")).alias("_free")
-    ).agg(F.max("_below").alias("_below"))
-    until = F.lead("_free").over(Window.partitionBy("run_id").orderBy("_free"))
-    gaps = gaps.withColumn("_until", until)
     rec = number_rows(
         marked.filter("_rec"), ["run_id"], F.coalesce("attempt_no", F.lit(-1)) * 1_000_000 + _day(),
         [F.col("attempt_no").asc_nulls_first(), F.col("event_ts"), F.col("ordinal")], "_k",
     )
-    in_gap = (F.col("_k") > F.col("_free")) & (F.col("_until").isNull() | (F.col("_k") <= F.col("_until")))
-    rec = rec.alias("r").join(gaps.alias("g"), (F.col("r.run_id") == F.col("g.run_id")) & in_gap, "left").select(
-        "r.*", (F.col("_k") + F.coalesce("_below", F.lit(0))).cast("int").alias("_new")
-    ).drop("_k")
+    taken = marked.select("run_id", F.col("attempt_no").alias("_taken"))
+    rec = kth_free(rec, taken, ["run_id"], "_k", "_taken", "_new").drop("_k")
     out = marked.filter("NOT _rec").withColumn("_new", F.lit(None).cast("int")).unionByName(rec)
     return out.select(
         "run_id", "ordinal", "iteration", "eval_scope", "event_ts",

@@ -209,6 +209,55 @@ VIEWS: dict[str, str] = {
                'Agent ' || CAST(c_custkey % 60 AS STRING) AS title FROM {customer}""",
     "stars": """
         SELECT DISTINCT 's' || CAST((s_suppkey % 12) * 5 AS STRING) AS space_id FROM {supplier}""",
+    "artifacts": """
+        SELECT d.doc_id AS artifact_id, d.text AS question, d.lang AS kind,
+               'SELECT ' || CAST(d.doc_id % 40 AS STRING) || ', total FROM sales -- ' || d.lang AS sql_text
+        FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id
+        WHERE l.quality IS NULL OR l.quality = 0""",
+    "corpus": """
+        SELECT d.doc_id AS item_id, d.text AS question,
+               'select ' || CAST(d.doc_id % 60 AS STRING) || ',  total from sales /* ' || d.lang || ' */' AS sql_text
+        FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id
+        WHERE l.quality = 1""",
+    "ids_with_suffixes": """
+        SELECT doc_id AS ordinal,
+               'q' || CAST(doc_id % 300 AS STRING) || CASE WHEN doc_id % 17 = 0 THEN ':v3' ELSE '' END AS question_id
+        FROM {documents}""",
+    "qa_pairs": """
+        SELECT o_orderkey AS question_id,
+               CASE o_orderkey % 7
+                 WHEN 0 THEN 'What is the total price for customer ' || CAST(o_custkey AS STRING) || '?'
+                 WHEN 1 THEN 'Compare urgent versus low orders of ' || CAST(o_custkey AS STRING)
+                 WHEN 2 THEN 'Top customers by highest price'
+                 WHEN 3 THEN 'Show me the status of order ' || CAST(o_orderkey AS STRING)
+                 WHEN 4 THEN 'Orders of customer ' || CAST(o_custkey AS STRING) || ' since 1998'
+                 WHEN 5 THEN 'List active customers' ELSE 'Anything else' END AS question,
+               CASE o_orderkey % 8
+                 WHEN 0 THEN 'SELECT sum(o_totalprice) FROM orders WHERE o_custkey = ' || CAST(o_custkey AS STRING)
+                 WHEN 1 THEN 'SELECT o_orderkey FROM orders LIMIT 10'
+                 WHEN 2 THEN 'SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY 1 LIMIT 5'
+                 WHEN 3 THEN 'SELECT * FROM (SELECT o_custkey FROM orders LIMIT 3) AS t ORDER BY o_custkey LIMIT 2'
+                 WHEN 4 THEN 'SELECT o_orderkey FROM orders WHERE o_orderdate < current_date() ORDER BY rand() LIMIT 1'
+                 WHEN 5 THEN 'SELECT o_orderkey FROM orders WHERE note = ''LIMIT 5 now()'' -- uuid() LIMIT 3'
+                 WHEN 6 THEN 'SELECT o_orderkey FROM orders TABLESAMPLE (10 ROWS) WHERE is_active = 1'
+                 ELSE 'SELECT l.l_orderkey FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey' END AS expected_sql,
+               CASE o_orderkey % 5 WHEN 0 THEN 'ranking' WHEN 1 THEN 'detail' ELSE NULL END AS category
+        FROM {orders}""",
+    "instructions": """
+        SELECT o_orderkey AS doc_id,
+               'Use the customer name.' || chr(10)
+                 || CASE o_orderkey % 9
+                      WHEN 0 THEN 'Select a region from the list'
+                      WHEN 1 THEN 'Do not join orders to lineitem'
+                      WHEN 2 THEN 'Revenue: SELECT sum(o_totalprice) FROM orders'
+                      WHEN 3 THEN 'Only rows WHERE o_orderstatus = ''F'' count'
+                      WHEN 4 THEN 'Always group by t.region and order by t.total'
+                      WHEN 5 THEN 'group by t.region, order by t.total'
+                      WHEN 6 THEN 'JOIN lineitem ON l_orderkey'
+                      WHEN 7 THEN 'Rank with ORDER BY total DESC'
+                      ELSE 'Where applicable, say so' END
+                 || chr(10) || 'Order ' || CAST(o_orderkey AS STRING) AS body
+        FROM {orders}""",
     "mutations": """
         SELECT 'run' || CAST(doc_id % 4 AS STRING) AS run_id, doc_id AS question_id,
                CASE doc_id % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'excluded' WHEN 2 THEN 'removed'
