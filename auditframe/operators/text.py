@@ -236,11 +236,11 @@ def exact_leaks(artifacts: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def _fields(corpus: DataFrame, own: str, other: str) -> DataFrame:
-    """Shingles of both corpus fields; the own field ranks first on equal scores."""
+    """Texts of both corpus fields; the own field ranks first on equal scores."""
     def field(name: str, rank: int) -> DataFrame:
         return corpus.select(
             F.struct(F.lit(rank).alias("field_rank"), F.col("item_id").alias("item_id"), F.lit(name).alias("field")).alias("rank"),
-            tx.shingles(F.col(name)).alias("tokens"),
+            F.col(name).alias("text"),
         )
 
     return field(own, 0).unionByName(field(other, 1))
@@ -255,16 +255,14 @@ def ngram_matches(
     right = _fields(corpus, field, other)
     if not both_fields:
         right = right.filter("rank.field_rank = 0")
-    left = artifacts.select("artifact_id", tx.shingles(F.col(field)).alias("tokens"))
-    best = best_jaccard(left, right, threshold, "artifact_id", "rank", right_rank=F.col("rank"))
+    left = artifacts.select("artifact_id", F.col(field).alias("text"))
+    best = best_jaccard(left, right, threshold, "artifact_id", "rank", tx.shingles, right_rank=F.col("rank"))
     return best.select("artifact_id", "match.item_id", "match.field", "score")
 
 
 def token_matches(artifacts: DataFrame, corpus: DataFrame, threshold: float = ECHO_THRESHOLD) -> DataFrame:
     """Best corpus question of each artifact's question by token-set Jaccard without stopwords."""
-    left = artifacts.select("artifact_id", tx.token_set(F.col("question")).alias("tokens"))
-    right = corpus.select("item_id", tx.token_set(F.col("question")).alias("tokens"))
-    return best_jaccard(left, right, threshold, "artifact_id", "item_id").select(
+    return best_jaccard(artifacts, corpus, threshold, "artifact_id", "item_id", tx.token_set, "question").select(
         "artifact_id", F.col("match").alias("item_id"), "score"
     )
 

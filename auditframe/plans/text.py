@@ -215,11 +215,27 @@ def _brute(tokens: str, left: str, right: str, threshold: float) -> str:
 _STOP = "[" + ", ".join(f"'{w}'" for w in fx.STOPWORDS) + ", '']"
 _TOKENS = "list_filter(list_distinct(string_split(" + _CANON + ", ' ')), lambda w: NOT list_contains(" + _STOP + ", w))"
 _SQUEEZED = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+# All 3-grams: the consecutive ones from each of three starting positions.
 _SHINGLES = (
-    "list_distinct(list_transform(range(1, length(" + _SQUEEZED + ") - 1), lambda p: substr(" + _SQUEEZED + ", p, 3)))"
+    "list_distinct(list_concat(regexp_extract_all(" + _SQUEEZED + ", '(?s).{{3}}'), regexp_extract_all((" + _SQUEEZED
+    + ")[2:], '(?s).{{3}}'), regexp_extract_all((" + _SQUEEZED + ")[3:], '(?s).{{3}}')))"
 )
 
 
+def _brute_fields(name: str, own: str, other: str) -> str:
+    """3-grams of an artifact field against both corpus fields, every pair counted."""
+    return f"""
+      {name}_l AS (SELECT artifact_id, unnest({_SHINGLES.format(own)}) AS tok FROM artifacts),
+      {name}_r AS (SELECT 0 AS f, item_id, unnest({_SHINGLES.format(own)}) AS tok FROM corpus
+                   UNION ALL SELECT 1, item_id, unnest({_SHINGLES.format(other)}) FROM corpus),
+      {name}_c AS (SELECT artifact_id, f, item_id, count(*) AS c FROM {name}_l JOIN {name}_r USING (tok) GROUP BY ALL),
+      {name} AS (SELECT artifact_id, item_id, f, c / (a.n + b.n - c) AS score FROM {name}_c
+                 JOIN (SELECT artifact_id, count(*) AS n FROM {name}_l GROUP BY ALL) a USING (artifact_id)
+                 JOIN (SELECT f, item_id, count(*) AS n FROM {name}_r GROUP BY ALL) b USING (f, item_id)
+                 WHERE c / (a.n + b.n - c) >= 0.6
+                 QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY score DESC, f, item_id) = 1)"""
+
+
 @FAMILY.add(
     "tx_token_jaccard",
     oracle(
@@ -231,9 +247,14 @@ def token_jaccard(i):
     return t.token_matches(i.artifacts, i.corpus).withColumn("score", F.round("score", 6))
 
 
-# Splitting whole documents into 3-grams by position is quadratic in DuckDB;
-# tests/test_text.py checks this query against brute force instead.
-@FAMILY.add("tx_ngram_jaccard")
+@FAMILY.add(
+    "tx_ngram_jaccard",
+    oracle(
+        f"""WITH {_brute_fields('m', 'question', 'sql_text')}
+        SELECT artifact_id, item_id, CASE f WHEN 0 THEN 'question' ELSE 'sql_text' END AS field, round(score, 6) AS score FROM m""",
+        "artifacts", "corpus",
+    ),
+)
 def ngram_jaccard(i):
     return t.ngram_matches(i.artifacts, i.corpus).withColumn("score", F.round("score", 6))
 
@@ -299,8 +320,17 @@ def leak_decision(i):
     return df.withColumns({c: F.round(c, 6) for c in ("question_score", "sql_score")})
 
 
-# As tx_ngram_jaccard: whole documents as 3-grams; checked by brute force in the tests.
-@FAMILY.add("tx_leak_counts")
+@FAMILY.add(
+    "tx_leak_counts",
+    oracle(
+        f"""WITH {_brute_fields('q', 'question', 'sql_text')}, {_brute_fields('s', 'sql_text', 'question')},
+        hit AS (SELECT artifact_id FROM q UNION SELECT artifact_id FROM s
+                UNION SELECT artifact_id FROM artifacts
+                WHERE {_PLAIN.format('sql_text')} IN (SELECT {_PLAIN.format('sql_text')} FROM corpus))
+        SELECT kind, count(*) AS leaks FROM artifacts JOIN hit USING (artifact_id) GROUP BY 1""",
+        "artifacts", "corpus",
+    ),
+)
 def leak_counts(i):
     return t.leak_counts(i.artifacts, i.corpus)
 
