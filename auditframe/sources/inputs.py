@@ -258,6 +258,22 @@ VIEWS: dict[str, str] = {
                       ELSE 'Where applicable, say so' END
                  || chr(10) || 'Order ' || CAST(o_orderkey AS STRING) AS body
         FROM {orders}""",
+    "table_texts": """
+        SELECT table_name, 'Track order status, total amount and region per customer. '
+                 || coalesce(min(description), 'Created daily') AS body
+        FROM {named_columns} GROUP BY table_name""",
+    "mention_log": """
+        SELECT event_id, 'SELECT a.c' || CAST(event_id % 60 AS STRING) || ', `d' || CAST(user_id % 11 AS STRING)
+                 || '` FROM sales.t' || CAST(event_id % 5 AS STRING) || ' a WHERE a.flag = 1' AS statement_text
+        FROM {events}""",
+    "local_evidence": """
+        SELECT table_name, column_name,
+               CASE CAST(substr(column_name, 2) AS INT) % 6 WHEN 0 THEN 'JOIN_KEY' WHEN 1 THEN 'BENCHMARK_SQL'
+                    WHEN 2 THEN 'COLUMN_BEHAVIOR' WHEN 3 THEN 'SEMANTIC_MATCH' WHEN 4 THEN 'METRIC_FIELD'
+                    ELSE 'CONFIG_SQL' END AS reason,
+               CAST(CAST(substr(column_name, 2) AS INT) % 4 + 1 AS DOUBLE) AS score
+        FROM {column_inventory}
+        WHERE CAST(substr(column_name, 2) AS INT) % 5 <> 0""",
     "mutations": """
         SELECT 'run' || CAST(doc_id % 4 AS STRING) AS run_id, doc_id AS question_id,
                CASE doc_id % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'excluded' WHEN 2 THEN 'removed'
