@@ -186,7 +186,7 @@ def stable_rank(i):
     return _ranked(i).select("table_name", "column_name", "stable_rank")
 
 
-_CORE = 6
+_CORE = 8
 _SELECT = f"""{_RANK},
   req AS (SELECT *, is_hard AND NOT hidden AS required FROM ranked),
   sel AS (SELECT *, required OR (NOT hidden AND (SELECT count(*) FROM req b WHERE b.table_name = a.table_name AND b.required)
@@ -228,7 +228,7 @@ def exploration(i):
     oracle(
         f"""WITH {_CLASS},
         want AS (SELECT table_name, arg_max(column_id, stable_rank) AS wanted FROM cls WHERE NOT selected AND NOT hidden GROUP BY 1),
-        full_ AS (SELECT table_name, count(*) FILTER (WHERE selected) >= 6 AS is_full,
+        full_ AS (SELECT table_name, count(*) FILTER (WHERE selected) >= {_CORE} AS is_full,
                          arg_max(column_id, stable_rank) FILTER (WHERE selected AND NOT contains(reasons, 'JOIN_KEY')
                                                                  AND stable_rank <> 1) AS victim FROM cls GROUP BY 1)
         SELECT cls.table_name, column_id, stable_rank,
@@ -250,7 +250,7 @@ def evict(i):
     wanted = rows.filter("NOT selected AND NOT hidden").groupBy("table_name").agg(
         F.max_by("column_id", "stable_rank").alias("column_id")
     )
-    return r.activate(plan, wanted.withColumn("reason", F.lit("EXPLORATION")), max_active=6)
+    return r.activate(plan, wanted.withColumn("reason", F.lit("EXPLORATION")), max_active=_CORE)
 
 
 _SCORE = """

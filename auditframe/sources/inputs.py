@@ -272,8 +272,89 @@ VIEWS: dict[str, str] = {
                     WHEN 2 THEN 'COLUMN_BEHAVIOR' WHEN 3 THEN 'SEMANTIC_MATCH' WHEN 4 THEN 'METRIC_FIELD'
                     ELSE 'CONFIG_SQL' END AS reason,
                CAST(CAST(substr(column_name, 2) AS INT) % 4 + 1 AS DOUBLE) AS score
-        FROM {column_inventory}
-        WHERE CAST(substr(column_name, 2) AS INT) % 5 <> 0""",
+        FROM {column_inventory}""",
+    "table_list": """
+        SELECT table_name, CASE WHEN max(cardinality) % 2 = 0 THEN 'TABLE' ELSE 'VIEW' END AS table_type,
+               CASE WHEN max(cardinality) % 3 = 0 THEN NULL ELSE 'holds ' || min(column_name) END AS table_comment
+        FROM {named_columns} WHERE column_name <> 'notes' GROUP BY table_name""",
+    "table_tags": """
+        SELECT table_name, 'tier' AS tag_name, table_type AS tag_value FROM {table_list}""",
+    "column_tags": """
+        SELECT table_name, column_name, 'verdict' AS tag_name, verdict AS tag_value FROM {named_columns}
+        WHERE verdict <> 'clean'""",
+    "key_columns": """
+        SELECT 'fk' || CAST(l_orderkey AS STRING) AS constraint_name, 'child' || CAST(l_orderkey % 100 AS STRING) AS table_name,
+               'c' || CAST(l_partkey AS STRING) AS column_name, l_linenumber AS ordinal_position
+        FROM {lineitem}""",
+    "referenced_columns": """
+        SELECT 'fk' || CAST(l_orderkey AS STRING) AS constraint_name, 'parent' || CAST(l_orderkey % 90 AS STRING) AS table_name,
+               'p' || CAST(l_suppkey AS STRING) || '_' || CAST(l_linenumber AS STRING) AS column_name
+        FROM {lineitem}""",
+    "configured_tables": """
+        SELECT DISTINCT 's' || CAST(p_partkey % 9 AS STRING) AS space_id, p_brand AS full_name FROM {part}
+        WHERE p_size < 25""",
+    "edges": """
+        SELECT 'n' || CAST(l_partkey % 60 AS STRING) AS source_table, 'n' || CAST(l_suppkey % 70 AS STRING) AS target_table,
+               l_shipdate AS event_time
+        FROM {lineitem}""",
+    "governed_assets": """
+        SELECT 'v' || CAST(p_partkey AS STRING) AS asset, p_size % 3 = 0 AS is_view, p_brand <> 'Brand#13' AS readable,
+               p_size % 10 = 0 AS has_row_filter, p_size % 15 = 0 AS has_column_mask, p_size % 21 = 0 AS is_dynamic
+        FROM {part}""",
+    "view_bases": """
+        SELECT DISTINCT 'v' || CAST(l_partkey AS STRING) AS asset, 'v' || CAST(l_suppkey AS STRING) AS base FROM {lineitem}""",
+    "benchmark_refs": """
+        SELECT l_orderkey AS benchmark_id, l_linenumber AS ordinal,
+               'main.sales.T' || CAST(l_partkey % 300 AS STRING) AS table_ref
+        FROM {lineitem}""",
+    "known_assets": """
+        SELECT DISTINCT 'main.sales.t' || CAST(p_partkey % 350 AS STRING) AS asset,
+               CASE p_partkey % 350 % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'metric_view' ELSE 'function' END AS kind
+        FROM {part}""",
+    "join_specs": """
+        SELECT DISTINCT 't' || CAST(l_suppkey % 310 AS STRING) AS left_table, 'T' || CAST(l_partkey % 310 AS STRING) AS right_table
+        FROM {lineitem} WHERE l_returnflag = 'R'""",
+    "function_columns": """
+        SELECT 'f' || CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS STRING) AS function_name,
+               CASE p_partkey % 4 WHEN 0 THEN 'Order_Status' WHEN 1 THEN 'total_amount'
+                    WHEN 2 THEN 'metric_' || CAST(p_size AS STRING) ELSE 'REGION_CODE' END AS column_name
+        FROM {part}""",
+    "readiness_columns": """
+        SELECT 'g' || CAST(p_size % 8 AS STRING) AS grp, 'schema' || CAST(p_size % 8 % 3 AS STRING) AS schema_name,
+               'tbl' || CAST(p_partkey % 24 AS STRING) AS table_name,
+               lower(p_brand) || CASE p_partkey % 5 WHEN 0 THEN '_revenue' WHEN 1 THEN '_region' ELSE '_x' END AS column_name,
+               CASE WHEN p_partkey % (p_size % 8 + 1) = 0 THEN 'the ' || p_type ELSE NULL END AS description,
+               CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'string' END AS data_type,
+               CASE WHEN p_partkey % 24 % 2 = 0 THEN 'about ' || CAST(p_partkey % 24 AS STRING) ELSE NULL END AS table_comment
+        FROM {part}""",
+    "readiness_questions": """
+        SELECT 'g' || CAST(s_suppkey % 6 AS STRING) AS grp,
+               CASE s_suppkey % 3 WHEN 0 THEN 'Revenue growth by region' WHEN 1 THEN 'Profit per customer and year'
+                    ELSE 'Sales count by segment' END AS question
+        FROM {supplier}""",
+    "version_runs": """
+        SELECT 's' || CAST(o_custkey AS STRING) AS space_id, 'r' || CAST(o_orderkey AS STRING) AS run_id,
+               o_orderdate AS started_at,
+               CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE 'c' || CAST(o_orderkey % 6 AS STRING) END AS config_fp,
+               CASE WHEN o_orderkey % 43 = 0 THEN NULL ELSE 'b' || CAST(o_orderkey % 5 AS STRING) END AS benchmark_fp,
+               CASE WHEN o_orderstatus = 'F' THEN 1 ELSE NULL END AS best_iteration
+        FROM {orders}""",
+    "version_champions": """
+        SELECT 'r' || CAST(o_orderkey AS STRING) AS run_id,
+               CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE 'c' || CAST(o_custkey % 6 AS STRING) END AS observed_config_fp,
+               'c9' AS submitted_config_fp,
+               CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE 'b' || CAST(o_custkey % 5 AS STRING) END AS observed_benchmark_fp,
+               'b9' AS submitted_benchmark_fp
+        FROM {orders} WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'""",
+    "live_versions": """
+        SELECT 's' || CAST(c_custkey AS STRING) AS space_id,
+               CASE WHEN c_acctbal < -900 THEN NULL ELSE 'c' || CAST(c_custkey % 9 AS STRING) END AS config_fp,
+               'b' || CAST(c_custkey % 8 AS STRING) AS benchmark_fp
+        FROM {customer}""",
+    "config_base": """
+        SELECT o.o_orderkey AS doc_id, o.o_custkey, o.o_orderstatus, o.o_orderpriority, l.l_linenumber, l.l_partkey,
+               l.l_returnflag, l.l_linestatus, l.l_quantity, l.l_discount
+        FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey""",
     "mutations": """
         SELECT 'run' || CAST(doc_id % 4 AS STRING) AS run_id, doc_id AS question_id,
                CASE doc_id % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'excluded' WHEN 2 THEN 'removed'
