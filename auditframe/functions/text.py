@@ -46,7 +46,8 @@ def unicode_fold(c: Column) -> Column:
     def nfkc(texts: pd.Series) -> pd.Series:
         import unicodedata
 
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+        folded = [unicodedata.normalize("NFKC", t).casefold() if isinstance(t, str) else None for t in texts]
+        return pd.Series(folded, dtype=object)
 
     foreign = c.rlike(r"[^\x00-\x7F]")
     return F.when(foreign, F.pandas_udf(nfkc, "string")(F.when(foreign, c))).otherwise(F.lower(c))

@@ -153,7 +153,7 @@ def segment_maximum(facts: DataFrame, flags: DataFrame, maxima: DataFrame, keys:
     """Rows of two facts and a yearly maximum joined on their keys, averaged by segment."""
     joined = facts.join(flags, keys).join(maxima, keys)
     return joined.groupBy(segment.alias("segment")).agg(
-        F.count("*").alias("rows"), F.round(F.avg(value), 1).alias("avg_max")
+        F.count("*").alias("rows"), F.round(F.avg(value), 6).alias("avg_max")
     )
 
 

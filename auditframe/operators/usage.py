@@ -143,7 +143,7 @@ def top_spenders(log, usage, prices, as_of, days=7, limit=10, workspace_id=None)
 
 
 def cost_per_conversation(
-    log, usage, prices, audit, as_of, days: int = 7, limit: int = 50, within_seconds: int = 600
+    log, usage, prices, audit, as_of, days: int = 7, limit: int = 50, within_seconds: int = 600, digits: int = 4
 ) -> DataFrame:
     """Each agent's costliest conversations: every query goes to the agent's latest audit event before it."""
     recent = log.filter(since("start_time", as_of, days)).filter("task_ms > 0")
@@ -168,7 +168,7 @@ def cost_per_conversation(
         F.min("start_time").alias("first_query_at"),
         F.max("start_time").alias("last_query_at"),
         F.count("*").alias("query_count"),
-        F.round(F.sum("query_usd"), 4).alias("approx_usd"),
+        F.round(F.sum("query_usd"), digits).alias("approx_usd"),
     )
     w = Window.partitionBy("space_id").orderBy(F.desc_nulls_last("approx_usd"), "conversation_id")
     return per.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("rank")

@@ -232,7 +232,7 @@ def metric_events(i):
     """WITH y AS (SELECT o_custkey, year(o_orderdate) AS yr, avg(o_totalprice) AS mean, max(o_totalprice) AS top,
                          bool_or(o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY ALL)
        SELECT CASE WHEN urgent AND mean < 150000 THEN 'urgent, small' WHEN urgent THEN 'urgent, large' ELSE 'other' END AS segment,
-              count(*) AS rows, round(avg(top), 1) AS avg_max FROM y GROUP BY 1""",
+              count(*) AS rows, round(avg(top), 6) AS avg_max FROM y GROUP BY 1""",
 )
 def segment_risk(i):
     keys = ["o_custkey", "yr"]

@@ -97,7 +97,7 @@ def top_spenders(i):
            per_conversation AS (
              SELECT space_id, conversation_id, min(user_email) AS user_email,
                     min(start_time) AS first_query_at, max(start_time) AS last_query_at,
-                    count(*) AS query_count, round(sum(q_usd), 4) AS approx_usd
+                    count(*) AS query_count, round(sum(q_usd), 8) AS approx_usd
              FROM candidates_ WHERE nearest = 1 GROUP BY ALL)
            SELECT * FROM per_conversation
            QUALIFY row_number() OVER (PARTITION BY space_id
@@ -107,7 +107,7 @@ def top_spenders(i):
 )
 def cost_per_conversation(i):
     return u.cost_per_conversation(
-        i.query_log, i.billing_usage, i.list_prices, i.audit_events, AS_OF, DAYS, 50
+        i.query_log, i.billing_usage, i.list_prices, i.audit_events, AS_OF, DAYS, 50, digits=8
     )
 
 
