@@ -72,8 +72,11 @@ def question_key(c: Column, prefix: str = "") -> Column:
 
 
 def digest(c: Column) -> Column:
-    """SHA-256 of a text: what travels in a shuffle instead of the text."""
-    return F.sha2(c.cast("binary"), 256)
+    """SHA-256 of a text: what travels in a shuffle instead of the text.
+
+    Never NULL, so that a join on it adds no null filter that would hash every text twice.
+    """
+    return F.coalesce(F.sha2(c.cast("binary"), 256), F.lit(""))
 
 
 def plain_statement(c: Column) -> Column:

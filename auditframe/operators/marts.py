@@ -157,11 +157,6 @@ def segment_maximum(facts: DataFrame, flags: DataFrame, maxima: DataFrame, keys:
     )
 
 
-def month_spine(spark, first, months: int) -> DataFrame:
-    starts = F.sequence(F.lit(first), F.add_months(F.lit(first), months - 1), F.expr("INTERVAL 1 MONTH"))
-    return spark.range(1).select(F.explode(starts).alias("month"))
-
-
 def monthly_snapshot(intervals: DataFrame, unit: str, start: str, end: str, first, months: int) -> DataFrame:
     """Per unit and month: active at month end, active at month start, joins, exits and the exit rate.
 
@@ -171,7 +166,6 @@ def monthly_snapshot(intervals: DataFrame, unit: str, start: str, end: str, firs
     Active at the end: started by it and not ended by it. Active at the start:
     started before it and not ended before it. Months with nothing are dropped.
     """
-    spark = intervals.sparkSession
     month = lambda c: F.to_date(F.date_trunc("month", c))
     starts = intervals.groupBy(unit, month(start).alias("month")).agg(F.count("*").alias("joins"))
     ended = intervals.filter(F.col(end).isNotNull())
@@ -179,7 +173,8 @@ def monthly_snapshot(intervals: DataFrame, unit: str, start: str, end: str, firs
     tally = starts.unionByName(ends, allowMissingColumns=True)
     # Months outside the spine still count towards the running sums.
     units = intervals.select(unit).distinct()
-    frame = units.withColumn("month", F.explode(F.sequence(F.lit(first), F.add_months(F.lit(first), months - 1), F.expr("INTERVAL 1 MONTH"))))
+    spine = F.sequence(F.lit(first), F.add_months(F.lit(first), months - 1), F.expr("INTERVAL 1 MONTH"))
+    frame = units.withColumn("month", F.explode(spine))
     grid = tally.unionByName(frame.withColumn("shown", F.lit(True)), allowMissingColumns=True)
     monthly = grid.groupBy(unit, "month").agg(
         F.coalesce(F.sum("joins"), F.lit(0)).alias("joins"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions.columns import (
@@ -178,24 +178,24 @@ def fk_orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFra
 def missing_literals(literals: DataFrame, dictionary: DataFrame, threshold: float = SUGGESTION_THRESHOLD) -> DataFrame:
     """Literals that a column's value dictionary lacks, with the closest value if close enough.
 
-    ``dictionary`` holds short value lists (see ``profile.value_lists``), so a
-    literal meets only the few values of its own column. Closeness is
+    ``dictionary`` is (column_name, values), the short lists of
+    ``profile.value_lists``: each literal is compared inside its row with the
+    list of its own column, so no pair of rows is built. Closeness is
     ``1 - levenshtein / longer length``.
     """
-    values = dictionary.select("column_name", F.col("value"), F.lower("value").alias("_v")).distinct()
-    wanted = literals.select("column_name", "literal", F.lower("literal").alias("_v")).distinct()
-    known = values.select("column_name").distinct()
-    absent = wanted.join(values, ["column_name", "_v"], "left_anti").join(known, "column_name", "left_semi")
-    pairs = absent.withColumnRenamed("_v", "_l").join(values, "column_name")
-    longer = F.greatest(F.length("_l"), F.length("_v"))
-    score = F.lit(1.0) - F.levenshtein("_l", "_v") / longer
-    best = pairs.groupBy("column_name", "literal").agg(
-        F.max_by("value", F.struct(score, F.col("value"))).alias("value"), F.max(score).alias("score")
-    )
+    wanted = literals.select("column_name", "literal").distinct().join(dictionary, "column_name")
+    low = F.lower("literal")
+    absent = wanted.filter(~F.exists("values", lambda v: F.lower(v) == low))
+
+    def closeness(v: Column) -> Column:
+        return F.lit(1.0) - F.levenshtein(low, F.lower(v)) / F.greatest(F.length("literal"), F.length(v))
+
+    scored = F.transform("values", lambda v: F.struct(closeness(v).alias("score"), v.alias("value")))
+    best = absent.select("column_name", "literal", F.array_max(scored).alias("b"))
     return best.select(
         "column_name", "literal",
-        F.when(F.col("score") >= threshold, F.col("value")).alias("suggestion"),
-        F.round("score", 3).alias("score"),
+        F.when(F.col("b.score") >= threshold, F.col("b.value")).alias("suggestion"),
+        F.round("b.score", 3).alias("score"),
     )
 
 

@@ -147,8 +147,10 @@ def _retention_order() -> list[Column]:
 
 
 def _keyed(rows: DataFrame, prefix: str) -> DataFrame:
+    """Add ``_key``: the digest of the normalised question; a blank question is a key of its own."""
     key = tx.question_key(F.col("question"), prefix)
-    return rows.withColumn("_key", F.when(key != "", tx.digest(key)))
+    alone = F.concat(F.lit("blank:"), F.coalesce(F.col("ordinal").cast("string"), F.lit("")))
+    return rows.withColumn("_key", F.when(key == "", alone).otherwise(tx.digest(key)))
 
 
 def dedup_winners(rows: DataFrame, prefix: str = "") -> DataFrame:
@@ -158,10 +160,7 @@ def dedup_winners(rows: DataFrame, prefix: str = "") -> DataFrame:
     ``prefix`` is a label that may precede a question. Texts are grouped by
     their digest, so only digests and the selected columns are shuffled.
     """
-    keyed = _keyed(rows, prefix)
-    order = [c.desc() for c in _retention_order()]
-    winners = latest_wins(keyed.filter("_key IS NOT NULL"), ["_key"], order)
-    return winners.unionByName(keyed.filter("_key IS NULL")).drop("_key")
+    return latest_wins(_keyed(rows, prefix), ["_key"], [c.desc() for c in _retention_order()]).drop("_key")
 
 
 def dedup_rejected(rows: DataFrame, prefix: str = "") -> DataFrame:
@@ -170,7 +169,7 @@ def dedup_rejected(rows: DataFrame, prefix: str = "") -> DataFrame:
     Winners come from one aggregate per key and are joined back; a hot key is
     one row on that side, so the join can split the other.
     """
-    keyed = _keyed(rows, prefix).filter("_key IS NOT NULL")
+    keyed = _keyed(rows, prefix)
     order = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(_retention_order())])
     kept = keyed.groupBy("_key").agg(F.max_by(F.struct("question_id", "ordinal"), order).alias("_w"))
     return (
@@ -390,15 +389,19 @@ def _unordered_limit(code: Column, depth: int = 12) -> Column:
     then read and removed from the inside out, up to ``depth`` levels.
     """
     words = F.upper(F.array_join(F.regexp_extract_all(code, F.lit(r"(?i)(\bSELECT\b|\bORDER\s+BY\b|\bLIMIT\b|[()])"), F.lit(1)), ""))
-    skeleton = F.regexp_replace(words, r"SELECT", "S")
-    skeleton = F.regexp_replace(F.regexp_replace(skeleton, r"ORDER\s+BY", "O"), r"LIMIT", "L")
+    letters = F.regexp_replace(F.regexp_replace(F.regexp_replace(words, "SELECT", "S"), r"ORDER\s+BY", "O"), "LIMIT", "L")
     loose = r"(?:^|[S(])[^SO()]*L"
-    found = F.lit(False)
-    for _ in range(depth):
-        inner = F.regexp_extract_all(skeleton, F.lit(r"\(([^()]*)\)"), F.lit(1))
-        found = found | F.exists(inner, lambda s: s.rlike(loose))
-        skeleton = F.regexp_replace(skeleton, r"\([^()]*\)", "")
-    return found | skeleton.rlike(loose)
+
+    def strip(acc: Column, _: Column) -> Column:
+        inner = F.regexp_extract_all(acc["rest"], F.lit(r"\(([^()]*)\)"), F.lit(1))
+        return F.struct(
+            F.regexp_replace(acc["rest"], r"\([^()]*\)", "").alias("rest"),
+            (acc["found"] | F.exists(inner, lambda s: s.rlike(loose))).alias("found"),
+        )
+
+    start = F.struct(letters.alias("rest"), F.lit(False).alias("found"))
+    levels = F.when(F.contains(letters, F.lit("(")), F.sequence(F.lit(1), F.lit(depth))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(levels, start, strip, lambda acc: acc["found"] | acc["rest"].rlike(loose))
 
 
 def statement_findings(statements: DataFrame, statement: str = "expected_sql", key: str = "question_id") -> DataFrame:
@@ -409,7 +412,7 @@ def statement_findings(statements: DataFrame, statement: str = "expected_sql", k
     code = F.col("_code")
     finding = lambda c, s: F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"))
     rules = [
-        (_unordered_limit(code), finding("UNORDERED_LIMIT", "error")),
+        (code.rlike(r"(?i)\bLIMIT\b") & _unordered_limit(code), finding("UNORDERED_LIMIT", "error")),
         (code.rlike(RANDOM_CALL) | code.rlike(SAMPLING), finding("NONDETERMINISTIC_SQL", "error")),
         (code.rlike(CLOCK), finding("VOLATILE_TIME_REFERENCE", "warning")),
     ]

@@ -157,22 +157,22 @@ def fk_orphans(i):
 @FAMILY.add(
     "dq_literal_check",
     oracle(
-        """WITH vals AS (SELECT DISTINCT event_type AS v FROM events),
-        absent AS (SELECT * FROM literals WHERE lower(literal) NOT IN (SELECT lower(v) FROM vals)),
+        """WITH vals AS (SELECT DISTINCT 'event_type' AS column_name, event_type AS v FROM events
+                         UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders),
+        absent AS (SELECT * FROM literals l WHERE lower(literal) NOT IN (SELECT lower(v) FROM vals WHERE vals.column_name = l.column_name)),
         scored AS (SELECT column_name, literal, v,
-                          1.0::DOUBLE - levenshtein(lower(literal), lower(v))
-                                        / greatest(length(literal), length(v)) AS score
-                   FROM absent JOIN vals ON true)
-        SELECT column_name, literal, CASE WHEN max(score) >= 0.85 THEN arg_max(v, score) END AS suggestion,
+                          1.0::DOUBLE - levenshtein(lower(literal), lower(v)) / greatest(length(literal), length(v)) AS score
+                   FROM absent JOIN vals USING (column_name))
+        SELECT column_name, literal, CASE WHEN max(score) >= 0.85 THEN arg_max(v, (score, v)) END AS suggestion,
                round(max(score), 3) AS score
         FROM scored GROUP BY ALL""",
         "literals",
     ),
 )
 def literal_check(i):
-    lists = profile.value_lists(i.events.select("event_type"))
-    words = lists.select(F.col("column").alias("column_name"), F.explode("values").alias("value"))
-    return q.missing_literals(i.literals, words)
+    lists = [profile.value_lists(df) for df in (i.events.select("event_type"), i.orders.select("o_orderpriority"))]
+    dictionary = union_all(lists).select(F.col("column").alias("column_name"), "values")
+    return q.missing_literals(i.literals, dictionary)
 
 
 _FILTERS = {

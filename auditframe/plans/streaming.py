@@ -2,7 +2,6 @@
 
 import uuid
 
-from pyspark.sql import functions as F
 
 from auditframe.functions.storage import shared_folder
 from auditframe.plans import Family

@@ -185,7 +185,12 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT 'event_type' AS column_name,
                CASE user_id % 4 WHEN 0 THEN upper(event_type) WHEN 1 THEN event_type || 's'
                     WHEN 2 THEN event_type || ' only' ELSE event_type END AS literal
-        FROM {events}""",
+        FROM {events}
+        UNION ALL
+        SELECT DISTINCT 'o_orderpriority',
+               CASE o_custkey % 3 WHEN 0 THEN lower(o_orderpriority) WHEN 1 THEN replace(o_orderpriority, '-', ' ')
+                    ELSE substr(o_orderpriority, 3) END
+        FROM {orders}""",
     "timed_questions": """
         SELECT o_orderkey AS question_id, o_custkey,
                CASE o_orderkey % 6 WHEN 0 THEN 'Returns this year for customer ' WHEN 1 THEN 'Last 30 days of returns of '

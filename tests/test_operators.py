@@ -185,7 +185,7 @@ def test_empty_table_quality(spark):
 
 def test_literal_suggestions(spark):
     lits = spark.createDataFrame([("c", "Purchas"), ("c", "PURCHASE"), ("c", "zzz"), ("d", "x")], "column_name STRING, literal STRING")
-    words = spark.createDataFrame([("c", "purchase"), ("c", "view")], "column_name STRING, value STRING")
+    words = spark.createDataFrame([("c", ["purchase", "view"])], "column_name STRING, values ARRAY<STRING>")
     got = {r["literal"]: r["suggestion"] for r in quality.missing_literals(lits, words).collect()}
     assert got == {"Purchas": "purchase", "zzz": None}
 
