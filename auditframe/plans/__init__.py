@@ -16,7 +16,12 @@ class Family:
         self.queries: dict[str, Callable[[Inputs], DataFrame]] = {}
         self.oracles: dict[str, str] = {}
 
-    def add(self, key: str, oracle_sql: str | None = None):
+    def add(self, key: str, oracle_sql: str | None = None, types: dict[str, str] | None = None):
+        """Register a query with its SQL; ``types`` casts result columns of the SQL to the types Spark gives."""
+        if oracle_sql is not None and types:
+            casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in types.items())
+            oracle_sql = f"SELECT * REPLACE ({casts}) FROM ({oracle_sql})"
+
         def register(fn: Callable[[Inputs], DataFrame]):
             self.queries[key] = fn
             if oracle_sql is not None:

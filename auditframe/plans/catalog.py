@@ -355,7 +355,7 @@ _CARD = f"""
       {_grade("coalesce(acc >= 0.85, false)")}]) AS severity FROM g)"""
 
 
-@FAMILY.add("ct_scorecard", oracle(f"WITH {_CARD} SELECT *, severity <> 'fail' AS passed FROM card", "config_base"))
+@FAMILY.add("ct_scorecard", types={"check_no": "INTEGER"}, oracle_sql=oracle(f"WITH {_CARD} SELECT *, severity <> 'fail' AS passed FROM card", "config_base"))
 def scorecard(i):
     return c.scorecard(_documents(i))
 

@@ -115,7 +115,8 @@ def attempts(i):
 
 @FAMILY.add(
     "ev_trajectory",
-    oracle(
+    types={"attempt_no": "INTEGER"},
+    oracle_sql=oracle(
         """WITH base AS (SELECT run_id, ordinal AS b, overall_accuracy AS b_acc FROM iterations
                          WHERE iteration = 0 AND eval_scope = 'full'
                          QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY event_ts, ordinal) = 1),

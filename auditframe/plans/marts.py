@@ -30,7 +30,8 @@ def period_share(i):
 
 @FAMILY.add(
     "mq_quarter_avg",
-    """SELECT year(o_orderdate) AS yr, quarter(o_orderdate) AS qtr, round(avg(o_totalprice), 2) AS avg_value, count(*) AS cnt
+    types={"yr": "INTEGER", "qtr": "INTEGER"},
+    oracle_sql="""SELECT year(o_orderdate) AS yr, quarter(o_orderdate) AS qtr, round(avg(o_totalprice), 2) AS avg_value, count(*) AS cnt
        FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL""",
 )
 def quarter_avg(i):
@@ -39,7 +40,8 @@ def quarter_avg(i):
 
 @FAMILY.add(
     "mq_share_by_year",
-    """SELECT year(o_orderdate) AS yr, count(*) AS n,
+    types={"yr": "INTEGER"},
+    oracle_sql="""SELECT year(o_orderdate) AS yr, count(*) AS n,
               round(100.0 * count(*) FILTER (WHERE o_orderpriority = '1-URGENT') / count(*), 1) AS share_pct
        FROM orders GROUP BY 1""",
 )
@@ -61,7 +63,8 @@ def decile_concentration(i):
 
 @FAMILY.add(
     "mq_month_spike",
-    """SELECT year(o_orderdate) AS yr, month(o_orderdate) AS mo,
+    types={"yr": "INTEGER", "mo": "INTEGER"},
+    oracle_sql="""SELECT year(o_orderdate) AS yr, month(o_orderdate) AS mo,
               count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS hits, count(*) AS total
        FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ('1995-12', '1996-01', '1996-02', '1996-03') GROUP BY ALL""",
 )
@@ -209,7 +212,8 @@ def trailing_mean(i):
 
 @FAMILY.add(
     "mq_metric_events",
-    """WITH a AS (SELECT year(o_orderdate) AS yr, round(avg(o_totalprice), 2) AS avg_price,
+    types={"yr": "INTEGER"},
+    oracle_sql="""WITH a AS (SELECT year(o_orderdate) AS yr, round(avg(o_totalprice), 2) AS avg_price,
                          count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1),
        e AS (SELECT year(l_shipdate) AS yr, count(*) FILTER (WHERE l_quantity > 45) AS large_returns
              FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
@@ -293,7 +297,8 @@ def funnel(i):
 
 @FAMILY.add(
     "mq_multi_fact",
-    """WITH o AS (SELECT year(o_orderdate) AS yr, quarter(o_orderdate) AS qtr, c_mktsegment, o_orderkey, o_custkey, o_totalprice
+    types={"yr": "INTEGER", "qtr": "INTEGER"},
+    oracle_sql="""WITH o AS (SELECT year(o_orderdate) AS yr, quarter(o_orderdate) AS qtr, c_mktsegment, o_orderkey, o_custkey, o_totalprice
                   FROM orders JOIN customer ON c_custkey = o_custkey),
        l AS (SELECT year(l_shipdate) AS yr, quarter(l_shipdate) AS qtr, c_mktsegment, l_returnflag, l_quantity
              FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey)
@@ -353,7 +358,8 @@ def annual_population(i):
 
 @FAMILY.add(
     "mq_joined_mart",
-    """WITH y AS (SELECT o_custkey, year(o_orderdate) AS yr, max(o_totalprice) AS top FROM orders GROUP BY ALL),
+    types={"yr": "INTEGER"},
+    oracle_sql="""WITH y AS (SELECT o_custkey, year(o_orderdate) AS yr, max(o_totalprice) AS top FROM orders GROUP BY ALL),
        j AS (SELECT c_mktsegment, n_name, y.yr, y.o_custkey, o_totalprice, o_orderpriority, top
              FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
              JOIN y ON y.o_custkey = orders.o_custkey AND y.yr = year(o_orderdate))

@@ -93,7 +93,8 @@ def recommendations(i):
 
 @FAMILY.add(
     "dq_global_summary",
-    oracle(
+    types={"tables_assessed": "BIGINT", "tables_with_issues": "BIGINT"},
+    oracle_sql=oracle(
         f"""WITH r AS ({_RECS})
         SELECT 3 AS tables_assessed, 1 AS tables_with_issues,
                count(*) FILTER (WHERE action = 'exclude') AS total_recommended_excludes,
@@ -229,7 +230,8 @@ def calendar_sanity(i):
 
 @FAMILY.add(
     "dq_calendar_stale",
-    oracle(
+    types={"days_behind": "INTEGER"},
+    oracle_sql=oracle(
         f"""SELECT max(date_key) AS max_current_year_date,
                    datediff('day', max(date_key), DATE '2024-01-31') AS days_behind,
                    CASE WHEN coalesce(datediff('day', max(date_key), DATE '2024-01-31'), 999) > 30

@@ -103,7 +103,8 @@ _CONCEPTS = "[" + ", ".join(f"'{w}'" for w in r.CONCEPT_WORDS) + "]"
 
 @FAMILY.add(
     "cs_semantic_score",
-    oracle(
+    types={"semantic_score": "DOUBLE"},
+    oracle_sql=oracle(
         f"""WITH t AS (SELECT table_name, {_WORDS.format('body')} AS tw FROM table_texts),
         c AS (SELECT table_name, column_name, {_WORDS.format('column_name')} AS nw, {_WORDS.format('description')} AS dw
               FROM named_columns)
@@ -121,7 +122,8 @@ def semantic_score(i):
 
 @FAMILY.add(
     "cs_structural_score",
-    oracle(
+    types={"structural_score": "DOUBLE"},
+    oracle_sql=oracle(
         """SELECT table_name, column_name, CASE WHEN is_key THEN 5.0 WHEN data_type = 'timestamp' THEN 4.0
                   WHEN data_type = 'string' THEN 2.0 ELSE 3.0 END AS structural_score FROM column_inventory""",
         "column_inventory",
@@ -181,7 +183,7 @@ _RANK = f"""{_EVIDENCE},
              FROM ev JOIN column_inventory i USING (table_name, column_name))"""
 
 
-@FAMILY.add("cs_stable_rank", oracle(f"WITH {_RANK} SELECT table_name, column_name, stable_rank FROM ranked", *_EV_VIEWS))
+@FAMILY.add("cs_stable_rank", types={"stable_rank": "INTEGER"}, oracle_sql=oracle(f"WITH {_RANK} SELECT table_name, column_name, stable_rank FROM ranked", *_EV_VIEWS))
 def stable_rank(i):
     return _ranked(i).select("table_name", "column_name", "stable_rank")
 
@@ -225,7 +227,8 @@ def exploration(i):
 
 @FAMILY.add(
     "cs_evict",
-    oracle(
+    types={"stable_rank": "INTEGER"},
+    oracle_sql=oracle(
         f"""WITH {_CLASS},
         want AS (SELECT table_name, arg_max(column_id, stable_rank) AS wanted FROM cls WHERE NOT selected AND NOT hidden GROUP BY 1),
         full_ AS (SELECT table_name, count(*) FILTER (WHERE selected) >= {_CORE} AS is_full,

@@ -64,7 +64,8 @@ def coverage_gaps(i):
 
 @FAMILY.add(
     "tx_gap_evidence",
-    oracle(
+    types={"rank": "INTEGER"},
+    oracle_sql=oracle(
         f"""WITH {_TERMINAL},
         c AS (SELECT d.family, conversation_id, min(ordinal) AS seen, min(ordinal) FILTER (WHERE negative) AS neg,
                      min(ordinal) FILTER (WHERE failed) AS fail,
@@ -345,7 +346,8 @@ def shape_hash(i):
 
 @FAMILY.add(
     "tx_shape_recency",
-    oracle(
+    types={"recency_weight": "DOUBLE"},
+    oracle_sql=oracle(
         f"""WITH s AS (SELECT {_SHAPE} AS shape_hash, count(*) AS frequency, count(DISTINCT executed_by) AS users,
                               max(start_time) AS last_used_at FROM query_log GROUP BY 1),
         d AS (SELECT *, epoch(TIMESTAMP '2024-02-05 00:00:00' - last_used_at) / 86400 AS age FROM s)

@@ -201,7 +201,8 @@ def daily_zero_fill(i):
 
 @FAMILY.add(
     "uc_top_queries",
-    oracle(
+    types={"rank": "INTEGER"},
+    oracle_sql=oracle(
         f"""SELECT space_id, row_number() OVER (PARTITION BY space_id
                                                ORDER BY duration_ms DESC NULLS LAST, statement_id) AS rank,
                   statement_id, executed_by, start_time, duration_ms, execution_status, statement_text
