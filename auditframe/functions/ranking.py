@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditframe.functions.storage import written
+
 
 def number_rows(df: DataFrame, keys: list[str], part: Column, order: list[Column], name: str = "rn") -> DataFrame:
     """``row_number()`` per key, computed in parts so that a hot key spreads over many tasks.
@@ -27,46 +29,30 @@ def number_rows(df: DataFrame, keys: list[str], part: Column, order: list[Column
     return local.join(before, by).withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
 
 
-def value_parts(df: DataFrame, value: str, tie: str, parts: int = 256, tie_width: int = 1_000_000) -> DataFrame:
-    """Add ``_part``: an ordered cut of the whole frame by (value, tie), for global numbering.
-
-    The cut points are ``parts`` sketched quantiles, a list of fixed size. Rows
-    equal to a cut point form parts of their own, split further by blocks of
-    the integer ``tie``, so a value that fills a third of the table is split
-    too. The cut only steers parallelism; it never changes a result.
-    """
-    at = [k / parts for k in range(1, parts)]
-    cuts = df.agg(F.array_distinct(F.array_sort(F.percentile_approx(value, at, 10 * parts))).alias("_cuts"))
-    with_cuts = df.withColumn("_cuts", cuts.scalar())
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    at_cut = F.array_contains("_cuts", F.col(value))
-    block = F.when(at_cut, F.floor(F.col(tie) / tie_width)).otherwise(F.lit(0))
-    return with_cuts.withColumn("_v", (below * 2 + at_cut.cast("int")).cast("long")).withColumn("_b", block).drop("_cuts")
-
-
 def ntile(df: DataFrame, tiles: int, value: str, tie: str, name: str = "tile") -> DataFrame:
-    """Exact ``NTILE(tiles)`` over the whole frame by descending value, ties by ascending integer ``tie``.
+    """Exact ``NTILE(tiles)`` over the whole frame by descending value, ties by ascending ``tie``.
 
     A plain window without a partition would move every row into one task.
+    Here the rows are range-partitioned by (value, tie), so even a value that
+    fills a third of the table is split, and written with the number of their
+    part; a row's place is its place in the part plus the sizes of earlier parts.
     """
-    neg = df.withColumn("_neg", -F.col(value))
-    cut = value_parts(neg, "_neg", tie)
-    by = ["_v", "_b"]
-    w_all = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy(*by).agg(F.count("*").alias("_n"))
-    # One row per part (a few hundred): the ordered window here is over that small table.
-    before = sizes.select(
-        *by,
-        F.coalesce(F.sum("_n").over(w_all), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
+    ranged = df.withColumn("_neg", -F.col(value)).repartitionByRange("_neg", tie)
+    cut = written(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
+    # One row per part: the ordered windows here are over that small table.
+    upto = Window.orderBy("_part")
+    before = cut.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part",
+        F.coalesce(F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
     )
-    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(*by).orderBy("_neg", tie)))
+    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy("_neg", tie)))
     pos = F.col("_local") + F.col("_before") - 1
     small, extra = F.floor(F.col("_total") / tiles), F.col("_total") % tiles
     head = extra * (small + 1)
     tile = F.when(pos < head, F.floor(pos / (small + 1))).otherwise(extra + F.floor((pos - head) / F.greatest(small, F.lit(1))))
-    return local.join(before, by).withColumn(name, (tile + 1).cast("int")).drop(
-        "_neg", "_v", "_b", "_local", "_before", "_total"
+    return local.join(before, "_part").withColumn(name, (tile + 1).cast("int")).drop(
+        "_neg", "_part", "_local", "_before", "_total"
     )
 
 
@@ -87,8 +73,13 @@ def next_time(rows: DataFrame, events: DataFrame, key: str, row_time: str, event
         F.col(key).alias("_k"), F.col(event_time).alias("_t"), cut(event_time).alias("_s"),
         F.lit(1).alias("_side"), F.col(event_time).alias("_e"),
     )
-    # Rows sort before events of the same time, so "from here on" includes the same day.
-    w = Window.partitionBy("_k", "_s").orderBy("_t", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Backwards in time, events first on equal times: a growing frame costs one step per
+    # row, where a frame to the end of the group would be summed anew for each row.
+    w = (
+        Window.partitionBy("_k", "_s")
+        .orderBy(F.desc("_t"), F.desc("_side"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     both = left.unionByName(right, allowMissingColumns=True).withColumn("_in", F.min("_e").over(w)).filter("_side = 0")
     slices = (
         left.select("_k", "_s", F.lit(None).cast(events.schema[event_time].dataType).alias("_e"))
@@ -96,7 +87,7 @@ def next_time(rows: DataFrame, events: DataFrame, key: str, row_time: str, event
         .groupBy("_k", "_s")
         .agg(F.min("_e").alias("_first"))
     )
-    later = Window.partitionBy("_k").orderBy("_s").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("_k").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
     carry = slices.withColumn("_after", F.min("_first").over(later)).drop("_first")
     return both.join(carry, ["_k", "_s"], "left").select("_row.*", F.coalesce("_in", "_after").alias("next_time"))
 
