@@ -11,6 +11,7 @@ from auditframe.functions import text as tx
 from auditframe.functions.columns import union_all
 from auditframe.functions.ranking import kth_free, number_rows
 from auditframe.functions.similarity import best_cosine, best_jaccard
+from auditframe.functions.storage import written
 from auditframe.operators.io import latest_wins
 
 NGRAM_THRESHOLD = 0.60
@@ -85,7 +86,8 @@ def gap_evidence(terminal: DataFrame, gaps: DataFrame, limit: int = 3) -> DataFr
     Order: the first conversations of two different users (for families seen
     by several), the first with negative feedback, the first failed, then the
     rest with negative feedback, failed, and any, each by first appearance.
-    Messages are reduced to one row per conversation before anything is ranked.
+    Messages are reduced to one row per conversation, written once, before
+    anything is ranked.
     """
     convs = (
         terminal.filter("conversation_id <> ''")
@@ -98,6 +100,7 @@ def gap_evidence(terminal: DataFrame, gaps: DataFrame, limit: int = 3) -> DataFr
         )
         .join(gaps.select("family", F.array_contains("signals", "cross_user_repeat").alias("_repeat")), "family")
     )
+    convs = written(convs, "conversations")
 
     def top(df: DataFrame, order: str, n: int) -> DataFrame:
         w = Window.partitionBy("family").orderBy(order)
