@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from auditframe.functions.storage import written
 
@@ -55,9 +56,9 @@ def external_shuffle(docs: DataFrame, size: Column, seed: int = 7, bucket_bytes:
     salted = hashed.withColumn("_id", F.monotonically_increasing_id()).join(F.broadcast(heavy), "_row", "left")
     salt = F.when(F.col("_heavy"), F.col("_id")).otherwise(F.lit(0))
     scattered = salted.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_row", salt), F.lit(buckets)).cast("int"))
-    kept = [*docs.columns, "_bucket"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.select(*kept).schema) + ", _place bigint"
-    return written(scattered.select(*kept, "_row").groupBy("_bucket").applyInArrow(_fisher_yates(seed), schema), "shuffled")
+    rows = scattered.select(*docs.columns, "_bucket", "_row")
+    schema = StructType([*rows.schema.fields[:-1], StructField("_place", LongType())])
+    return written(rows.groupBy("_bucket").applyInArrow(_fisher_yates(seed), schema), "shuffled")
 
 
 def deal(docs: DataFrame, shards: int = 8, text_col: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

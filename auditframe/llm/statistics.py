@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -71,8 +72,7 @@ def text_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], [*b.schema.names[:-1], *COUNTS])
 
     kept = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]] + [f"{c} long" for c in COUNTS])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], *[StructField(c, LongType()) for c in COUNTS]]))
 
 
 def labelled_counts(docs: DataFrame, labels: DataFrame, target: str, rows: int, seed: int = 5) -> DataFrame:
