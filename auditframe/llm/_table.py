@@ -21,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of a table as the struct ``row``, next to the given ones, so that no name can clash; ``row.*`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of a key's text modulo a number; null keys stay null."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)

@@ -155,7 +155,7 @@ def _scores(order: int, corpus_words: int):
             score[found] = (np.log(others[found]) - np.log(context[found])) + steps[found] * math.log(DISCOUNT)
             seen[found] = n
             context = np.concatenate([[0.0], others[:-1]])
-        total = np.bincount(doc, score, len(sizes))
+        total = np.bincount(doc, score, len(sizes)).astype(np.float64)
         short = np.bincount(doc, seen < np.minimum(place + 1, order), len(sizes)).astype(np.int64)
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = np.where(sizes > 0, total / sizes, np.nan)

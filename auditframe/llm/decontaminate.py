@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions.storage import written
+from auditframe.llm._table import packed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -184,6 +185,6 @@ def find_leaks(
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, min_chars: int = 20) -> DataFrame:
     """The rows of ``docs`` that hold no test item; all columns stay. Rows without an id are judged by their text."""
-    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col))
-    leaks = written(find_leaks(keyed, benchmark, "_key", text_col, rate, min_chars).select(F.col("doc_id").alias("_key")).distinct(), "leaks")
-    return keyed.join(leaks, "_key", "left_anti").drop("_key")
+    keyed = packed(docs, key=F.xxhash64(id_col, text_col), text=F.col(text_col))
+    leaks = written(find_leaks(keyed, benchmark, "key", "text", rate, min_chars).select(F.col("doc_id").alias("key")).distinct(), "leaks")
+    return keyed.join(leaks, "key", "left_anti").select("row.*")

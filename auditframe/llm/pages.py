@@ -259,11 +259,18 @@ def truth(block: Block) -> int:
     return int(bool(marks) and f"{MAIN_MARK}=no" not in marks[-1])
 
 
+_PART_TAGS = {"nav", "aside", "footer", "form"}
+_PART_NAMES = {name for _, names in PARTS.values() for name in names.split()}
+
+
 def weak_truth(block: Block) -> int:
     """The label of a block of a real page by its elements: inside an article and in no part that is none."""
     tags = [t for t, _ in block.path]
-    inside = tags[tags.index("article") + 1 :] if "article" in tags else None
-    return int(inside is not None and not {"nav", "aside", "footer", "form"} & set(inside))
+    if "article" not in tags:
+        return 0
+    inside = block.path[tags.index("article") + 1 :]
+    names = {w for _, attributes in inside for found in _NAMES.findall(attributes) for w in "".join(found).lower().split()}
+    return int(not _PART_TAGS & {t for t, _ in inside} and not _PART_NAMES & names)
 
 
 def fit(pages: list[str], made: int = 500, seed: int = 9) -> crf.Chain:
@@ -314,6 +321,6 @@ def extract(pages: DataFrame, chain: crf.Chain, html_col: str = "html") -> DataF
     without main text, give an empty text; repeated rows repeat. Columns of
     the input called ``text`` or ``n_chars`` are replaced. No shuffle.
     """
-    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    keep = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
     rows = pages.select(*keep, F.col(html_col).alias("html"))
     return rows.mapInArrow(_extract(chain), StructType([*rows.schema.fields[:-1], StructField("text", StringType()), StructField("n_chars", LongType())]))

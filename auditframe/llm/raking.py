@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions.storage import written
+from auditframe.llm._table import packed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,14 +36,13 @@ def topic(text: str | None) -> tuple[int, str]:
     return len(raw.split()), "none" if word is None else f"t{int(hashlib.md5(word).hexdigest()[0], 16) % TOPICS}"
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``tokens`` and ``topic`` from the text; null texts have no tokens and topic `none`."""
+def measured(text: Column) -> Column:
+    """struct(tokens, topic) of a text; null texts have no tokens and topic `none`."""
 
     def both(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([topic(t) for t in texts], columns=["tokens", "topic"])
 
-    column = F.pandas_udf(both, "tokens long, topic string")(F.col(text_col))
-    return docs.drop("tokens", "topic").withColumn("_m", column).withColumns({"tokens": F.col("_m.tokens"), "topic": F.col("_m.topic")}).drop("_m")
+    return F.pandas_udf(both, "tokens long, topic string")(text)
 
 
 def _category(name: str) -> Column:
@@ -69,17 +69,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 10) -> D
     that most cells share is no burden. Categories without tokens, and those
     that a target does not name, keep their weight.
     """
-    names = list(targets)
-    shares = {name: written(t, "shares") for name, t in targets.items()}
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
-    now = written(cells.withColumn("weight", F.lit(1.0)), "cells")
+    now = cells.withColumn("weight", F.lit(1.0))
+    for name, shares in targets.items():
+        now = now.join(shares.withColumnRenamed("share", f"_{name}"), name, "left")
+    now = written(now, "cells")
     for _ in range(rounds):
-        for name in names:
+        for name in targets:
             sums = now.groupBy(name).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_sum")).filter("_sum > 0")
-            factor = sums.join(shares[name], name).select(name, (F.col("share") * total / F.col("_sum")).alias("_factor"))
-            now = now.join(factor, name, "left").withColumn("weight", F.col("weight") * F.coalesce("_factor", F.lit(1.0))).drop("_factor")
+            factor = F.coalesce(F.col(f"_{name}") * total / F.col("_sum"), F.lit(1.0))
+            now = now.join(sums, name, "left").withColumn("weight", F.col("weight") * factor).drop("_sum")
         now = written(now, "cells")
-    return now
+    return now.drop(*[f"_{name}" for name in targets])
 
 
 def calibrate(raked: DataFrame, keep: float, steps: int = 12) -> float:
@@ -124,15 +125,14 @@ def mix(
     names are replaced. An empty table gives no rows.
     """
     names = list(DIMENSIONS)
-    keyed = [_category(n).alias(n) for n in names]
-    rows = measured(docs.drop("weight", "probability", "sampled"), text_col)
-    cells = written(rows.select(*keyed, "tokens").groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
+    made = ("tokens", "topic", "weight", "probability", "sampled")
+    rows = packed(docs.drop(*made), key=F.col(id_col), measure=measured(F.col(text_col)), **{n: _category(n) for n in names[:2]})
+    rows = rows.select("row", "key", "source", "lang", "measure.topic", "measure.tokens")
+    cells = written(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
     raked = rake(cells, tempered(cells, powers), rounds)
     odds_of_one = F.least(F.lit(1.0), F.col("weight") * calibrate(raked, keep))
-    odds = raked.select(*[F.col(n).alias(f"_{n}") for n in names], "weight", odds_of_one.alias("probability"))
-    on = [_category(n) == F.col(f"_{n}") for n in names]
-    drawn = rows.join(odds, on).drop(*[f"_{n}" for n in names])
-    return drawn.withColumn("sampled", uniform(F.col(id_col), seed) < F.col("probability"))
+    drawn = rows.join(raked.select(*names, "weight", odds_of_one.alias("probability")), names)
+    return drawn.withColumn("sampled", uniform(F.col("key"), seed) < F.col("probability")).select("row.*", *made)
 
 
 def mix_sql(powers: dict[str, float], keep: float = 0.5, rounds: int = 10, seed: int = 11, calibration: int = 12) -> str:

@@ -142,6 +142,6 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text", base: str
     counted = text_counts(docs.withColumn("_key", F.struct(*[c for c in docs.columns if c != text_col])), text_col, ["_key"])
     judged = counted.withColumn("base_failed", F.expr(base)).withColumn("rule", first_rule(rules))
     judged = judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
-    own = {c for c in judged.columns if c != "_key"}
-    kept = [F.col(f"_key.`{c}`") for c in docs.columns if c != text_col and c not in own]
+    own = {c.lower() for c in judged.columns if c != "_key"}
+    kept = [F.col(f"_key.`{c}`") for c in docs.columns if c != text_col and c.lower() not in own]
     return judged.select(*kept, *[c for c in judged.columns if c != "_key"])

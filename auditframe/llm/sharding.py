@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from auditframe.functions.storage import written
+from auditframe.llm._table import packed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -69,18 +70,13 @@ def deal(docs: DataFrame, shards: int = 8, text_col: str = "text", seed: int = 7
     ``shard`` or ``slot`` are replaced. Equal texts are no unit here: the
     method scatters records one by one.
     """
-    docs = docs.drop("shard", "slot", "_bucket", "_place", "_row")
-    shuffled = external_shuffle(docs, text_size(text_col), seed, bucket_bytes)
+    shuffled = external_shuffle(packed(docs.drop("shard", "slot")), text_size(f"row.{text_col}"), seed, bucket_bytes)
     before = F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     # One row a bucket: the table of buckets is small against the rows.
     starts = shuffled.groupBy("_bucket").agg(F.count("*").alias("n")).select("_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
     position = F.col("_start") + F.col("_place")
-    return (
-        shuffled.join(starts, "_bucket")
-        .withColumn("shard", F.pmod(position, F.lit(shards)).cast("int"))
-        .withColumn("slot", F.floor(position / shards).cast("long"))
-        .drop("_bucket", "_place", "_start")
-    )
+    shard, slot = F.pmod(position, F.lit(shards)).cast("int"), F.floor(position / shards).cast("long")
+    return shuffled.join(starts, "_bucket").select("row.*", shard.alias("shard"), slot.alias("slot"))
 
 
 def write_shards(dealt: DataFrame, path: str) -> None:

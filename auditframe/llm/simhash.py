@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions.storage import written
+from auditframe.llm._table import packed
 from auditframe.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -167,6 +168,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     groups = near_groups(docs, id_col, text_col, shingle, most)
     stay = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "text_hash").distinct()
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(text_col))
-    same = keyed["_id"].eqNullSafe(stay["id"]) & (keyed["_hash"] == stay["text_hash"])
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    keyed = packed(docs, own_id=F.col(id_col).cast("long"), own_hash=F.xxhash64(text_col))
+    same = keyed["own_id"].eqNullSafe(stay["id"]) & (keyed["own_hash"] == stay["text_hash"])
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["own_id", "own_hash"]).select("row.*")
