@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions.storage import shared_folder
 from auditframe.llm import decontaminate, gam, raking, sharding, simhash
-from auditframe.llm._table import fold, read
+from auditframe.llm._table import fold, packed, read
 from auditframe.llm.queries import MIX
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,8 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model accepts; it learns from labels outside the held-out fifth."""
     model = gam.learn(docs, read(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0))
-    scored = gam.score(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text"), model)
-    return scored.filter("predicted = 1").select("_row.*")
+    return gam.score(packed(docs, text=F.col("text")), model).filter("predicted = 1").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +34,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn to the target marginals."""
-    return raking.mix(docs, MIX).filter("sampled").select(*docs.columns)
+    keyed = packed(docs, **{c: F.col(c) for c in ("doc_id", "text", "lang", "source")})
+    return raking.mix(keyed, MIX).filter("sampled").select("row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
