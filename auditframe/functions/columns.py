@@ -38,10 +38,13 @@ def quoted(name: str) -> Column:
 
 
 def unpivot_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value) with every value as a string, NULLs kept: one scan whatever the column count."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns]
-    )
+    """(column, value) with every value as a string, NULLs kept: one scan whatever the column count.
+
+    Negative zero is the number zero, as everywhere but in text.
+    """
+    floating = set(typed(df, T.FloatType, T.DoubleType))
+    value = lambda c: (quoted(c) + F.lit(0.0) if c in floating else quoted(c)).cast("string")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns])
     return df.select(F.explode(cells).alias("_c")).select("_c.*")
 
 
@@ -49,12 +52,13 @@ def value_counts(df: DataFrame, columns: list[str], whole_values: bool = True) -
     """(column, value, n), partially aggregated before the shuffle.
 
     Without ``whole_values`` long strings travel as their SHA-256, which keeps
-    whole documents out of the shuffle when only distinctness matters.
+    whole documents out of the shuffle when only distinctness matters. Blank
+    values stay as they are, so that they can still be told from others.
     """
     cells = unpivot_values(df, columns)
     if not whole_values:
         digest = F.concat(F.lit("sha256:"), F.sha2(F.col("value").cast("binary"), 256))
-        cells = cells.withColumn("value", F.when(F.length("value") > LONG_VALUE, digest).otherwise(F.col("value")))
+        cells = cells.withColumn("value", F.when((F.length("value") > LONG_VALUE) & (F.trim("value") != ""), digest).otherwise(F.col("value")))
     return cells.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 

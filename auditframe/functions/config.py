@@ -1,4 +1,4 @@
-"""Canonical form and fingerprints of configuration documents."""
+"""Fingerprints of configuration documents, as digests of their leaves."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import hashlib
 import json
 import re
 import sys
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -14,75 +16,102 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Keys that mark a configuration, keys whose string lists are one text, default version.
+# Keys that mark a configuration, fields that wrap one, keys whose string lists are one text, default
+# version, and quotes at the edge of a word.
 DOCUMENT_KEYS = ["data_sources", "instructions", "config", "benchmarks"]
+WRAPPERS = ["serialized_space", "_parsed_space"]
 TEXT_LIST_KEYS = ["content", "sql"]
 DEFAULT_VERSION = 2
-_EDGE_QUOTE = re.compile(r"(?<![A-Za-z0-9])'|'(?![A-Za-z0-9])")
-
-
-def _plain(node, key: str | None, drop_quotes: bool):
-    """Sort keys and id lists, join text lists, drop quotes at word edges."""
-    text = (lambda s: _EDGE_QUOTE.sub("", s)) if drop_quotes else (lambda s: s)
-    if isinstance(node, dict):
-        return {k: _plain(node[k], k, drop_quotes) for k in sorted(node)}
-    if isinstance(node, list):
-        if node and key in TEXT_LIST_KEYS and all(isinstance(x, str) for x in node):
-            return text("".join(node))
-        items = [_plain(x, key, drop_quotes) for x in node]
-        keyed = all(isinstance(x, dict) and isinstance(x.get("id"), str) for x in items)
-        return sorted(items, key=lambda x: x["id"]) if items and keyed else items
-    return text(node) if isinstance(node, str) else node
-
-
-def _document(raw: str | None) -> dict | None:
-    """The configuration inside a stored document, without internal keys; None when there is none."""
+EDGE_QUOTE = re.compile(r"(?<![A-Za-z0-9])'|'(?![A-Za-z0-9])")
+
+
+def configuration(document: Column) -> Column:
+    """The JSON text of the configuration inside a stored document, NULL when there is none.
+
+    A wrapper field may hold it as an object or as text; a document that has
+    one of the known keys is a configuration itself. Empty objects are none.
+    """
+    filled = lambda c: F.when(F.size(F.json_object_keys(c)) > 0, c)
+    inside = [filled(F.get_json_object(document, f"$.{name}")) for name in WRAPPERS]
+    known = F.arrays_overlap(F.json_object_keys(document), F.array(*[F.lit(k) for k in DOCUMENT_KEYS]))
+    return F.coalesce(*inside, F.when(known, document))
+
+
+def _leaves(root, loose_quotes: bool) -> Iterator[str]:
+    """One ``path=value`` for each scalar or empty container.
+
+    A step is a key, a position, or the ``id`` of an element where all
+    elements have one, so neither key order nor the order of such elements
+    shows; equal ids are told apart by their turn.
+    """
+    open_nodes = [("", "", root)]
+    while open_nodes:
+        path, key, node = open_nodes.pop()
+        if isinstance(node, list) and node and key in TEXT_LIST_KEYS and all(isinstance(x, str) for x in node):
+            node = "".join(node)
+        if isinstance(node, dict) and node:
+            open_nodes += [(f"{path}/{json.dumps(k)}", k, v) for k, v in node.items()]
+        elif isinstance(node, list) and node:
+            turn: Counter = Counter()
+            named = all(isinstance(x, dict) and isinstance(x.get("id"), str) for x in node)
+            for place, x in enumerate(node):
+                step = json.dumps(x["id"]) if named else str(place)
+                turn[step] += 1
+                open_nodes.append((f"{path}[{step}.{turn[step]}]", key, x))
+        else:
+            if loose_quotes and isinstance(node, str):
+                node = EDGE_QUOTE.sub("", node)
+            yield f"{path}={json.dumps(node)}"
+
+
+def parts(text: str | None) -> tuple[list[str] | None, list[str] | None]:
+    """Sorted leaves of a configuration without its benchmark block, and of that block; None for what cannot be read.
+
+    Keys of the top level that begin with an underscore are internal. A block
+    without questions equals one with an empty list; questions that are no
+    list cannot be read.
+    """
     try:
-        outer = json.loads(raw) if raw else None
+        found = json.loads(text) if text else None
     except ValueError:
-        return None
-    if not isinstance(outer, dict):
-        return None
-    found = None
-    inner = outer.get("serialized_space")
-    if isinstance(inner, str):
-        try:
-            inner = json.loads(inner)
-        except ValueError:
-            inner = None
-    for candidate in (inner, outer.get("_parsed_space"), outer if any(k in outer for k in DOCUMENT_KEYS) else None):
-        if isinstance(candidate, dict) and candidate:
-            found = candidate
-            break
-    if found is None:
-        return None
-    return {"version": DEFAULT_VERSION} | {k: v for k, v in found.items() if not k.startswith("_")}
-
-
-def _hash(value) -> str:
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return hashlib.sha256(text.encode("utf-8")).hexdigest()
-
-
-def document_fingerprints(raw: str | None) -> tuple[str | None, str | None]:
-    """(configuration, benchmark questions) fingerprints; None for what cannot be read."""
-    doc = _document(raw)
-    if doc is None:
+        found = None
+    if not isinstance(found, dict):
         return None, None
-    config = _hash(_plain({k: v for k, v in doc.items() if k != "benchmarks"}, None, True))
-    block = doc.get("benchmarks")
-    block = {} if block is None else block
-    questions = block.get("questions") if isinstance(block, dict) else 0
-    questions = [] if questions is None else questions
-    if not isinstance(questions, list):
+    visible = {"version": DEFAULT_VERSION, **{k: v for k, v in found.items() if k[:1] != "_"}}
+    block = visible.pop("benchmarks", None)
+    config = sorted(_leaves(visible, True))
+    if block is not None and not isinstance(block, dict):
         return config, None
-    return config, _hash(_plain({**block, "questions": questions}, None, False))
+    block = {"questions": [], **{k: v for k, v in (block or {}).items() if k != "questions" or v is not None}}
+    return config, sorted(_leaves(block, False)) if isinstance(block["questions"], list) else None
 
 
 def fingerprints_column(document: Column) -> Column:
-    """struct(config_fp, benchmark_fp) of a JSON document, one document at a time inside Arrow batches."""
+    """struct(config_fp, benchmark_fp) of a JSON document, a batch of documents at a time."""
+
+    def digest(leaves: list[str] | None) -> str | None:
+        return None if leaves is None else hashlib.sha256("\n".join(leaves).encode()).hexdigest()
+
+    def both(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([[digest(x) for x in parts(t)] for t in texts], columns=["config_fp", "benchmark_fp"], dtype="object")
+
+    return F.pandas_udf(both, "config_fp STRING, benchmark_fp STRING")(configuration(document))
+
+
+def drift_column(stored: Column, live: Column) -> Column:
+    """struct(config, benchmarks): does one document differ from the other in that part? NULL when a side cannot be read.
+
+    Equal texts travel once and are only tested for being readable.
+    """
 
-    def both(docs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([document_fingerprints(d) for d in docs], columns=["config_fp", "benchmark_fp"], dtype="object")
+    def compare(texts: pd.Series, others: pd.Series, same: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, other, equal in zip(texts, others, same, strict=True):
+            left = parts(text)
+            right = left if equal else parts(other)
+            rows.append([None if a is None or b is None else a != b for a, b in zip(left, right, strict=True)])
+        return pd.DataFrame(rows, columns=["config", "benchmarks"], dtype="object")
 
-    return F.pandas_udf(both, "config_fp STRING, benchmark_fp STRING")(document)
+    a, b = configuration(stored), configuration(live)
+    same = a.eqNullSafe(b)
+    return F.pandas_udf(compare, "config BOOLEAN, benchmarks BOOLEAN")(a, F.when(~same, b), same)

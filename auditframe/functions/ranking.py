@@ -14,11 +14,12 @@ def number_rows(df: DataFrame, keys: list[str], part: Column, order: list[Column
     ``part`` is an integer that grows with the order (a day, a block of ids).
     Rows are numbered inside (key, part), and each part adds the number of rows
     of the key's earlier parts, taken from the small table of part sizes. The
-    result is the exact row number. Keys must not be NULL.
+    result is the exact row number. NULL keys are a key like others, and rows
+    of a NULL part come before those of all others.
     """
     cut = df.withColumn("_part", part)
     by = [*keys, "_part"]
-    w_all = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_part")).rowsBetween(Window.unboundedPreceding, -1)
     before = (
         cut.groupBy(*by)
         .agg(F.count("*").alias("_n"))
@@ -26,7 +27,10 @@ def number_rows(df: DataFrame, keys: list[str], part: Column, order: list[Column
         .drop("_n")
     )
     local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return local.join(before, by).withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+    sizes = before.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], "_before")
+    same = [local[c].eqNullSafe(sizes[f"_{k}"]) for k, c in enumerate(by)]
+    numbered = local.join(sizes, same).withColumn(name, F.col("_local") + F.col("_before"))
+    return numbered.select(*df.columns, name)
 
 
 def ntile(df: DataFrame, tiles: int, value: str, tie: str, name: str = "tile") -> DataFrame:
@@ -92,26 +96,32 @@ def next_time(rows: DataFrame, events: DataFrame, key: str, row_time: str, event
     return both.join(carry, ["_k", "_s"], "left").select("_row.*", F.coalesce("_in", "_after").alias("next_time"))
 
 
-def kth_free(rows: DataFrame, taken: DataFrame, keys: list[str], k: str, number: str, name: str, start: int = 1) -> DataFrame:
+def kth_free(
+    rows: DataFrame, taken: DataFrame, keys: list[str], k: str, number: str, name: str, start: int = 1, block: int = 65536
+) -> DataFrame:
     """Add ``name``: the ``k``-th integer from ``start`` on that ``taken`` does not hold for the row's key.
 
-    ``taken`` is (keys, number). Between two taken numbers the answer is
-    ``start - 1 + k`` plus the taken numbers below, so each key needs one row
-    per gap and every row falls into exactly one of them.
+    Of the taken numbers in order, the j-th leaves ``number - start + 1 - j``
+    free ones below it, so the answer is ``start - 1 + k`` plus the taken
+    numbers that leave fewer than ``k``. They and the rows are unioned and
+    counted along that scale, in parts of ``block`` that add the counts of
+    earlier parts: no pairs are built, and a hot key spreads over its parts.
+    Numbers are BIGINT. NULL keys are a key like others.
     """
-    used = taken.filter(F.col(number) >= start).select(*keys, F.col(number).alias("_u")).distinct()
-    below = F.row_number().over(Window.partitionBy(*keys).orderBy("_u"))
-    gaps = (
-        used.withColumn("_below", below)
-        .groupBy(*keys, (F.col("_u") - F.lit(start - 1) - F.col("_below")).alias("_free"))
-        .agg(F.max("_below").alias("_below"))
-    )
-    gaps = gaps.withColumn("_until", F.lead("_free").over(Window.partitionBy(*keys).orderBy("_free")))
-    same = F.lit(True)
-    for key in keys:
-        same = same & (F.col(f"r.{key}") == F.col(f"g.{key}"))
-    inside = (F.col(f"r.{k}") > F.col("g._free")) & (F.col("g._until").isNull() | (F.col(f"r.{k}") <= F.col("g._until")))
-    shift = F.coalesce(F.col("g._below"), F.lit(0))
-    return rows.alias("r").join(gaps.alias("g"), same & inside, "left").select(
-        "r.*", (F.lit(start - 1) + F.col(f"r.{k}") + shift).cast("int").alias(name)
-    )
+    used = taken.filter(F.col(number) >= start).select(*keys, F.col(number).cast("long").alias("_u")).distinct()
+    ranked = number_rows(used, keys, F.floor(F.col("_u") / block), [F.col("_u")], "_j")
+    free = (F.col("_u") - start + 1 - F.col("_j")).alias("_at")
+    # Consecutive taken numbers leave equally many free ones: one row with their number.
+    scale = ranked.groupBy(*keys, free).agg(F.count("*").alias("_w"))
+    asked = rows.select(*keys, F.col(k).cast("long").alias("_at"), F.lit(0).cast("long").alias("_w"), F.struct(*rows.columns).alias("_row"))
+    # A taken number with fewer than k free ones below it counts: on equal places the row comes first.
+    both = scale.unionByName(asked, allowMissingColumns=True).withColumn("_part", F.floor(F.col("_at") / block))
+    by = [*keys, "_part"]
+    within = Window.partitionBy(*by).orderBy("_at", F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = both.groupBy(*by).agg(F.sum("_w").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    parts = parts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "_before")
+    counted = both.withColumn("_in", F.sum("_w").over(within)).filter("_row IS NOT NULL")
+    same = [counted[c].eqNullSafe(parts[f"_{i}"]) for i, c in enumerate(by)]
+    answer = F.lit(start - 1) + F.col("_at") + F.col("_in") + F.col("_before")
+    return counted.join(parts, same).select("_row.*", answer.alias(name))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditframe.functions.config import fingerprints_column
+from auditframe.functions.config import drift_column, fingerprints_column
 from auditframe.operators.io import latest_wins
 from auditframe.operators.quality import NOISE_NAME
 from auditframe.operators.text import looks_like_sql
@@ -466,12 +466,12 @@ def fingerprints(documents: DataFrame, document: str = "document") -> DataFrame:
 def config_drift(stored: DataFrame, live: DataFrame, key: str = "doc_id", document: str = "document") -> DataFrame:
     """Per document: does the live configuration or its benchmark block differ from the stored one?
 
-    NULL when a side cannot be read: unreadable is not drift.
+    NULL when a side is missing or cannot be read: unreadable is not drift.
     """
-    a = fingerprints(stored.select(key, document), document).select(key, F.col("config_fp").alias("_c"), F.col("benchmark_fp").alias("_b"))
-    b = fingerprints(live.select(key, document), document).select(key, "config_fp", "benchmark_fp")
-    return a.join(b, key).select(
-        key, (F.col("_c") != F.col("config_fp")).alias("config_drifted"), (F.col("_b") != F.col("benchmark_fp")).alias("benchmarks_drifted")
+    a = stored.select(key, F.col(document).alias("_a"))
+    b = live.select(key, F.col(document).alias("_b"))
+    return a.join(b, key, "full").withColumn("_drift", drift_column(F.col("_a"), F.col("_b"))).select(
+        key, F.col("_drift.config").alias("config_drifted"), F.col("_drift.benchmarks").alias("benchmarks_drifted")
     )
 
 

@@ -181,7 +181,7 @@ def trajectory(iterations: DataFrame) -> DataFrame:
     marked = marked.withColumn("_rec", recovered)
 
     rec = number_rows(
-        marked.filter("_rec"), ["run_id"], F.coalesce("attempt_no", F.lit(-1)) * 1_000_000 + _day(),
+        marked.filter("_rec"), ["run_id"], F.coalesce("attempt_no", F.lit(-1)) * 1_000_000 + F.coalesce(_day(), F.lit(0)),
         [F.col("attempt_no").asc_nulls_first(), F.col("event_ts"), F.col("ordinal")], "_k",
     )
     taken = marked.select("run_id", F.col("attempt_no").alias("_taken"))

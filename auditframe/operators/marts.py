@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,7 +159,7 @@ def segment_maximum(facts: DataFrame, flags: DataFrame, maxima: DataFrame, keys:
     )
 
 
-def monthly_snapshot(intervals: DataFrame, unit: str, start: str, end: str, first, months: int) -> DataFrame:
+def monthly_snapshot(intervals: DataFrame, unit: str, start: str, end: str, first=None, months: int | None = None) -> DataFrame:
     """Per unit and month: active at month end, active at month start, joins, exits and the exit rate.
 
     Every interval adds one start and one end to a per-day tally; head counts
@@ -165,7 +167,13 @@ def monthly_snapshot(intervals: DataFrame, unit: str, start: str, end: str, firs
     so work and shuffle grow with units and days, not with interval lengths.
     Active at the end: started by it and not ended by it. Active at the start:
     started before it and not ended before it. Months with nothing are dropped.
+    Without ``first`` and ``months`` the spine covers all dates of the table,
+    which one scan finds before the plan is built.
     """
+    if first is None or months is None:
+        low, high = intervals.agg(F.least(F.min(start), F.min(end)), F.greatest(F.max(start), F.max(end))).first()
+        first = first or (dt.date(low.year, low.month, 1) if low else dt.date(1970, 1, 1))
+        months = months or (max(1, (high.year - first.year) * 12 + high.month - first.month + 1) if high else 1)
     month = lambda c: F.to_date(F.date_trunc("month", c))
     starts = intervals.groupBy(unit, month(start).alias("month")).agg(F.count("*").alias("joins"))
     ended = intervals.filter(F.col(end).isNotNull())

@@ -62,12 +62,12 @@ def null_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def casing_groups(df: DataFrame) -> DataFrame:
+def casing_groups(df: DataFrame, limit: int = CASING_DISTINCT_LIMIT) -> DataFrame:
     """Lower-cased values of string columns that have several spellings or read as booleans.
 
-    Columns with more than 100 distinct values are left out.
+    Columns with more than ``limit`` distinct values are left out; :func:`casing_skipped` names them.
     """
-    kept = low_cardinality(df, string_columns(df), CASING_DISTINCT_LIMIT)
+    kept = low_cardinality(df, string_columns(df), limit)
     return (
         kept.groupBy("column", F.lower("value").alias("normalized"))
         .agg(
@@ -80,6 +80,12 @@ def casing_groups(df: DataFrame) -> DataFrame:
     )
 
 
+def casing_skipped(df: DataFrame, limit: int = CASING_DISTINCT_LIMIT) -> DataFrame:
+    """The string columns that have more than ``limit`` distinct values, with their number."""
+    counts = value_counts(df, string_columns(df), whole_values=False)
+    return counts.groupBy("column").agg(F.count("value").alias("distinct_count")).filter(F.col("distinct_count") > limit)
+
+
 def casing_variants(groups: DataFrame) -> DataFrame:
     return groups.filter("variant_count > 1")
 

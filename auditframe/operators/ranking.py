@@ -7,6 +7,7 @@ table, after the log has been aggregated to columns.
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,9 +131,9 @@ def relevant_log(
 ) -> DataFrame:
     """Finished statements of the window that belong to the target agent or name a configured asset.
 
-    Qualified names match anywhere, leaf names as whole words. The target's own
-    statements come first, then the newest. The time filter is first: it is the
-    one the scan can use.
+    Qualified names match anywhere, leaf names as whole words. With ``limit``
+    the target's own statements come first, then the newest; without one the
+    rows have no order. The time filter is first: it is the one the scan can use.
     """
     text = F.lower(F.replace(F.coalesce("statement_text", F.lit("")), F.lit("`"), F.lit("")))
     parts = [a.lower().split(".") for a in assets]
@@ -140,16 +141,16 @@ def relevant_log(
     leaves = sorted({p[-1] for p in parts})
     named = _any(text, qualified)
     if leaves:
-        named = named | text.rlike("(^|[^a-z0-9_])(" + "|".join(leaves) + ")([^a-z0-9_]|$)")
+        named = named | text.rlike("(^|[^a-z0-9_])(" + "|".join(map(re.escape, leaves)) + ")([^a-z0-9_]|$)")
     mine = F.coalesce(F.col("space_id") == target_space, F.lit(False)) if target_space else F.lit(False)
     rows = (
         log.filter(F.col("start_time") >= F.lit(as_of - dt.timedelta(days=days)))
         .filter("execution_status = 'FINISHED'")
         .filter(mine | named)
         .withColumn("in_scope", mine)
-        .orderBy(F.desc("in_scope"), F.desc("start_time"), "statement_id")
     )
-    return rows if limit is None else rows.limit(limit)
+    order = [F.desc("in_scope"), F.desc("start_time"), F.asc("statement_id")]
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
 def adaptive_lookback(
@@ -384,8 +385,8 @@ def entity_score(columns: DataFrame, strict: bool = False) -> DataFrame:
     rows = F.coalesce("row_count", F.lit(0))
     profiled = card > 0
     rejects = [
-        (F.col("verdict") == "tainted", "governed"),
-        ((F.col("verdict") == "unknown") & F.lit(strict), "governed_unknown"),
+        (F.col("verdict") == "tainted", "rls_tainted"),
+        ((F.col("verdict") == "unknown") & F.lit(strict), "rls_unknown_strict"),
         (_any(name, PERSONAL_NAMES), "pii_name"),
         (_any(name, FREE_TEXT_NAMES), "free_text_name"),
         (_any(name, FLAG_NAMES), "boolean_flag"),

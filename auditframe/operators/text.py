@@ -187,23 +187,29 @@ def renumber_ids(rows: DataFrame, id_: str = "question_id", ordinal: str = "ordi
     """Make ids unique: the first row of an id keeps it, later ones get ``id:v2``, ``id:v3`` and so on.
 
     Suffixes that some row already carries are skipped, in one pass: the k-th
-    duplicate takes the k-th free number. Blank ids stay as they are.
+    duplicate takes the k-th free number. Ids are compared and named without
+    surrounding blanks; blank ids stay as they are. Rows without an ordinal
+    come first, in no fixed order among themselves.
     """
-    known = F.coalesce(F.trim(id_), F.lit(""))
-    named = rows.filter(known != "")
-    numbered = number_rows(named, [id_], F.floor(F.col(ordinal) / block), [F.col(ordinal)], "_n")
-    pattern = r"^(.*):v(\d{1,9})$"
+    bare = F.coalesce(F.trim(id_), F.lit(""))
+    named = rows.withColumn("_id", bare).filter("_id <> ''")
+    numbered = number_rows(named, ["_id"], F.floor(F.col(ordinal) / block), [F.asc_nulls_first(ordinal)], "_n")
+    pattern = r"^(.*):v(\d{1,18})$"
+    # Longer numbers than 18 digits are beyond any count of rows.
     taken = (
-        named.filter(F.col(id_).rlike(pattern))
-        .select(F.regexp_extract(id_, pattern, 1).alias(id_), F.regexp_extract(id_, pattern, 2).cast("int").alias("_t"))
+        named.filter(F.col("_id").rlike(pattern))
+        .select(F.regexp_extract("_id", pattern, 1).alias("_base"), F.regexp_extract("_id", pattern, 2).alias("_digits"))
+        # `v02` is a name of its own, which `v2` does not meet.
+        .filter(~F.col("_digits").startswith("0"))
+        .select(F.col("_base").alias("_id"), F.col("_digits").cast("long").alias("_t"))
         .distinct()
     )
     later = numbered.filter("_n > 1").withColumn("_k", F.col("_n") - 1)
-    moved = kth_free(later, taken, [id_], "_k", "_t", "_v", start=2)
-    moved = moved.withColumn("new_id", F.concat(F.col(id_), F.lit(":v"), F.col("_v").cast("string"))).drop("_k", "_v")
-    first = numbered.filter("_n = 1").withColumn("new_id", F.col(id_))
-    blank = rows.filter(known == "").withColumn("new_id", F.col(id_))
-    return first.unionByName(moved).drop("_n").unionByName(blank)
+    moved = kth_free(later, taken, ["_id"], "_k", "_t", "_v", start=2)
+    moved = moved.withColumn("new_id", F.concat(F.col("_id"), F.lit(":v"), F.col("_v").cast("string"))).drop("_k", "_v")
+    first = numbered.filter("_n = 1").withColumn("new_id", F.col("_id"))
+    blank = rows.filter(bare == "").withColumn("new_id", F.col(id_))
+    return first.unionByName(moved).drop("_n", "_id").unionByName(blank)
 
 
 # ---- leakage -----------------------------------------------------------------
@@ -301,10 +307,10 @@ def leak_decisions(artifacts: DataFrame, corpus: DataFrame, strict: bool = True)
     reason = (
         F.when(near & exact, "exact_question_and_sql")
         .when(joint & overlap, "high_question_and_sql_similarity")
-        .when(near, "question_echo")
-        .when(overlap, "sql_pattern_overlap")
+        .when(near, "benchmark_question_echo")
+        .when(overlap, "sql_pattern_overlap_strict" if strict else "sql_pattern_overlap_warning")
     )
-    blocked = F.lit(True) if strict else F.col("reason") != "sql_pattern_overlap"
+    blocked = F.col("reason") != "sql_pattern_overlap_warning"
     decision = F.when(F.col("reason").isNull(), "pass").when(blocked, "block").otherwise("warn")
     return rows.select(
         "artifact_id", "kind", reason.alias("reason"), "question_score",
@@ -385,26 +391,28 @@ SAMPLING = r"(?i)\btablesample\s*\(|\bsample\s+(?:bernoulli|system)\b"
 CLOCK = r"(?i)\b(?:current_date|current_timestamp|localtimestamp|now|curdate)\b"
 
 
-def _unordered_limit(code: Column, depth: int = 12) -> Column:
+def _unordered_limit(code: Column) -> Column:
     """LIMIT without ORDER BY since the last SELECT of the same scope.
 
-    Only clause words and parentheses are kept, one letter each; scopes are
-    then read and removed from the inside out, up to ``depth`` levels.
+    Clause words and parentheses are read once, in order, whatever the depth.
+    ``open`` has one letter for each scope that is open, the innermost last:
+    whether an ORDER BY has been seen since its last SELECT.
     """
-    words = F.upper(F.array_join(F.regexp_extract_all(code, F.lit(r"(?i)(\bSELECT\b|\bORDER\s+BY\b|\bLIMIT\b|[()])"), F.lit(1)), ""))
-    letters = F.regexp_replace(F.regexp_replace(F.regexp_replace(words, "SELECT", "S"), r"ORDER\s+BY", "O"), "LIMIT", "L")
-    loose = r"(?:^|[S(])[^SO()]*L"
-
-    def strip(acc: Column, _: Column) -> Column:
-        inner = F.regexp_extract_all(acc["rest"], F.lit(r"\(([^()]*)\)"), F.lit(1))
-        return F.struct(
-            F.regexp_replace(acc["rest"], r"\([^()]*\)", "").alias("rest"),
-            (acc["found"] | F.exists(inner, lambda s: s.rlike(loose))).alias("found"),
+    words = F.transform(F.regexp_extract_all(code, F.lit(r"(?i)(\bSELECT\b|\bORDER\s+BY\b|\bLIMIT\b|[()])"), F.lit(1)), lambda w: F.upper(F.substring(w, 1, 1)))
+    outer = lambda a: F.substring(a["open"], F.lit(1), F.length(a["open"]) - 1)
+
+    def step(acc: Column, w: Column) -> Column:
+        scopes = (
+            F.when(w == "(", F.concat(acc["open"], F.lit("n")))
+            .when(w == ")", F.when(F.length(acc["open"]) > 1, outer(acc)).otherwise(acc["open"]))
+            .when(w == "S", F.concat(outer(acc), F.lit("n")))
+            .when(w == "O", F.concat(outer(acc), F.lit("y")))
+            .otherwise(acc["open"])
         )
+        return F.struct(scopes.alias("open"), (acc["found"] | ((w == "L") & acc["open"].endswith("n"))).alias("found"))
 
-    start = F.struct(letters.alias("rest"), F.lit(False).alias("found"))
-    levels = F.when(F.contains(letters, F.lit("(")), F.sequence(F.lit(1), F.lit(depth))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(levels, start, strip, lambda acc: acc["found"] | acc["rest"].rlike(loose))
+    start = F.struct(F.lit("n").alias("open"), F.lit(False).alias("found"))
+    return F.aggregate(words, start, step, lambda acc: acc["found"])
 
 
 def statement_findings(statements: DataFrame, statement: str = "expected_sql", key: str = "question_id") -> DataFrame:

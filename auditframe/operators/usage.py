@@ -177,20 +177,28 @@ def cost_per_conversation(
 # ---- usage -----------------------------------------------------------------
 
 
-def daily_usage(log, as_of, days: int = 30, accuracy: int = 10000) -> DataFrame:
-    """Per agent and day: queries, median and 95th percentile duration, failures, distinct users."""
-    pct = lambda p: F.percentile_approx("duration_ms", p, accuracy)
+def daily_usage(log, as_of, days: int = 30) -> DataFrame:
+    """Per agent and day: queries, median and 95th percentile duration, failures, distinct users.
+
+    Percentiles are exact: the smallest duration that so many queries do not
+    exceed. Durations are counted per value first, so a busy agent shuffles its
+    different durations, and its windows run over those and not over queries.
+    """
     keys = ["space_id", "day"]
     recent = (
         log.filter(since("start_time", as_of, days))
         .filter("space_id IS NOT NULL")
         .withColumn("day", F.to_date("start_time"))
     )
-    timing = recent.groupBy(*keys).agg(
-        F.count("*").alias("queries"),
-        pct(0.5).alias("p50_ms"),
-        pct(0.95).alias("p95_ms"),
-        F.count_if(F.col("execution_status") == "FAILED").alias("errors"),
+    counts = recent.groupBy(*keys, "duration_ms").agg(
+        F.count("*").alias("_n"), F.count_if(F.col("execution_status") == "FAILED").alias("_failed")
+    )
+    timed = F.when(F.col("duration_ms").isNotNull(), F.col("_n")).otherwise(0)
+    upto = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("duration_ms")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_upto", F.sum(timed).over(upto)).withColumn("_of", F.sum(timed).over(Window.partitionBy(*keys)))
+    at = lambda p: F.min(F.when(F.col("_upto") >= F.ceil(F.col("_of") * F.lit(p).cast("decimal(3,2)")), F.col("duration_ms")))
+    timing = ranked.groupBy(*keys).agg(
+        F.sum("_n").alias("queries"), at("0.5").alias("p50_ms"), at("0.95").alias("p95_ms"), F.sum("_failed").alias("errors")
     )
     users = recent.groupBy(*keys).agg(F.countDistinct("executed_by").alias("distinct_users"))
     return timing.join(users, keys)

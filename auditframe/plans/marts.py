@@ -250,13 +250,11 @@ def segment_risk(i):
     return m.segment_maximum(facts, flags, maxima, keys, segment, "top")
 
 
-_FIRST, _MONTHS = dt.date(1996, 1, 1), 60
-
-
 @FAMILY.add(
     "mq_monthly_snapshot",
     oracle(
-        """WITH spine AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '2000-12-01', INTERVAL 1 MONTH)) AS DATE) AS month),
+        """WITH span AS (SELECT least(min(start_date), min(end_date)) AS low, greatest(max(start_date), max(end_date)) AS high FROM memberships),
+        spine AS (SELECT CAST(unnest(generate_series(date_trunc('month', low), date_trunc('month', high), INTERVAL 1 MONTH)) AS DATE) AS month FROM span),
         grid AS (SELECT unit, month, CAST(last_day(month) AS DATE) AS month_end
                  FROM (SELECT DISTINCT unit FROM memberships) u, spine),
         counts AS (
@@ -272,7 +270,7 @@ _FIRST, _MONTHS = dt.date(1996, 1, 1), 60
     ),
 )
 def monthly_snapshot(i):
-    return m.monthly_snapshot(i.memberships, "unit", "start_date", "end_date", _FIRST, _MONTHS)
+    return m.monthly_snapshot(i.memberships, "unit", "start_date", "end_date")
 
 
 @FAMILY.add(

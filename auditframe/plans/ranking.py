@@ -259,7 +259,7 @@ def evict(i):
 _SCORE = """
   f AS (SELECT *, lower(coalesce(description, '')) AS d FROM named_columns),
   s AS (SELECT table_name, column_name, data_type, enabled,
-               CASE WHEN verdict = 'tainted' THEN 'governed' WHEN column_name = 'customer_email' THEN 'pii_name'
+               CASE WHEN verdict = 'tainted' THEN 'rls_tainted' WHEN column_name = 'customer_email' THEN 'pii_name'
                     WHEN column_name = 'notes' THEN 'free_text_name' WHEN column_name = 'is_active' THEN 'boolean_flag'
                     WHEN contains(d, 'sensitive') THEN 'pii_description'
                     WHEN cardinality > 0 AND cardinality < 2 THEN 'cardinality_too_low'

@@ -3,7 +3,7 @@
 import uuid
 
 
-from auditframe.functions.storage import shared_folder
+from auditframe.functions.storage import session_folder
 from auditframe.plans import Family
 from auditframe.sources import VIEWS, oracle
 from auditframe.streaming import usage as s
@@ -12,7 +12,7 @@ FAMILY = Family()
 
 
 def _folder(i, name: str) -> str:
-    return f"{shared_folder(i.spark)}/auditframe/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _query_log(i, events):

@@ -307,11 +307,11 @@ _DECISION = f"""
         FROM artifacts a LEFT JOIN q USING (artifact_id) LEFT JOIN sq USING (artifact_id)),
   d AS (SELECT *, CASE WHEN qs >= 0.85 AND ex THEN 'exact_question_and_sql'
                        WHEN qs IS NOT NULL AND (ex OR ss IS NOT NULL) THEN 'high_question_and_sql_similarity'
-                       WHEN qs >= 0.85 THEN 'question_echo'
-                       WHEN ex OR ss IS NOT NULL THEN 'sql_pattern_overlap' END AS reason FROM f)
+                       WHEN qs >= 0.85 THEN 'benchmark_question_echo'
+                       WHEN ex OR ss IS NOT NULL THEN 'sql_pattern_overlap_warning' END AS reason FROM f)
   SELECT artifact_id, kind, reason, round(qs, 6) AS question_score,
          CASE WHEN ex THEN 1.0 ELSE round(ss, 6) END AS sql_score,
-         CASE WHEN reason IS NULL THEN 'pass' WHEN reason = 'sql_pattern_overlap' THEN 'warn' ELSE 'block' END AS decision
+         CASE WHEN reason IS NULL THEN 'pass' WHEN reason = 'sql_pattern_overlap_warning' THEN 'warn' ELSE 'block' END AS decision
   FROM d"""
 
 

@@ -7,7 +7,6 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from auditframe.functions.config import document_fingerprints
 from auditframe.operators import catalog, equivalence, evals, io, marts, profile, quality, ranking, text, usage
 from auditframe.streaming import usage as stream
 
@@ -380,12 +379,12 @@ def test_leak_decisions(spark):
     assert got == {
         1: ("block", "exact_question_and_sql"),
         2: ("block", "high_question_and_sql_similarity"),
-        3: ("block", "question_echo"),
-        4: ("warn", "sql_pattern_overlap"),
+        3: ("block", "benchmark_question_echo"),
+        4: ("warn", "sql_pattern_overlap_warning"),
         5: ("pass", None),
     }
-    strict = {r["artifact_id"]: r["decision"] for r in text.leak_decisions(arts, corpus).collect()}
-    assert strict[4] == "block"
+    strict = {r["artifact_id"]: (r["decision"], r["reason"]) for r in text.leak_decisions(arts, corpus).collect()}
+    assert strict[4] == ("block", "sql_pattern_overlap_strict")
 
 
 # ---- ranking ----------------------------------------------------------------------
@@ -511,18 +510,49 @@ def test_scorecard_documents(spark):
     assert card(spark, hidden)[0][10] == "pass"
 
 
-def test_fingerprint_ignores_representation():
+def fingerprints_of(spark, *docs):
+    rows = [(i, d if d is None or isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "doc_id int, document string")
+    return [(r.config_fp, r.benchmark_fp) for r in catalog.fingerprints(frame).orderBy("doc_id").collect()]
+
+
+def test_fingerprint_ignores_representation(spark):
     doc = full_document()
-    a = document_fingerprints(json.dumps(doc))
-    wrapped = {"serialized_space": json.dumps(dict(reversed(list(doc.items())))), "_internal": 1}
-    assert document_fingerprints(json.dumps(wrapped)) == a
-    fewer = {**doc, "benchmarks": {}}
-    assert document_fingerprints(json.dumps(fewer))[0] == a[0] and document_fingerprints(json.dumps(fewer))[1] != a[1]
-    assert document_fingerprints("not json") == (None, None) and document_fingerprints(None) == (None, None)
-    assert document_fingerprints(json.dumps({"benchmarks": {"questions": "bad"}}))[1] is None
+    turned = dict(reversed(list(doc.items())))
     quoted = {"config": {"note": "O'Reilly sells 'x'"}}
     plain = {"config": {"note": "O'Reilly sells x"}}
-    assert document_fingerprints(json.dumps(quoted))[0] == document_fingerprints(json.dumps(plain))[0]
+    got = fingerprints_of(
+        spark, doc, {"serialized_space": json.dumps(turned), "_internal": 1}, {"_parsed_space": turned}, {**doc, "benchmarks": {}}, "not json", None,
+        {"benchmarks": {"questions": "bad"}}, quoted, plain, {"serialized_space": doc, "_parsed_space": plain}, "[1]", {"other": 1}, {"config": {}, "_x": 2}, {"config": {}, "version": 2},
+    )
+    a = got[0]
+    assert None not in a and got[1] == got[2] == got[9] == a
+    assert got[3][0] == a[0] and got[3][1] != a[1]
+    assert got[4] == got[5] == got[10] == got[11] == (None, None)
+    assert got[6][0] is not None and got[6][1] is None
+    assert got[7][0] == got[8][0] and got[12] == got[13]
+
+
+def test_fingerprint_order_of_lists(spark):
+    """Elements with ids have no order, others do; equal ids keep theirs; text lists are one text."""
+    make = lambda x: {"config": {"rows": x, "content": ["a", "b"]}}
+    ids = [{"id": "1", "v": 1}, {"id": "2", "v": 2}]
+    twice = [{"id": "1", "v": 1}, {"id": "1", "v": 2}]
+    got = fingerprints_of(
+        spark, make(ids), make(ids[::-1]), make([1, 2]), make([2, 1]), make(twice), make(twice[::-1]), {"config": {"rows": ids, "content": "ab"}}, make([]), make({}), make(None),
+    )
+    config = [c for c, _ in got]
+    assert config[0] == config[1] == config[6] and config[2] != config[3] and config[4] != config[5]
+    assert len({config[0], config[2], config[4], config[7], config[8], config[9]}) == 6
+
+
+def test_drift_of_documents_on_one_side(spark):
+    schema = "doc_id int, document string"
+    bad = json.dumps({"config": {"a": 1}, "benchmarks": {"questions": "none"}})
+    stored = spark.createDataFrame([(1, '{"config": {"a": 1}}'), (2, '{"config": {"a": 1}}'), (3, "x"), (4, bad), (5, '{"config": {"a": 1}}')], schema)
+    live = spark.createDataFrame([(1, '{"config": {"a": 1}}'), (2, '{"config": {"a": 2}}'), (3, "x"), (4, bad), (6, '{"config": {"a": 1}}')], schema)
+    got = {r.doc_id: (r.config_drifted, r.benchmarks_drifted) for r in catalog.config_drift(stored, live).collect()}
+    assert got == {1: (False, False), 2: (True, False), 3: (None, None), 4: (False, None), 5: (None, None), 6: (None, None)}
 
 
 # ---- marts and streams --------------------------------------------------------------
