@@ -55,8 +55,8 @@ def tempered(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]
     out = {}
     for name, power in powers.items():
         raw = cells.groupBy(name).agg(F.sum("tokens").alias("t")).filter("t > 0").withColumn("t", F.pow(F.col("t").cast("double"), F.lit(float(power))))
-        total = raw.agg(F.sum("t").alias("s"))
-        out[name] = raw.join(F.broadcast(total)).select(name, (F.col("t") / F.col("s")).alias("share"))
+        total = raw.agg(F.sum("t")).first()[0] or 1.0
+        out[name] = raw.select(name, (F.col("t") / F.lit(total)).alias("share"))
     return out
 
 
