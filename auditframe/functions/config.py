@@ -7,7 +7,6 @@ import json
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -37,35 +36,38 @@ def configuration(document: Column) -> Column:
     return F.coalesce(*inside, F.when(known, document))
 
 
-def _leaves(root, loose_quotes: bool) -> Iterator[str]:
-    """One ``path=value`` for each scalar or empty container.
+def _leaves(root, loose_quotes: bool) -> dict[str, str]:
+    """The value of each scalar or empty container by its path.
 
     A step is a key, a position, or the ``id`` of an element where all
     elements have one, so neither key order nor the order of such elements
     shows; equal ids are told apart by their turn.
     """
+    found = {}
     open_nodes = [("", "", root)]
     while open_nodes:
         path, key, node = open_nodes.pop()
-        if isinstance(node, list) and node and key in TEXT_LIST_KEYS and all(isinstance(x, str) for x in node):
-            node = "".join(node)
-        if isinstance(node, dict) and node:
-            open_nodes += [(f"{path}/{json.dumps(k)}", k, v) for k, v in node.items()]
-        elif isinstance(node, list) and node:
+        kind = type(node)
+        if kind is list and key in TEXT_LIST_KEYS and node and all(isinstance(x, str) for x in node):
+            node, kind = "".join(node), str
+        if kind is str:
+            found[path] = f'"{EDGE_QUOTE.sub("", node) if loose_quotes and "'" in node else node}'
+        elif not node or kind not in (dict, list):
+            found[path] = json.dumps(node)
+        elif kind is dict:
+            open_nodes += [(f"{path}/{k.replace('/', '//')}/", k, v) for k, v in node.items()]
+        else:
             turn: Counter = Counter()
             named = all(isinstance(x, dict) and isinstance(x.get("id"), str) for x in node)
             for place, x in enumerate(node):
-                step = json.dumps(x["id"]) if named else str(place)
+                step = x["id"].replace("/", "//") if named else ""
                 turn[step] += 1
-                open_nodes.append((f"{path}[{step}.{turn[step]}]", key, x))
-        else:
-            if loose_quotes and isinstance(node, str):
-                node = EDGE_QUOTE.sub("", node)
-            yield f"{path}={json.dumps(node)}"
+                open_nodes.append((f"{path}/{step}/{turn[step] if named else place}/", key, x))
+    return found
 
 
-def parts(text: str | None) -> tuple[list[str] | None, list[str] | None]:
-    """Sorted leaves of a configuration without its benchmark block, and of that block; None for what cannot be read.
+def parts(text: str | None) -> tuple[dict[str, str] | None, dict[str, str] | None]:
+    """Leaves of a configuration without its benchmark block, and of that block; None for what cannot be read.
 
     Keys of the top level that begin with an underscore are internal. A block
     without questions equals one with an empty list; questions that are no
@@ -79,18 +81,18 @@ def parts(text: str | None) -> tuple[list[str] | None, list[str] | None]:
         return None, None
     visible = {"version": DEFAULT_VERSION, **{k: v for k, v in found.items() if k[:1] != "_"}}
     block = visible.pop("benchmarks", None)
-    config = sorted(_leaves(visible, True))
+    config = _leaves(visible, True)
     if block is not None and not isinstance(block, dict):
         return config, None
     block = {"questions": [], **{k: v for k, v in (block or {}).items() if k != "questions" or v is not None}}
-    return config, sorted(_leaves(block, False)) if isinstance(block["questions"], list) else None
+    return config, _leaves(block, False) if isinstance(block["questions"], list) else None
 
 
 def fingerprints_column(document: Column) -> Column:
     """struct(config_fp, benchmark_fp) of a JSON document, a batch of documents at a time."""
 
-    def digest(leaves: list[str] | None) -> str | None:
-        return None if leaves is None else hashlib.sha256("\n".join(leaves).encode()).hexdigest()
+    def digest(leaves: dict[str, str] | None) -> str | None:
+        return None if leaves is None else hashlib.sha256(json.dumps(leaves, sort_keys=True).encode()).hexdigest()
 
     def both(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([[digest(x) for x in parts(t)] for t in texts], columns=["config_fp", "benchmark_fp"], dtype="object")

@@ -318,12 +318,20 @@ def _text(c: Column) -> Column:
     return F.trim(_joined(c, " "))
 
 
-def meaningful(c: Column, min_chars: int = 8, min_words: int = 2) -> Column:
-    """A text long enough, of enough words, that is neither a placeholder nor a bare type name."""
-    text = _text(c)
+def meaningful(text: Column, min_chars: int = 8, min_words: int = 2) -> Column:
+    """A trimmed text long enough, of enough words, that is neither a placeholder nor a bare type name."""
     normal = F.lower(F.regexp_replace(text, r"\s+", " "))
     words = F.size(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+)"), F.lit(1)))
-    return ~normal.isin(PLACEHOLDERS + VAGUE_TEXTS) & (F.length(text) >= min_chars) & (words >= min_words)
+    return (F.length(text) >= min_chars) & (words >= min_words) & ~normal.isin(PLACEHOLDERS + VAGUE_TEXTS)
+
+
+def _with(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, however often later steps read them.
+
+    A generator of one row stands between the steps, through which the
+    optimiser does not repeat an expression at each place of its use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _count(c: str) -> Column:
@@ -344,15 +352,18 @@ def _visible(table: Column) -> Column:
             F.coalesce(F.nullif(c["description"], F.lit("")), c["comment"]).alias("text"),
         ),
     )
-    named = F.filter(entry, lambda c: c["name"] != "")
-    names = F.array_distinct(F.transform(named, lambda c: F.lower(c["name"])))
-
-    def best(n: Column) -> Column:
-        same = F.filter(named, lambda c: F.lower(c["name"]) == n)
-        told = F.filter(same, lambda c: F.coalesce(c["text"], F.lit("")) != "")
-        return F.coalesce(F.get(told, 0), F.get(same, 0))
-
-    return F.concat(F.transform(names, best), F.filter(entry, lambda c: c["name"] == ""))
+    # In order of name, entries with a text first, then as given: the first entry of each name stays.
+    ranked = F.array_sort(
+        F.transform(
+            entry,
+            lambda c, i: F.struct(
+                F.when(c["name"] == "", F.concat(F.lit(" "), i.cast("string"))).otherwise(F.lower(c["name"])).alias("key"),
+                (F.coalesce(c["text"], F.lit("")) == "").alias("blank"), i.alias("place"), c["name"].alias("name"), c["text"].alias("text"),
+            ),
+        )
+    )
+    firsts = F.transform(F.array(ranked), lambda all_: F.filter(all_, lambda c, i: (i == 0) | (c["key"] != F.get(all_, i - 1)["key"])))
+    return F.transform(F.get(firsts, 0), lambda c: F.struct(c["name"].alias("name"), c["text"].alias("text")))
 
 
 def scorecard(documents: DataFrame, document: str = "document", key: str = "doc_id", accuracy: str = "accuracy") -> DataFrame:
@@ -363,48 +374,47 @@ def scorecard(documents: DataFrame, document: str = "document", key: str = "doc_
     every check is a column expression over its arrays.
     """
     flag = lambda c: F.coalesce(c, F.lit(False))
-    d = documents.select(key, F.col(accuracy).alias("_acc"), F.from_json(document, CONFIG_SCHEMA).alias("d"))
-    d = d.withColumn("tables", F.coalesce("d.data_sources.tables", F.array().cast(f"ARRAY<{_TABLE}>"))).withColumn(
-        "views", F.coalesce("d.data_sources.metric_views", F.array().cast(f"ARRAY<{_TABLE}>"))
-    )
-    d = d.withColumn("shown", F.transform("tables", _visible))
-    body = F.aggregate(
-        F.coalesce("d.instructions.text_instructions", F.array().cast("ARRAY<STRUCT<content: STRING>>")), F.lit(""),
-        lambda acc, t: F.concat(acc, _joined(t["content"], "")),
-    )
-    columns = F.flatten("shown")
-    all_columns = F.flatten(
-        F.transform(F.concat("tables", "views"), lambda t: F.concat(
-            F.coalesce(t["columns"], F.array().cast(f"ARRAY<{_COLUMN}>")), F.coalesce(t["column_configs"], F.array().cast(f"ARRAY<{_COLUMN}>"))))
-    )
-    facts = d.select(
-        key,
-        "_acc",
-        F.size("tables").alias("n_tables"),
-        F.size("views").alias("n_views"),
-        meaningful(F.col("d.description"), 30, 5).alias("described"),
-        F.length(_text(F.col("d.description"))).alias("desc_len"),
-        F.size(F.filter("tables", lambda t: meaningful(F.coalesce(F.nullif(t["description"], F.lit("")), t["comment"])))).alias("told_tables"),
-        F.size(columns).alias("n_cols"),
-        F.size(F.filter(columns, lambda c: meaningful(c["text"]))).alias("told_cols"),
-        F.size(F.filter(columns, lambda c: c["name"].rlike(NOISE_NAME))).alias("noisy"),
-        F.coalesce(F.array_max(F.transform("shown", lambda s: F.size(s))), F.lit(0)).alias("widest"),
-        _count("d.instructions.text_instructions").alias("n_texts"),
-        body.alias("body"),
-        _count("d.instructions.join_specs").alias("joins"),
-        _count("d.instructions.example_question_sqls").alias("examples"),
-        F.size(F.filter(
-            F.coalesce("d.instructions.example_question_sqls", F.array().cast("ARRAY<STRUCT<usage_guidance: STRING>>")),
-            lambda x: F.coalesce(x["usage_guidance"], F.lit("")) == "",
-        )).alias("unguided"),
-        _count("d.instructions.sql_functions").alias("functions"),
-        _count("d.instructions.sql_snippets.expressions").alias("expressions"),
-        _count("d.instructions.sql_snippets.measures").alias("measures"),
-        _count("d.instructions.sql_snippets.filters").alias("filters"),
-        F.size(F.filter(all_columns, lambda c: flag(c["enable_entity_matching"]))).alias("matched"),
-        F.size(F.filter(all_columns, lambda c: flag(c["enable_format_assistance"]) | flag(c["format_assistance_enabled"]))).alias("assisted"),
-        _count("d.benchmarks.questions").alias("benchmarks"),
+    some = lambda c, kind: F.coalesce(c, F.array().cast(f"ARRAY<{kind}>"))
+    entries = lambda t: F.concat(some(t["columns"], _COLUMN), some(t["column_configs"], _COLUMN))
+    d = _with(documents.select(key, F.col(accuracy).alias("_acc"), document), d=F.from_json(document, CONFIG_SCHEMA))
+    d = _with(d, tables=some(F.col("d.data_sources.tables"), _TABLE), views=some(F.col("d.data_sources.metric_views"), _TABLE))
+    d = _with(
+        d,
+        shown=F.transform("tables", _visible),
+        all_columns=F.flatten(F.transform(F.concat("tables", "views"), entries)),
+        table_texts=F.transform("tables", lambda t: _text(F.coalesce(F.nullif(t["description"], F.lit("")), t["comment"]))),
+        about=_text(F.col("d.description")),
+        body=F.aggregate(
+            some(F.col("d.instructions.text_instructions"), "STRUCT<content: STRING>"), F.lit(""), lambda acc, t: F.concat(acc, _joined(t["content"], ""))
+        ),
     )
+    d = _with(d, columns=F.flatten("shown"))
+    d = _with(d, column_texts=F.transform("columns", lambda c: _text(c["text"])))
+    facts = _with(
+        d,
+        n_tables=F.size("tables"),
+        n_views=F.size("views"),
+        described=meaningful(F.col("about"), 30, 5),
+        desc_len=F.length("about"),
+        told_tables=F.size(F.filter("table_texts", lambda t: meaningful(t))),
+        n_cols=F.size("columns"),
+        told_cols=F.size(F.filter("column_texts", lambda t: meaningful(t))),
+        noisy=F.size(F.filter("columns", lambda c: c["name"].rlike(NOISE_NAME))),
+        widest=F.coalesce(F.array_max(F.transform("shown", F.size)), F.lit(0)),
+        n_texts=_count("d.instructions.text_instructions"),
+        joins=_count("d.instructions.join_specs"),
+        examples=_count("d.instructions.example_question_sqls"),
+        unguided=F.size(F.filter(
+            some(F.col("d.instructions.example_question_sqls"), "STRUCT<usage_guidance: STRING>"), lambda x: F.coalesce(x["usage_guidance"], F.lit("")) == ""
+        )),
+        functions=_count("d.instructions.sql_functions"),
+        expressions=_count("d.instructions.sql_snippets.expressions"),
+        measures=_count("d.instructions.sql_snippets.measures"),
+        filters=_count("d.instructions.sql_snippets.filters"),
+        matched=F.size(F.filter("all_columns", lambda c: flag(c["enable_entity_matching"]))),
+        assisted=F.size(F.filter("all_columns", lambda c: flag(c["enable_format_assistance"]) | flag(c["format_assistance_enabled"]))),
+        benchmarks=_count("d.benchmarks.questions"),
+    )
     c = F.col
     sources = c("n_tables") + c("n_views")
     no_tables = F.when(c("n_views") > 0, "pass").otherwise("fail")
