@@ -1,7 +1,11 @@
 """IO queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from auditframe.functions.storage import session_folder
 from auditframe.operators import io
 from auditframe.plans import Family
 from auditframe.sources import oracle
@@ -21,6 +25,23 @@ def filtered_scan(i):
     return df.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+_KEPT = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType()), T.StructField("note", T.StringType())])
+
+
+@FAMILY.add(
+    "io_append",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DOUBLE) END AS o_totalprice,
+              CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS note FROM orders""",
+)
+def append(i):
+    """Two appends of other columns and column orders, read back under one schema."""
+    path = f"{session_folder(i.spark)}/append-{uuid.uuid4().hex}"
+    done = F.col("o_orderstatus") == "F"
+    io.append(i.orders.filter(done).select("o_totalprice", "o_orderkey", "o_custkey"), path, _KEPT)
+    io.append(i.orders.filter(~done).select(F.col("o_orderpriority").alias("note"), "o_orderkey"), path, _KEPT)
+    return i.spark.read.parquet(path)
+
+
 @FAMILY.add(
     "io_unique_key_guard",
     oracle(

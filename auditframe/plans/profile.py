@@ -9,12 +9,23 @@ from auditframe.sources import oracle
 from auditframe.sources.inputs import TABLES
 
 FAMILY = Family()
-_PROFILED = ["orders", "events", "documents", "part"]
+# The scalar columns of each table; # marks numbers, @ times.
 _COLUMNS = {
+    "region": "r_regionkey# r_name",
+    "nation": "n_nationkey# n_name n_regionkey#",
+    "customer": "c_custkey# c_name c_nationkey# c_acctbal# c_mktsegment",
+    "supplier": "s_suppkey# s_name s_nationkey# s_acctbal#",
+    "part": "p_partkey# p_name p_brand p_type p_size# p_retailprice#",
     "orders": "o_orderkey# o_custkey# o_orderstatus o_totalprice# o_orderdate@ o_orderpriority",
+    "lineitem": "l_orderkey# l_partkey# l_suppkey# l_linenumber# l_quantity# l_extendedprice# l_discount# l_tax#"
+    " l_returnflag l_linestatus l_shipdate@",
     "events": "event_id# ts@ user_id# event_type value# props",
     "documents": "doc_id# text lang source n_chars#",
-    "part": "p_partkey# p_name p_brand p_type p_size# p_retailprice#",
+    "embeddings": "vec_id# label#",
+    "pages": "page_id# url html",
+    "benchmark": "item_id# text",
+    "labels": "doc_id# quality# toxic#",
+    "conversations": "conv_id# turn# role text",
 }
 
 
@@ -39,12 +50,22 @@ def row_counts(i):
 
 @FAMILY.add("dp_column_profile", _profile_oracle())
 def column_profile(i):
-    return union_all([p.column_profile(i.get(t)).withColumn("table", F.lit(t)) for t in _PROFILED])
+    return union_all([p.column_profile(i.get(t)).withColumn("table", F.lit(t)) for t in TABLES])
 
 
-@FAMILY.add("dp_profile_approx")
+@FAMILY.add(
+    "dp_profile_approx",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c.rstrip('#@')}', true)" for t, columns in _COLUMNS.items() for c in columns.split())
+    + ') AS p("table", "column", within_bound)',
+)
 def profile_approx(i):
-    return union_all([p.column_profile_approx(i.get(t)).withColumn("table", F.lit(t)) for t in _PROFILED])
+    """Every column's sketched distinct count beside the exact one: within four standard errors, or two values where those are less."""
+    out = []
+    for t in TABLES:
+        exact = p.column_profile(i.get(t)).select("column", F.col("distinct_count").alias("exact"))
+        near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(2.0), 4 * 0.05 * F.col("exact"))
+        out.append(p.column_profile_approx(i.get(t)).join(exact, "column").select(F.lit(t).alias("table"), "column", near.alias("within_bound")))
+    return union_all(out)
 
 
 @FAMILY.add(
