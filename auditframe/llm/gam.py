@@ -148,7 +148,7 @@ def fit(
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE) -> Additive:
     """A model of ``target`` (0 or 1) from at most ``rows`` labelled documents."""
-    sample = labelled_counts(docs, labels, target, rows).orderBy(*COUNTS, "_target").toPandas()
+    sample = labelled_counts(docs, labels, target, rows).toPandas().sort_values([*COUNTS, "_target"])
     return fit(features(sample), sample["_target"].to_numpy(dtype=np.float64))
 
 

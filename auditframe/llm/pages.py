@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from auditframe.llm import crf
-from auditframe.llm._table import slices
+from auditframe.llm._table import bounded_sample, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -294,8 +294,8 @@ def fit(pages: list[str], made: int = 500, seed: int = 9) -> crf.Chain:
 
 def learn(pages: DataFrame, sample: int = 150, most_chars: int = 20_000) -> crf.Chain:
     """A field from at most ``sample`` pages of up to ``most_chars`` characters, those of the smallest hash."""
-    known = pages.filter(F.length("html") <= most_chars).select("html").orderBy(F.xxhash64("html"), "html").limit(sample)
-    return fit([r.html for r in known.collect()])
+    known = bounded_sample(pages.filter(F.length("html") <= most_chars).select("html"), None, sample, 9)
+    return fit(sorted(r.html for r in known.collect()))
 
 
 def _extract(chain: crf.Chain):

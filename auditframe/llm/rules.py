@@ -119,7 +119,7 @@ def learn_rules(table: pd.DataFrame, bad: np.ndarray, most_rules: int = 12, most
 def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE) -> list[Rule]:
     """Rules for label 0 of ``target`` from at most ``rows`` labelled documents; no labels, no rules."""
     statistics = [F.expr(sql).cast("double").alias(name) for name, sql in STATISTICS.items()]
-    sample = labelled_counts(docs, labels, target, rows).select("_target", *statistics).orderBy("_target", *STATISTICS).toPandas()
+    sample = labelled_counts(docs, labels, target, rows).select("_target", *statistics).toPandas().sort_values(["_target", *STATISTICS], ignore_index=True)
     return learn_rules(sample[list(STATISTICS)].astype(float), sample["_target"].to_numpy() == 0)
 
 

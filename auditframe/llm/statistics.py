@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from auditframe.llm._table import bounded_sample
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COUNTS = [
@@ -82,6 +84,6 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, target: str, rows: int,
     id or target are left out, repeated ones count once, the larger target.
     """
     known = labels.filter(f"doc_id IS NOT NULL AND {target} IS NOT NULL").groupBy("doc_id").agg(F.max(target).alias("_target"))
-    chosen = known.orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(rows)
+    chosen = bounded_sample(known, None, rows, seed)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_target").alias("_target"))
     return text_counts(found, "text", ["_target"])
