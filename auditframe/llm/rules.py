@@ -28,7 +28,7 @@ STATISTICS = {
     "ended_lines": "n_ended_lines / greatest(n_lines, 1)",
 }
 # Labelled documents that rules are learned from at most.
-SAMPLE = 8000
+SAMPLE = 20_000
 
 
 @dataclass(frozen=True)
@@ -52,11 +52,15 @@ def covers(rule: Rule, table: pd.DataFrame) -> np.ndarray:
     return np.logical_and.reduce([c.holds(table) for c in rule]) if rule else np.ones(len(table), bool)
 
 
-def _best_condition(table: pd.DataFrame, bad: np.ndarray) -> tuple[float, Condition | None]:
-    """The threshold with the largest information gain for the rows that are left, weighted by the bad ones it keeps."""
+def _best_condition(table: pd.DataFrame, bad: np.ndarray) -> Condition | None:
+    """The threshold with the largest information gain for the rows that are left, weighted by the bad ones it keeps.
+
+    Of thresholds that gain alike the one in the widest gap is taken, as a
+    share of the range of its statistic: it is the one that new texts cross least.
+    """
     p, n = bad.sum(), (~bad).sum()
     before = np.log2(p / (p + n))
-    best: tuple[float, Condition | None] = (1e-9, None)
+    best: tuple[tuple[float, float], Condition | None] = ((1e-9, 0.0), None)
     for name in STATISTICS:
         values = table[name].to_numpy()
         order = np.argsort(values, kind="stable")
@@ -67,10 +71,12 @@ def _best_condition(table: pd.DataFrame, bad: np.ndarray) -> tuple[float, Condit
         for above, kept_p, kept in ((False, below_p, below), (True, p - below_p, len(v) - below)):
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = np.where(kept_p > 0, kept_p * (np.log2(kept_p / kept) - before), 0)
-            if len(gain) and gain.max() > best[0]:
-                i = int(gain.argmax())
-                best = (float(gain[i]), Condition(name, above, float((v[ends[i]] + v[ends[i] + 1]) / 2)))
-    return best
+            if len(gain):
+                wide = (v[ends + 1] - v[ends]) / (v[-1] - v[0])
+                i = int(np.lexsort((wide, gain.round(9)))[-1])
+                if (worth := (float(gain[i].round(9)), float(wide[i]))) > best[0]:
+                    best = (worth, Condition(name, above, float((v[ends[i]] + v[ends[i] + 1]) / 2)))
+    return best[1]
 
 
 def learn_rules(table: pd.DataFrame, bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.9, least: int = 3, seed: int = 2) -> list[Rule]:
@@ -96,7 +102,7 @@ def learn_rules(table: pd.DataFrame, bad: np.ndarray, most_rules: int = 12, most
             rows = np.flatnonzero(mine)[covers(rule, table[mine])]
             if not bad[rows].any() or bad[rows].all():
                 break
-            _, condition = _best_condition(table.iloc[rows], bad[rows])
+            condition = _best_condition(table.iloc[rows], bad[rows])
             if condition is None:
                 break
             rule = (*rule, condition)
