@@ -20,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
 # Benchmark characters that one pass over the documents looks for; more items take more passes.
-PASS_CHARS = 4_000_000
+PASS_CHARS = 1_000_000
 
 
 def plain(text: str) -> str:
@@ -120,6 +120,7 @@ def matches(text: str, automaton, budgets: dict[str, int]) -> dict[str, tuple[in
 
 
 def _search(items: dict[str, list[int]], rate: float):
+    """``items`` gives the keys of each plain text."""
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +141,11 @@ def _search(items: dict[str, list[int]], rate: float):
             for doc, text in zip(b.column(0), b.column(1), strict=True):
                 if text.as_py():
                     for item, hit in matches(plain(text.as_py()), **state).items():
-                        for item_id in items[item]:
-                            for column, value in zip(out, (doc.as_py(), item_id, *hit), strict=True):
+                        for key in items[item]:
+                            for column, value in zip(out, (doc.as_py(), key, *hit), strict=True):
                                 column.append(value)
             arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "distance", "start", "end"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "distance", "start", "end"])
 
     return run
 
@@ -168,19 +169,22 @@ def find_leaks(
     their matches, and items with equal text all match.
     """
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter(F.length("item") >= min_chars)
-    total = wanted.agg(F.sum(F.length("item"))).first()[0] or 0
+    # Equal texts are looked for once; their ids join what was found.
+    texts = wanted.select("item", F.xxhash64("item").alias("key")).distinct()
+    total = texts.agg(F.sum(F.length("item"))).first()[0] or 0
     passes = max(1, math.ceil(total / pass_chars))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = []
     for number in range(passes):
         items = defaultdict(list)
-        for r in wanted.filter(F.pmod(F.xxhash64("item"), F.lit(passes)) == number).orderBy("item_id").toLocalIterator():
-            items[plain(r.item)].append(r.item_id)
+        for r in texts.filter(F.pmod("key", F.lit(passes)) == number).toLocalIterator():
+            items[plain(r.item)].append(r.key)
         if items:
-            found.append(rows.mapInArrow(_search(dict(items), rate), "doc_id long, item_id long, distance int, start long, end long"))
+            found.append(rows.mapInArrow(_search(dict(items), rate), "doc_id long, key long, distance int, start long, end long"))
     if not found:
         return rows.selectExpr("doc_id", "0L item_id", "0 distance", "0L start", "0L end").limit(0)
-    return reduce(DataFrame.unionAll, found)
+    ids = wanted.select("item_id", F.xxhash64("item").alias("key"))
+    return reduce(DataFrame.unionAll, found).join(ids, "key").select("doc_id", "item_id", "distance", "start", "end")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, min_chars: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -42,10 +43,15 @@ _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE) for tag in RAW
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 MAIN_MARK = "data-main"
+# Ancestors of a block that its signs are taken from, on either end of its path.
+ENDS = 24
 
 
 class Block(NamedTuple):
-    """A leaf block: its text, the characters of it inside links, and its ancestors, outermost first."""
+    """A leaf block: its text, the characters of it inside links, and its ancestors, outermost first.
+
+    Of a path deeper than twice ENDS the middle is left out.
+    """
 
     text: str
     linked: int
@@ -60,15 +66,20 @@ def leaf_blocks(page: str) -> Iterator[Block]:
     what holds them; an end without a beginning is passed over.
     """
     path: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = at = 0
 
+    def close(depth: int) -> None:
+        opened.subtract(t for t, _ in path[depth:])
+        del path[depth:]
+
     def flush() -> Iterator[Block]:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                yield Block(text, min(linked, len(text)), tuple(path))
+                yield Block(text, min(linked, len(text)), tuple(path if len(path) <= 2 * ENDS else path[:ENDS] + path[-ENDS:]))
             parts.clear()
             linked = 0
 
@@ -77,7 +88,7 @@ def leaf_blocks(page: str) -> Iterator[Block]:
         if raw:
             text = references.unescape(raw)
             parts.append(text)
-            if any(tag == "a" for tag, _ in path):
+            if opened["a"]:
                 linked += len(text.strip())
 
     while at < len(page):
@@ -95,19 +106,20 @@ def leaf_blocks(page: str) -> Iterator[Block]:
         if tag not in INLINE:
             yield from flush()
         if token[1]:
-            depth = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == tag), None)
-            if depth is not None and not (tag in INLINE and any(t not in INLINE for t, _ in path[depth:])):
-                del path[depth:]
+            if opened[tag]:
+                depth = next(i for i in range(len(path) - 1, -1, -1) if path[i][0] == tag)
+                if tag not in INLINE or all(t in INLINE for t, _ in path[depth:]):
+                    close(depth)
             continue
         if tag not in INLINE:
             while path and path[-1][0] in INLINE:
-                path.pop()
+                close(-1)
             if path and path[-1][0] == "p":
-                path.pop()
+                close(-1)
             for closed in CLOSES.get(tag, ()):
                 for i in range(len(path) - 1, -1, -1):
                     if path[i][0] == closed:
-                        del path[i:]
+                        close(i)
                         break
                     if path[i][0] in BARRIERS:
                         break
@@ -123,6 +135,7 @@ def leaf_blocks(page: str) -> Iterator[Block]:
             at = len(page) if closing < 0 else closing + 1
         elif tag not in EMPTY and not attributes.rstrip().endswith("/"):
             path.append((tag, attributes))
+            opened[tag] += 1
     yield from flush()
 
 

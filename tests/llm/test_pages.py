@@ -85,3 +85,9 @@ def test_query_on_given_pages(spark):
         body = re.search(r"<article>(.*?)</article>", r.html, re.DOTALL)[1]
         parts = [" ".join(references.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", body)]
         assert got[r.page_id].text == "\n\n".join(p for p in parts if p) and got[r.page_id].url == r.url
+
+
+def test_deep_pages_cost_linear_time():
+    deep = "<div>word " * 20_000
+    assert len(list(pages.leaf_blocks(deep))) == 20_000
+    assert len(list(pages.leaf_blocks("<ul><li>x" * 5000 + "</i></b></nav>" * 20_000))) == 5000

@@ -64,18 +64,18 @@ def test_topic_is_that_of_the_most_frequent_long_word():
 
 def test_draws_follow_probabilities_and_not_order(spark, docs_of):
     docs = docs_of([(i, "alpha beta gammas" if i % 3 else "deltas eps", "en" if i % 2 else "de", f"s{i % 4}", 1) for i in range(4000)])
-    got = raking.mix(docs, POWERS, keep=0.4).collect()
+    got = raking.mix(docs, POWERS, keep=0.4, rounds=3).collect()
     expected = sum(r.probability for r in got)
     assert abs(sum(r.sampled for r in got) - expected) < 4 * np.sqrt(expected)
-    again = raking.mix(docs.repartition(5), POWERS, keep=0.4).collect()
+    again = raking.mix(docs.repartition(5), POWERS, keep=0.4, rounds=3).collect()
     assert {r.doc_id for r in got if r.sampled} == {r.doc_id for r in again if r.sampled}
 
 
 def test_odd_rows(docs_of):
     docs = docs_of([*ODD, (None, "some words", None, None, None), (None, None, None, "", None), (1, "again", "en", "s", 1), (1, "again", "en", "s", 1)])
-    got = raking.mix(docs.withColumns({"topic": F.lit("old"), "weight": F.lit("old"), "Sampled": F.lit(1)}), POWERS)
+    got = raking.mix(docs.withColumns({"topic": F.lit("old"), "weight": F.lit("old"), "Sampled": F.lit(1)}), POWERS, rounds=2)
     rows = got.collect()
     assert len(rows) == len(ODD) + 4 and all(0 <= r.probability <= 1 for r in rows)
     assert len({r.sampled for r in rows if r.text == "again"}) == 1
-    assert raking.mix(docs_of([]), POWERS).count() == 0
-    assert raking.mix(docs_of([None, ""]), POWERS).count() == 2
+    assert raking.mix(docs_of([]), POWERS, rounds=1).count() == 0
+    assert raking.mix(docs_of([None, ""]), POWERS, rounds=1).count() == 2
