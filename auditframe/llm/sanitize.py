@@ -175,7 +175,8 @@ def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     reveals. Null texts have no spans; repeated rows have the same ones.
     """
     found = entities(docs, id_col, text_col)
-    terms = disclosing(found, term_counts(docs, text_col), threshold, windows)
+    # Three steps read the counts, which one pass over all texts makes.
+    terms = disclosing(found, written(term_counts(docs, text_col), "terms"), threshold, windows)
     places = found.select("key", F.explode("context").alias("c")).select("key", "c.*").distinct()
     span = F.struct("start", F.lit(4).alias("kind"), "stop", "action")
     more = places.join(terms, ["entity", "term"]).groupBy("key").agg(F.collect_set(span).alias("more"))
