@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import sys
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,9 +30,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]+")
 
-# Words on either side of an entity that may reveal it, and the characters they are looked for in.
-WINDOW, REACH = 8, 160
-PREFIX = 4
+# Letters of a general form. Texts elsewhere that may hold a term although none is seen: where none of many does, the
+# number to expect lies below three with a confidence of 95 per cent.
+PREFIX, UNSEEN = 4, 3.0
 
 
 def _digits(text: str) -> str:
@@ -75,115 +75,169 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, int, int]]:
-    """(entity, window, term, start, end) of the words around each entity.
+def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all words of a text; a word that a match goes through has the places -1, since it is masked anyway."""
+    out, inside, at = [], set(), 0
+    taken: list[list[int]] = []
+    for start, _, end, _ in spans:
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(end, taken[-1][1])
+        else:
+            taken.append([start, end])
+    for m in _TERM.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at < len(taken) and taken[at][0] < m.end():
+            inside.add(m[0].lower())
+        else:
+            out.append((m[0].lower(), m.start(), m.end()))
+    return out + [(t, -1, -1) for t in sorted(inside)]
 
-    A window has up to WINDOW words on either side within REACH characters,
-    words of other entities left out; its number stands for its words, so
-    that copies of a passage are one window.
-    """
-    taken = [(s, e) for s, _, e, _ in spans]
-    out = []
-    for start, kind, end, value in spans:
-        lo, hi = max(0, start - REACH), min(len(text), end + REACH)
-        words = [m for m in _TERM.finditer(text, lo, hi) if not any(s < m.end() and m.start() < e for s, e in taken)]
-        # Words that the cut goes through are none.
-        words = [m for m in words if (m.start() > lo or lo == 0) and (m.end() < hi or hi == len(text))]
-        near = [m for m in words if m.end() <= start][-WINDOW:] + [m for m in words if m.start() >= end][:WINDOW]
-        terms = [m[0].lower() for m in near]
-        entity = xxhash.xxh64_intdigest(f"{KINDS[kind]}:{value}".encode(), 1) - (1 << 63)
-        window = xxhash.xxh64_intdigest(" ".join(terms).encode(), 2) - (1 << 63)
-        out += [(entity, window, t, m.start(), m.end()) for t, m in zip(terms, near, strict=True)]
-    return out
-
-
-_CONTEXT = "array<struct<entity: long, window: long, term: string, start: int, stop: int>>"
+
+def _entity(kind: int, value: str) -> int:
+    return xxhash.xxh64_intdigest(f"{KINDS[kind]}:{value}".encode(), 1) - (1 << 63)
+
+
+_CONTEXT = "array<struct<term: string, start: int, stop: int>>"
 _SPANS = "array<struct<start: int, kind: int, stop: int>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = {"spans": ("start", "kind", "stop"), "context": ("entity", "window", "term", "start", "stop")}
-    kinds = {"term": pa.string(), "entity": pa.int64(), "window": pa.int64()}
-    types = {k: pa.list_(pa.struct([(n, kinds.get(n, pa.int32())) for n in v])) for k, v in names.items()}
+    names = {"spans": ("start", "kind", "stop"), "context": ("term", "start", "stop")}
+    types = {k: pa.list_(pa.struct([(n, pa.string() if n == "term" else pa.int32()) for n in v])) for k, v in names.items()}
     for b in batches:
         found: dict[str, list] = {"spans": [], "context": []}
-        for t in b.column(2):
+        held = []
+        for t in b.column(3):
             text = t.as_py() or ""
             spans = base_spans(text)
+            held.append(sorted({_entity(kind, value) for _, kind, _, value in spans}))
             found["spans"].append([dict(zip(names["spans"], s, strict=False)) for s in spans])
             found["context"].append([dict(zip(names["context"], c, strict=True)) for c in contexts(text, spans)] if spans else [])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(found[k], types[k]) for k in names)], ["doc_id", "key", *names])
+        columns = [*b.columns[:3], pa.array(held, pa.list_(pa.int64())), *(pa.array(found[k], types[k]) for k in names)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "body", "held", *names])
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each term in each part of a batch; words are counted first, then taken apart into terms."""
+    """Texts of a batch that hold each term and each general form; different words are taken apart once."""
     for whole in batches:
         for b in slices(whole, "text", 8 << 20):
-            words = pc.utf8_split_whitespace(pc.fill_null(b.column(0), "")).flatten().value_counts()
-            times: Counter[str] = Counter()
-            for word, n in zip(words.field(0).to_pylist(), words.field(1).to_pylist(), strict=True):
-                for term in _TERM.findall(word):
-                    times[term.lower()] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64())], ["term", "n"])
+            words = pc.utf8_split_whitespace(pc.fill_null(b.column(0), ""))
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(words.offsets)))
+            kinds = words.flatten().dictionary_encode()
+            number: dict[tuple[str, bool], int] = {}
+            parts = []
+            for word in kinds.dictionary.to_pylist():
+                terms = [t.lower() for t in _TERM.findall(word)]
+                parts.append([number.setdefault(k, len(number)) for t in terms for k in ((t, False), (t[:PREFIX], True))])
+            size = np.array([len(p) for p in parts], np.int64)
+            flat = np.array([n for p in parts for n in p], np.int64)
+            pairs = np.unique(row * max(len(parts), 1) + kinds.indices.to_numpy()) if len(row) else np.zeros(0, np.int64)
+            row, word = np.divmod(pairs, max(len(parts), 1))
+            many = size[word]
+            within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            held = flat[np.repeat((np.cumsum(size) - size)[word], many) + within]
+            held = np.unique(np.repeat(row, many) * max(len(number), 1) + held) % max(len(number), 1)
+            times = np.bincount(held, minlength=len(number)).tolist()
+            terms = [("", False), *number]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in terms], pa.string()), pa.array([g for _, g in terms], pa.bool_()), pa.array([b.num_rows, *times], pa.int64())], ["term", "general", "n"]
+            )
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``term``, ``n``: how often every term occurs in all texts; counts are combined before they are shuffled."""
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_terms, "term string, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("n"))
+    """``term``, ``general``, ``n``: the number of rows that hold every term and, as general ones, first letters of terms.
+
+    The empty term stands for all rows. Counts are combined before they are shuffled.
+    """
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_terms, "term string, general boolean, n long")
+    return counted.groupBy("term", "general").agg(F.sum("n").alias("n"))
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``key`` of the row, base ``spans`` and the ``context`` words of every row: a written table without texts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(_find, f"doc_id long, key long, spans {_SPANS}, context {_CONTEXT}"), "entities")
+    """``doc_id``, ``key`` of the row, ``body`` of the text, the entities ``held``, base ``spans`` and, where there are any, all words as ``context``: a written table."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.xxhash64(text).alias("body"), text.alias("text"))
+    return written(rows.mapInArrow(_find, f"doc_id long, key long, body long, held array<long>, spans {_SPANS}, context {_CONTEXT}"), "entities")
+
+
+def _texts(found: DataFrame) -> DataFrame:
+    """The different texts that hold an entity, with their copies."""
+    return found.filter("size(held) > 0").groupBy("body").agg(F.count("*").alias("copies"), F.first("held").alias("held"), F.first("context").alias("context"))
+
 
+def _judged(found: DataFrame, counts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``set``, ``term``, ``action``; the entities of each set; the texts of each set.
 
-def disclosing(found: DataFrame, counts: DataFrame, threshold: float = 0.8, windows: int = 3) -> DataFrame:
+    Entities that the same texts hold share all terms and are judged as one
+    set, so that a long list of addresses is no burden.
+    """
+    rows = float((counts.filter("term = ''").agg(F.sum("n")).first()[0]) or 1)
+    texts = _texts(found)
+    holds = texts.select("body", "copies", F.explode("held").alias("entity"))
+    sizes = holds.groupBy("entity").agg(
+        F.count("*").alias("texts"), F.sum("copies").alias("rows"), F.bit_xor("body").alias("one"), F.bit_xor(F.xxhash64("body")).alias("two")
+    ).withColumn("set", F.struct("texts", "one", "two"))
+    reach = holds.join(sizes, "entity").select("body", "copies", "set", "rows").distinct()
+    in_texts = texts.select("body", F.explode(F.array_distinct(F.transform("context", lambda c: c["term"]))).alias("term"))
+
+    def strength(together, elsewhere):
+        # 1 - log(1 / p(entity | term)) / log(1 / p(entity)); an entity that fills the corpus reveals nothing by its words.
+        return F.lit(1.0) - F.log((together + elsewhere + UNSEEN) / together) / F.greatest(F.log(F.lit(rows) / F.col("set.texts")), F.lit(1e-9))
+
+    others = lambda n, own: F.greatest(F.col(n) - F.col(own), F.lit(0))
+    front = F.substring("term", 1, PREFIX)
+    # No term of more rows can pass for any entity, and no pair whose term would not pass if all texts of the entity held it.
+    most = sizes.agg(F.max(F.col("rows") + F.col("texts") * F.pow(F.lit(rows) / F.col("texts"), F.lit(1 - threshold)))).first()[0] or 0.0
+    rare = counts.filter(~F.col("general") & (F.col("n") <= most)).select("term", "n")
+    pairs = in_texts.join(rare, "term").join(reach, "body").filter(strength(F.least("set.texts", "n"), others("n", "rows")) > threshold)
+    pairs = pairs.groupBy("set", "term").agg(F.count("*").alias("together"), F.sum("copies").alias("own"), F.first("n").alias("n"))
+    strong = written(pairs.filter(strength(F.col("together"), others("n", "own")) > threshold).select("set", "term", front.alias("front")), "strong")
+    fronts = in_texts.select("body", front.alias("front")).distinct()
+    general = strong.select("set", "front").distinct().join(reach, "set").join(fronts, ["body", "front"])
+    general = general.groupBy("set", "front").agg(F.count("*").alias("together"), F.sum("copies").alias("own"))
+    general = general.join(counts.filter("general").select(F.col("term").alias("front"), "n"), "front")
+    vague = (F.length("term") > PREFIX) & (strength(F.col("together"), others("n", "own")) <= threshold)
+    judged = strong.join(general, ["set", "front"]).select("set", "term", F.when(vague, "generalise").otherwise("remove").alias("action"))
+    return judged, sizes.select("set", "entity"), reach.select("set", "body")
+
+
+def disclosing(found: DataFrame, counts: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``entity``, ``term``, ``action``: the terms that reveal an entity, to ``generalise`` or to ``remove``.
 
     How strongly a term reveals an entity is the pointwise mutual information
-    of the two over the entity's own information, log-based from occurrences
-    in the whole corpus: 1 when the term never occurs elsewhere, 0 when it
-    says nothing. Above ``threshold``, and with evidence from ``windows``
-    different windows, it discloses. Such a term is generalised to its first
-    letters if those, counted over all terms that begin with them, stay at or
-    below the threshold, and removed otherwise.
+    of the two over the entity's own information, from the texts of the whole
+    corpus that hold them: 1 when the term stands in no other text, 0 when it
+    says nothing. Different texts are evidence, so copies of a text that holds
+    both count once; all rows without the entity count against the term, and
+    UNSEEN more, which makes the strength one that holds with confidence: the
+    less evidence, the rarer an entity has to be. Above ``threshold`` the term
+    discloses, however often the entity is mentioned. Such a term is
+    generalised to its first letters if those, counted over all terms that
+    begin with them, stay at or below the threshold, and removed otherwise.
     """
-    words = found.select(F.explode("context").alias("c")).select("c.entity", "c.window", "c.term")
-    size = words.groupBy("entity").agg(F.count("*").alias("around"))
-    pairs = words.groupBy("entity", "term").agg(F.count("*").alias("together"), F.countDistinct("window").alias("windows"))
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    front = lambda c: F.substring(c, 1, PREFIX)
-    general = pairs.groupBy("entity", front("term").alias("front")).agg(F.sum("together").alias("front_together"))
-    front_counts = counts.groupBy(front("term").alias("front")).agg(F.sum("n").alias("front_n"))
-    # 1 - log(n / together) / log(total / around); an entity that fills the corpus reveals nothing by its words.
-    strength = lambda n, together: F.lit(1.0) - F.log(F.col(n) / F.col(together)) / F.greatest(F.log(F.lit(float(total)) / F.col("around")), F.lit(1e-9))
-    strong = (
-        pairs.filter(F.col("windows") >= windows).join(counts, "term").join(size, "entity").filter(strength("n", "together") > threshold)
-        .withColumn("front", front("term"))
-    )
-    judged = strong.join(general, ["entity", "front"]).join(front_counts, "front")
-    vague = (F.length("term") > PREFIX) & (strength("front_n", "front_together") <= threshold)
-    return judged.select("entity", "term", F.when(vague, "generalise").otherwise("remove").alias("action"))
-
-
-def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, windows: int = 3) -> DataFrame:
+    judged, members, _ = _judged(found, counts, threshold)
+    return judged.join(members, "set").select("entity", "term", "action")
+
+
+def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``doc_id``, ``key`` and ``spans`` (start, kind, stop, action) of every row: base matches and disclosing terms.
 
-    A term is a span where it stands in the window of the entity that it
-    reveals. Null texts have no spans; repeated rows have the same ones.
+    A term is a span wherever it stands in a text that holds the entity that
+    it reveals. Null texts have no spans; repeated rows have the same ones.
     """
     found = entities(docs, id_col, text_col)
     # Three steps read the counts, which one pass over all texts makes.
-    terms = disclosing(found, written(term_counts(docs, text_col), "terms"), threshold, windows)
-    places = found.select("key", F.explode("context").alias("c")).select("key", "c.*").distinct()
+    judged, _, reach = _judged(found, written(term_counts(docs, text_col), "terms"), threshold)
+    # A term that reveals two entities is one span; to remove it is the stronger action.
+    terms = judged.join(reach, "set").groupBy("body", "term").agg(F.max("action").alias("action"))
+    places = _texts(found).select("body", F.explode("context").alias("c")).select("body", "c.*").filter("start >= 0")
     span = F.struct("start", F.lit(4).alias("kind"), "stop", "action")
-    more = places.join(terms, ["entity", "term"]).groupBy("key").agg(F.collect_set(span).alias("more"))
+    more = places.join(terms, ["body", "term"]).groupBy("body").agg(F.collect_set(span).alias("more"))
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lit("remove").alias("action")))
-    # A term in the windows of two entities is one span; to remove it is the stronger action.
-    more = more.withColumn("more", F.filter("more", lambda s: ~F.exists("more", lambda o: (o["start"] == s["start"]) & (o["action"] > s["action"]))))
-    joined = found.select("doc_id", "key", base.alias("base")).join(more, "key", "left")
+    # Texts without an entity are many, and alike ones would meet; they join nothing by the key of their row.
+    body = F.when(F.size("held") > 0, F.col("body")).otherwise(F.col("key")).alias("body")
+    joined = found.select("doc_id", "key", body, base.alias("base")).join(more, "body", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int,action:string>>"))))
     return joined.select("doc_id", "key", spans.alias("spans"))
 
@@ -203,9 +257,9 @@ def mask(text: str | None, spans: list) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, windows: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` with entities masked and disclosing terms generalised or removed in ``text_col``; all other columns stay."""
-    spans = all_spans(docs, id_col, text_col, threshold, windows).filter("size(spans) > 0").select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).distinct()
+    spans = all_spans(docs, id_col, text_col, threshold).filter("size(spans) > 0").select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).distinct()
 
     def run(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else mask(t, s) for t, s in zip(texts, found, strict=True)], dtype="object")

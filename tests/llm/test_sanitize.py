@@ -122,3 +122,20 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == i for _, k, _ in want) for i in range(4))
         assert ",".join(x for x in r.spans.split(",") if not x.startswith("term:")) == base
+
+
+def test_one_mention_and_distant_terms_disclose(docs_of):
+    """In a corpus large enough, a term of one text, or of copies of one passage, reveals its entity wherever it stands there."""
+    far = " ".join(FILLER * 12)
+    one, copied = f"quixotry {far} write to ann@example.org", f"call +1 (202) 555-0188 {far} secretword"
+    # A word that clean texts hold as well says nothing, near as it may be.
+    texts = [one, *[copied] * 5, f"{far} public bob@example.org", *["public"] * 30, *[f"{FILLER[i % 4]} write to call {i}" for i in range(2500)]]
+    spans = {r.doc_id: [texts[r.doc_id][s.start : s.stop] for s in r.spans if s.kind == 4] for r in sanitize.all_spans(docs_of(texts)).collect()}
+    assert spans[0] == ["quixotry"] and all(spans[i] == ["secretword"] for i in range(1, 6))
+    assert not any(spans[i] for i in range(6, len(texts)))
+
+
+def test_rows_that_hold_a_term_are_counted(docs_of):
+    texts = ["Zebra zebra zebu, (zebra)", "zebrano", "zebra a@zebu.org", None, "", "zebra a@zebu.org"]
+    got = {(r.term, r.general): r.n for r in sanitize.term_counts(docs_of(texts)).collect()}
+    assert got == {("", False): 6, ("zebra", False): 3, ("zebu", False): 3, ("zebrano", False): 1, ("a", False): 2, ("org", False): 2, ("zebr", True): 4, ("zebu", True): 3, ("a", True): 2, ("org", True): 2}
