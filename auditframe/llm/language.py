@@ -68,7 +68,7 @@ def word_features(words: list[str], lexicon: np.ndarray) -> crf.Features:
         ends = np.take_along_axis(codes, np.maximum(length[:, None] - size + np.arange(size), 0), 1)
         add(_mixed(ends, 20 + size), length > size)
     if len(lexicon):
-        whole = _mixed(codes, 30)
+        whole = _whole(words)
         place = np.minimum(np.searchsorted(lexicon, whole), len(lexicon) - 1)
         columns.append(np.where(lexicon[place] == whole, BUCKETS + place, -1))
     return crf.Features.of(np.column_stack(columns))

@@ -108,3 +108,22 @@ def test_held_out_documents(spark):
     assert all(got[d.doc_id].held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2) for d in docs)
     held = [d for d in docs if got[d.doc_id].held_out]
     assert np.mean([got[d.doc_id].lang_pred == d.lang for d in held]) > 0.97
+
+
+def test_lexicon_features_do_not_depend_on_other_words():
+    """A known short word has its lexicon feature alone and beside words of any length."""
+    lexicon = np.unique(language._whole(["house", "haus"]))
+    for others in ([], ["a"], ["riverbank"], ["x" * language.LONGEST]):
+        features = language.word_features(["house", "unknown", *others], lexicon)
+        of = np.split(features.flat, features.first[1:])
+        assert [f for f in of[0] if f >= language.BUCKETS] == [language.BUCKETS + np.searchsorted(lexicon, language._whole(["house"])[0])]
+        assert all((f < language.BUCKETS).all() for f in of[1:])
+
+
+def test_a_text_scores_alike_alone_and_in_any_batch(docs_of):
+    model = language.fit([EN, DE] * 3, ["en", "de"] * 3)
+    assert np.abs(model.chain.weights[language.BUCKETS :]).max(1).all()
+    texts = [EN, DE, "the house und das haus", "x" * language.LONGEST + " river", "a"]
+    together = {r.doc_id: r.score for r in language.predict(docs_of(texts).coalesce(1), model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(language.predict(docs_of([t]), model).first().score - together[i]) < 1e-12
