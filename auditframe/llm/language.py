@@ -20,7 +20,7 @@ from auditframe.llm._table import bounded_sample, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Longer words, as in scripts without spaces, are known by their first and last letters.
+# Longer words, as in scripts without spaces, are read in consecutive pieces.
 LONGEST = 24
 _OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -88,13 +88,18 @@ class Model:
 
 
 def letters(word: str) -> str:
-    """The letters of a word in lower case; of more than LONGEST the first and last halves."""
-    kept = _OTHER.sub("", word)
-    return kept if len(kept) <= LONGEST else kept[: LONGEST // 2] + kept[-LONGEST // 2 :]
+    """The letters of a word."""
+    return _OTHER.sub("", word)
+
+
+def pieces(word: str) -> list[str]:
+    """The letters of a word in consecutive pieces of LONGEST at most."""
+    kept = letters(word)
+    return [kept[i : i + LONGEST] for i in range(0, len(kept), LONGEST)]
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in map(letters, (text or "").lower().split()) if w]
+    return [p for w in (text or "").lower().split() for p in pieces(w)]
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model:
@@ -136,12 +141,14 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model:
 def learn(docs: DataFrame, documents: int = DOCUMENTS, words: int = WORDS) -> Model:
     """A model from at most ``documents`` texts a language and ``words`` consecutive words of each, from a hashed place.
 
+    Words longer than LONGEST count as the pieces that they are read in, so of words without end a cut of as many characters is taken.
     Rows without text or language are left out. Only this sample reaches the driver.
     """
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     parts = F.split("text", r"\s+")
     start = F.pmod(F.xxhash64("text"), F.greatest(F.size(parts) - words, F.lit(0)) + 1) + 1
-    cut = F.array_join(F.slice(parts, start.cast("int"), words), " ")
+    run, most = F.array_join(F.slice(parts, start.cast("int"), words), " "), words * (LONGEST + 1)
+    cut = F.substring(run, (F.pmod(F.xxhash64("text"), F.greatest(F.length(run) - most, F.lit(0)) + 1) + 1).cast("int"), F.lit(most))
     sample = bounded_sample(known, "lang", documents, 3).select("lang", cut.alias("text")).orderBy("lang", "text").collect()
     return fit([r.text for r in sample], [r.lang for r in sample])
 
@@ -157,7 +164,7 @@ class _Scores:
         if len(self.at) > _MOST_WORDS:
             self.at, self.rows = {}, self.rows[:0]
         at = self.at
-        new = [w for w in words if w not in at]
+        new = list(dict.fromkeys(w for w in words if w not in at))
         if new:
             at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, *(self._added(new[i : i + 8192]) for i in range(0, len(new), 8192))])
@@ -175,29 +182,46 @@ class _Scores:
 def _predict(model: Model, with_words: bool):
     names = np.array([*model.labels, UNKNOWN], dtype=object)
 
+    def items(kinds: pa.DictionaryArray, scores: _Scores) -> tuple[np.ndarray, ...]:
+        """Scores of different words and pieces of long ones, and whether they have a letter; of every item in the texts that number and its word's."""
+        known, tokens = kinds.dictionary.to_pylist(), kinds.indices.to_numpy()
+        many, at = np.ones(len(known), np.int64), np.arange(len(known))
+        for i in np.flatnonzero(pc.utf8_length(kinds.dictionary).to_numpy() > LONGEST):
+            parts = pieces(known[i]) or [""]
+            known[i] = parts[0]
+            if len(parts) > 1:
+                many[i], at[i] = len(parts), len(known)
+                known += parts
+        size = many[tokens]
+        word = np.repeat(np.arange(len(tokens)), size)
+        return *scores(known), at[tokens][word] + np.arange(len(word)) - (np.cumsum(size) - size)[word], word
+
     def label(texts: pa.Array, scores: _Scores) -> tuple[np.ndarray, ...]:
         """Per text: label, score, words with letters, switches; then ends and labels of all words."""
         words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
         ends = np.asarray(words.offsets) - words.offsets[0].as_py()
         kinds = words.flatten().dictionary_encode()
-        rows, lettered = scores(kinds.dictionary.to_pylist())
-        tokens = kinds.indices.to_numpy()
+        rows, lettered, tokens, word = items(kinds, scores)
+        n_words, word_ends = len(kinds), ends
+        ends = np.searchsorted(word, ends)
         own = np.flatnonzero(lettered[tokens])
         place = np.searchsorted(own, ends)
         sizes = np.diff(place)
         some = np.flatnonzero(sizes)
         lang, points, switches = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        labels = np.full(len(tokens), -1)
+        labels = np.full(n_words, -1)
         if len(own):
             first = place[:-1][some]
             gamma = crf.posteriors(model.chain, rows[tokens[own]], first)
             share = np.add.reduceat(gamma, first, axis=0) / sizes[some][:, None]
             lang[some], points[some] = share.argmax(1), np.clip(share.max(1), 0, 1)
-            labels[own] = best = gamma.argmax(1)
+            best = gamma.argmax(1)
+            begin = np.flatnonzero(np.diff(word[own], prepend=-1))
+            labels[word[own][begin]] = best if len(begin) == len(own) else np.add.reduceat(gamma, begin, axis=0).argmax(1)
             change = np.diff(best, prepend=best[0]) != 0
             change[first] = False
             switches[some] = np.add.reduceat(change.astype(np.int64), first)
-        return lang, points, sizes.astype(np.int64), switches, ends, labels
+        return lang, points, sizes.astype(np.int64), switches, word_ends, labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(model)
@@ -220,7 +244,9 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str =
     """``key``, ``lang_pred``, ``score``, ``n_words``, ``n_switches`` and on demand the language of every word.
 
     Words are parted by white space; those with letters form one chain per
-    whole document, and the others are `und`. The document has the language
+    whole document, and the others are `und`. A word of more than LONGEST
+    letters is as many items of the chain, and words in ``n_words``, as it has
+    pieces of that length; its language is that of its highest mean. The document has the language
     of the highest mean word probability, its ``score``; of equal ones the
     first by name. Null texts and texts without letters are `und` at score 0,
     as all are when the model knows no language. No shuffle; repeated rows repeat.

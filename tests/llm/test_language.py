@@ -127,3 +127,16 @@ def test_a_text_scores_alike_alone_and_in_any_batch(docs_of):
     together = {r.doc_id: r.score for r in language.predict(docs_of(texts).coalesce(1), model).collect()}
     for i, t in enumerate(texts):
         assert abs(language.predict(docs_of([t]), model).first().score - together[i]) < 1e-12
+
+
+def test_all_letters_of_long_words_are_read(docs_of):
+    """Unspaced texts whose middle differs from both ends, and one that switches within a run."""
+    han, kana = "".join(map(chr, range(0x4E00, 0x4E40))), "".join(map(chr, range(0x3042, 0x3082)))
+    model = language.fit([han * 20, kana * 20] * 3, ["zh", "ja"] * 3)
+    texts = [han[:12] + kana * 6 + han[:12], han * 6 + "9 " + kana * 3, kana[:24], "12345678901234567890123456789", kana * 3 + " " + han[:5]]
+    rows = {r.doc_id: r for r in language.predict(docs_of(texts).coalesce(1), model, with_words=True).collect()}
+    assert [rows[i].lang_pred for i in range(5)] == ["ja", "zh", "ja", "und", "ja"]
+    assert [rows[i].n_words for i in range(5)] == [-(-(24 + 6 * 64) // 24), 16 + 8, 1, 0, 8 + 1]
+    assert rows[1].n_switches == 1 and rows[1].word_langs == ["zh", "ja"] and rows[4].word_langs == ["ja", "zh"] and rows[3].word_langs == ["und"]
+    # A long run is cut before it reaches the driver's sample.
+    assert language.learn(docs_of([(1, han * 2000, "zh", "s", 1), (2, kana * 2000, "ja", "s", 1)])).labels == ["ja", "zh"]
