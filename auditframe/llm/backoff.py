@@ -14,7 +14,6 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.functions.storage import written
 from auditframe.llm._table import slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -59,7 +58,10 @@ def grams(words: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[np
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a block of documents: ids, sizes, the hashes of its different words and the words as numbers of those."""
+    """One row a block of documents: ids, sizes, the hashes of its different words and the words as numbers of those.
+
+    The number of a block is a digest of its place and contents, so that counts are never given to a block made anew with other rows.
+    """
     count = 0
     for whole in batches:
         for b in slices(whole, "text", BLOCK_BYTES):
@@ -69,28 +71,40 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[np.asarray(words.offsets) - words.offsets[0].as_py()]
             kinds = flat.filter(real).dictionary_encode()
             numbers = kinds.indices.to_numpy().astype(np.int64)
-            often = np.argsort(-np.bincount(numbers, minlength=len(kinds.dictionary)), kind="stable")
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in kinds.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(kinds.dictionary))
+            # Frequent words first, for small numbers; the many words of one frequency by hash, for small differences.
+            often = np.lexsort((hashes, -np.bincount(numbers, minlength=len(hashes))))
             rank = np.empty_like(often)
             rank[often] = np.arange(len(often))
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in kinds.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(often))
-            block = (TaskContext.get().partitionId() << 32) + count
+            kept, own = pack(np.diff(hashes[often], prepend=np.uint64(0))), pack(rank[numbers])
+            digest = xxhash.xxh64(f"{TaskContext.get().partitionId()}:{count}:{b.column(0).to_pylist()}")
+            digest.update(kept)
+            digest.update(own)
+            block = digest.intdigest() - (1 << 63)
             count += 1
             yield pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([block], pa.int64()), "ids": pa.array([b.column(0)], pa.list_(pa.int64())), "sizes": pa.array([np.diff(ends)], pa.list_(pa.int64())),
                     "n_kinds": pa.array([len(often)], pa.int64()), "n_words": pa.array([len(numbers)], pa.int64()),
-                    "kinds": pa.array([pack(hashes[often])], pa.binary()), "words": pa.array([pack(rank[numbers])], pa.binary()),
+                    "kinds": pa.array([kept], pa.binary()), "words": pa.array([own], pa.binary()),
                 }
             )
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of words of each batch."""
+    for b in batches:
+        words = sum(len(t.split()) for t in b.column(0).cast(pa.binary()).to_pylist() if t)
+        yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64())], ["n"])
+
+
 _BLOCK = "block long, ids array<long>, sizes array<long>, n_kinds long, n_words long, kinds binary, words binary"
 
 
 def _positions(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: the word hash, the document number and the place in the document of every position."""
     sizes = np.asarray(block["sizes"], np.int64)
-    words = unpack(block["kinds"], block["n_kinds"])[unpack(block["words"], block["n_words"]).astype(np.int64)]
+    words = np.cumsum(unpack(block["kinds"], block["n_kinds"]), dtype=np.uint64)[unpack(block["words"], block["n_words"]).astype(np.int64)]
     doc = np.repeat(np.arange(len(sizes)), sizes)
     return words, doc, np.arange(len(words)) - (np.cumsum(sizes) - sizes)[doc]
 
@@ -176,8 +190,9 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
     its own n-grams are taken off the counts. Words are parted by ASCII white
     space, ASCII letters in lower case, and n-grams stay within documents.
 
-    All is equality on 64-bit hashes. Documents are read once into blocks of
-    word numbers, a written table. Each block sends its different n-grams with
+    All is equality on 64-bit hashes. One pass counts the words. Documents
+    are then dealt out as blocks of word numbers, once: the same exchange
+    serves the requests and the scores. Each block sends its different n-grams with
     counts to the part of the hash range they belong to; there counts of all
     blocks are added, and each block gets the sums in the order it asked. So
     occurrences are combined before they move, a frequent n-gram is one entry
@@ -187,8 +202,8 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
     count as documents of their own.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = written(rows.mapInArrow(_blocks, _BLOCK), "blocks")
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    total = rows.select("text").mapInArrow(_count, "n long").agg(F.sum("n")).first()[0] or 0
+    blocks = rows.mapInArrow(_blocks, _BLOCK).repartition("block")
     bits = max(0, math.ceil(math.log2(max(1, total * order / PART_GRAMS))))
     asked = blocks.mapInArrow(_requests(order, bits), "part long, block long, n long, size long, keys binary, counts binary")
     answers = asked.groupBy("part").applyInArrow(_totals, "block long, part long, n long, size long, totals binary")

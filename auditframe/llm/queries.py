@@ -15,6 +15,8 @@ ORACLES: dict[str, str] = {}
 
 # Target marginals of the mix: shares of tokens to these powers, which evens all three out in part.
 MIX = {"source": 0.7, "lang": 0.6, "topic": 0.7}
+# Longest n-grams of the scores.
+ORDER = 3
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -99,8 +101,8 @@ def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean log score of every document by the n-grams of all others."""
-    scored = backoff.score(read(spark, sf_dir, "documents"))
+    """Mean log score of every document by the n-grams of up to ORDER words of all others."""
+    scored = backoff.score(read(spark, sf_dir, "documents"), ORDER)
     return scored.select("doc_id", "n_words", "n_backed_off", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
@@ -119,5 +121,5 @@ def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLES["op8_stupid_backoff"] = backoff.score_sql()
+ORACLES["op8_stupid_backoff"] = backoff.score_sql(ORDER)
 ORACLES["op10_raking"] = raking.mix_sql(MIX)

@@ -60,3 +60,21 @@ def test_odd_rows(docs_of):
     assert same[0] == same[1] > next(r.log_score for r in got if r.doc_id == 4)
     assert backoff.score(docs_of([])).count() == 0
     assert backoff.score(docs_of([None, ""])).count() == 2
+
+
+def test_the_query_scores_with_three_words(spark, table):
+    from auditframe.llm.queries import QUERIES
+
+    rows = table("documents").orderBy("doc_id").collect()
+    got = {r.doc_id: r.mean_log_score for r in QUERIES["op8_stupid_backoff"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for r, (n, s) in zip(rows, reference_scores([r.text for r in rows], 3), strict=True):
+        assert got[r.doc_id] == (pytest.approx(s / n, abs=1e-6) if n else None)
+
+
+def test_blocks_move_once(docs_of):
+    """Requests and scores read the same exchange of the blocks."""
+    scored = backoff.score(docs_of(["a b c", "b c d"]).repartition(2), 3)
+    scored.collect()
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("MapInArrow _blocks") == 1
