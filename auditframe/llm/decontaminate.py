@@ -95,16 +95,26 @@ def one_edit(half: str, text: str) -> bool:
     return text.startswith(rest, i + 1) or text.startswith(half[i:], i + 1) or text.startswith(rest, i)
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over either end of a part of a text."""
+    joined = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not joined(start) and not joined(end)
+
+
 def matches(text: str, automaton, budgets: dict[str, int]) -> dict[str, tuple[int, int, int]]:
     """Best match of every item that occurs in a text."""
     windows = defaultdict(list)
+    best = {}
     for last, found in automaton.iter(text):
         for item, offset, length, half, left in found:
             start = last + 1 - length
+            if half is None:
+                if item not in best and stands_alone(text, start, last + 1):
+                    best[item] = (0, start, last + 1)
+                continue
             near = text[last + 1 : last + 2 + len(half)] if left else text[max(0, start - len(half) - 1) : start][::-1]
             if one_edit(half if left else half[::-1], near):
                 windows[item].append((start - offset - budgets[item], start - offset + len(item) + budgets[item]))
-    best = {}
     for item, spans in windows.items():
         joined = []
         for lo, hi in sorted(spans):
@@ -119,8 +129,8 @@ def matches(text: str, automaton, budgets: dict[str, int]) -> dict[str, tuple[in
     return best
 
 
-def _search(items: dict[str, list[int]], rate: float):
-    """``items`` gives the keys of each plain text."""
+def _search(items: dict[str, list[int]], rate: float, min_chars: int):
+    """``items`` gives the keys of each plain text; those under ``min_chars`` characters are one piece without another half."""
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +140,7 @@ def _search(items: dict[str, list[int]], rate: float):
             automaton, places = ahocorasick.Automaton(), defaultdict(list)
             budgets = {item: int(rate * len(item)) for item in items}
             for item, most in budgets.items():
-                for offset, piece, half, left in pieces(item, most):
+                for offset, piece, half, left in pieces(item, most) if len(item) >= min_chars else [(0, item, None, True)]:
                     places[piece].append((item, offset, len(piece), half, left))
             for piece, found in places.items():
                 automaton.add_word(piece, found)
@@ -164,11 +174,12 @@ def find_leaks(
     follows with one edit at most, the text around is verified. Documents stay where they are read. Items travel to them in
     passes of ``pass_chars`` characters, a documented bound, so a larger
     benchmark costs more scans and not more memory. Items under ``min_chars``
-    characters (null and empty ones too) are not looked for, since chance
-    would find them. Null and empty texts match nothing; repeated rows repeat
+    characters, which edits would let chance find, match word for word: without
+    edits, and where no word goes on over their ends, white space at which
+    does not count. Null and blank items are not looked for. Null and empty texts match nothing; repeated rows repeat
     their matches, and items with equal text all match.
     """
-    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter(F.length("item") >= min_chars)
+    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item IS NOT NULL")
     # Equal texts are looked for once; their ids join what was found.
     texts = wanted.select("item", F.xxhash64("item").alias("key")).distinct()
     total = texts.agg(F.sum(F.length("item"))).first()[0] or 0
@@ -178,9 +189,11 @@ def find_leaks(
     for number in range(passes):
         items = defaultdict(list)
         for r in texts.filter(F.pmod("key", F.lit(passes)) == number).toLocalIterator():
-            items[plain(r.item)].append(r.key)
+            text = plain(r.item)
+            if text := text if len(text) >= min_chars else text.strip(" "):
+                items[text].append(r.key)
         if items:
-            found.append(rows.mapInArrow(_search(dict(items), rate), "doc_id long, key long, distance int, start long, end long"))
+            found.append(rows.mapInArrow(_search(dict(items), rate, min_chars), "doc_id long, key long, distance int, start long, end long"))
     if not found:
         return rows.selectExpr("doc_id", "0L item_id", "0 distance", "0L start", "0L end").limit(0)
     ids = wanted.select("item_id", F.xxhash64("item").alias("key"))

@@ -117,3 +117,12 @@ def test_query_against_plain_search(spark):
     for doc, item in got - exact:
         text, want = (next(r.text for r in rows if r[0] == i) for rows, i in ((docs, doc), (items, item)))
         assert d.best_match(d.plain(want), d.plain(text), int(0.1 * len(want)))
+
+
+def test_short_items_match_word_for_word(spark, docs_of):
+    texts = ["It was Forty\nTwo.", "forty twos", "forty two", "forty tw", "xforty two", "forty twos, forty two", None, ""]
+    items = [(1, "forty two"), (2, " Forty two "), (3, "  "), (4, ""), (5, None), (6, "tw")]
+    assert leaks(spark, docs_of(texts), items) == [(0, 1, 0), (0, 2, 0), (2, 1, 0), (2, 2, 0), (3, 6, 0), (5, 1, 0), (5, 2, 0)]
+    bench = spark.createDataFrame(items[:1], "item_id long, text string")
+    assert [(r.start, r.end) for r in d.find_leaks(docs_of(texts[5:6]), bench).collect()] == [(12, 21)]
+    assert sorted(r.doc_id for r in d.drop_leaking(docs_of(texts), bench).collect()) == [1, 3, 4, 6, 7]
