@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import backoff, decontaminate, gam, language, pages, raking, rules, sanitize, sharding, simhash
+from auditframe.llm import backoff, decontaminate, gam, language, pages, raking, rules, sanitize, sharding, simhash, spelling, tokens, whitening
 from auditframe.llm._table import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,8 @@ ORACLES: dict[str, str] = {}
 MIX = {"source": 0.7, "lang": 0.6, "topic": 0.7}
 # Longest n-grams of the scores.
 ORDER = 3
+# Documents of more tokens are over the limit.
+TOKEN_LIMIT = 4096
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -121,5 +123,27 @@ def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document by the vocabulary of a public sentencepiece model."""
+    import public_tokenizers
+
+    counted = tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+@_query
+def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven letters or more with its spelling form, its root and the number of words near it."""
+    words = spelling.spelling_words(read(spark, sf_dir, "documents"), noise=31)
+    return spelling.spelling_forms(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of every embedding."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op8_stupid_backoff"] = backoff.score_sql(ORDER)
 ORACLES["op10_raking"] = raking.mix_sql(MIX)
