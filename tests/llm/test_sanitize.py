@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,6 +54,26 @@ def test_base_spans_of_documents(table):
 def test_runs_cost_linear_time():
     for text in ("a" * 200_000 + " x@y", "1" * 200_000, "@" * 100_000, "1." * 100_000, "+1 " * 50_000):
         sanitize.base_spans(text)
+    began = time.process_time()
+    assert sanitize.base_spans("a@" * 500_000) == [] and sanitize.base_spans("@a" * 500_000) == []
+    assert time.process_time() - began < 10
+
+
+def test_parts_of_an_address_may_have_any_number_of_zeros(docs_of):
+    text = "0" * 5000 + ".1.1.1"
+    assert [s[:3] for s in sanitize.base_spans(text)] == [(0, 1, len(text))] and sanitize.base_spans("1" * 5000 + ".1.1.1") == []
+    assert [s[:3] for s in sanitize.base_spans("00256.1.1.1 x 000255.0.0.00")] == [(14, 1, 27)]
+    assert [(s.start, s.stop) for r in sanitize.all_spans(docs_of([text])).collect() for s in r.spans] == [(0, len(text))]
+
+
+def test_filter_keeps_the_counts_of_what_passes(docs_of):
+    texts = ["Zebra zebu write to ann@example.org", *["zebra crossing number"] * 3, "nothing wanted", None]
+    docs = docs_of(texts)
+    wanted = sanitize.term_filter(sanitize._texts(sanitize.entities(docs)))
+    every = {(r.term, r.general): r.n for r in sanitize.term_counts(docs).collect()}
+    passed = {(r.term, r.general): r.n for r in sanitize.term_counts(docs, wanted=wanted).collect()}
+    assert set(passed) == {("", False), *((t, False) for t in ("zebra", "zebu", "write", "to", "ann", "example", "org")), *((t, True) for t in ("zebr", "zebu", "writ", "to", "ann", "exam", "org"))}
+    assert all(every[k] == n for k, n in passed.items())
 
 
 FILLER = ["the weather was fine on that day", "people walked along the river bank", "nothing else happened in town", "birds sang over old roofs"]
