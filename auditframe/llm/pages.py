@@ -36,26 +36,61 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 # Elements that end where they stand, so that what closes others does not reach beyond them.
 BARRIERS = frozenset("body article section main div nav aside footer header form table ul ol dl blockquote".split())
 
+# A quote opens a value only behind an equals sign; anywhere else it is part of a name. Possessive, so that no page costs more than its length.
+_SPACE = r"[\t\n\f\r ]"
+_ATTRIBUTES = rf"""(?:[\t\n\f\r /]|[^\t\n\f\r />][^\t\n\f\r />=]*+(?:{_SPACE}*+={_SPACE}*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\t\n\f\r >"'][^\t\n\f\r >]*+)?+)?+)*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))|<(/?)([a-zA-Z][^\t\n\f\r />]*)({_ATTRIBUTES})(?:>|\Z)", re.DOTALL
 )
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE) for tag in RAW}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 MAIN_MARK = "data-main"
-# Ancestors of a block that its signs are taken from, on either end of its path.
-ENDS = 24
 
 
-class Block(NamedTuple):
-    """A leaf block: its text, the characters of it inside links, and its ancestors, outermost first.
+BUCKETS = 1 << 14
+
+
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % (BUCKETS - 1) + 1
 
-    Of a path deeper than twice ENDS the middle is left out.
-    """
+
+@lru_cache(maxsize=20_000)
+def _own_features(tag: str, attributes: str) -> frozenset[int]:
+    """The tag of an element and the words of its classes, ids and roles."""
+    names = {f"name {w}" for found in _NAMES.findall(attributes) for w in _PARTS.split("".join(found).lower()) if w}
+    return frozenset(map(_bucket, names if tag in INLINE else names | {f"in {tag}"}))
+
+
+class Element:
+    """An open element: what holds it, and the features of it and all that holds it, shared where it adds none."""
+
+    __slots__ = ("attributes", "depth", "features", "leaf", "parent", "tag")
+
+    def __init__(self, parent: Element | None, tag: str, attributes: str) -> None:
+        self.parent, self.tag, self.attributes = parent, tag, attributes
+        above, self.leaf, self.depth = (parent.features, parent.leaf, parent.depth) if parent else (frozenset(), (), 0)
+        own = _own_features(tag, attributes)
+        self.features = above if own <= above else above | own
+        if tag not in INLINE:
+            self.leaf, self.depth = (*self.leaf[-1:], tag), self.depth + 1
+
+
+class Block(NamedTuple):
+    """A leaf block: its text, the characters of it inside links, and the innermost element that holds it."""
 
     text: str
     linked: int
-    path: tuple[tuple[str, str], ...]
+    holder: Element | None
+
+    @property
+    def path(self) -> list[tuple[str, str]]:
+        """Tags and attributes of the elements that hold the block, outermost first."""
+        out, at = [], self.holder
+        while at:
+            out.append((at.tag, at.attributes))
+            at = at.parent
+        return out[::-1]
 
 
 def leaf_blocks(page: str) -> Iterator[Block]:
@@ -65,13 +100,13 @@ def leaf_blocks(page: str) -> Iterator[Block]:
     Comments, scripts and styles have no text. Elements left open end with
     what holds them; an end without a beginning is passed over.
     """
-    path: list[tuple[str, str]] = []
+    path: list[Element] = []
     opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = at = 0
 
     def close(depth: int) -> None:
-        opened.subtract(t for t, _ in path[depth:])
+        opened.subtract(e.tag for e in path[depth:])
         del path[depth:]
 
     def flush() -> Iterator[Block]:
@@ -79,7 +114,7 @@ def leaf_blocks(page: str) -> Iterator[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                yield Block(text, min(linked, len(text)), tuple(path if len(path) <= 2 * ENDS else path[:ENDS] + path[-ENDS:]))
+                yield Block(text, min(linked, len(text)), path[-1] if path else None)
             parts.clear()
             linked = 0
 
@@ -107,54 +142,42 @@ def leaf_blocks(page: str) -> Iterator[Block]:
             yield from flush()
         if token[1]:
             if opened[tag]:
-                depth = next(i for i in range(len(path) - 1, -1, -1) if path[i][0] == tag)
-                if tag not in INLINE or all(t in INLINE for t, _ in path[depth:]):
+                depth = next(i for i in range(len(path) - 1, -1, -1) if path[i].tag == tag)
+                if tag not in INLINE or all(e.tag in INLINE for e in path[depth:]):
                     close(depth)
             continue
         if tag not in INLINE:
-            while path and path[-1][0] in INLINE:
+            while path and path[-1].tag in INLINE:
                 close(-1)
-            if path and path[-1][0] == "p":
+            if path and path[-1].tag == "p":
                 close(-1)
             for closed in CLOSES.get(tag, ()):
                 for i in range(len(path) - 1, -1, -1):
-                    if path[i][0] == closed:
+                    if path[i].tag == closed:
                         close(i)
                         break
-                    if path[i][0] in BARRIERS:
+                    if path[i].tag in BARRIERS:
                         break
         if tag in RAW:
             end = _ENDS[tag].search(page, at)
             stop = end.start() if end else len(page)
             if tag not in UNSEEN:
-                path.append((tag, attributes))
+                path.append(Element(path[-1] if path else None, tag, attributes))
                 add(page[at:stop])
                 yield from flush()
                 path.pop()
             closing = page.find(">", stop)
             at = len(page) if closing < 0 else closing + 1
         elif tag not in EMPTY and not attributes.rstrip().endswith("/"):
-            path.append((tag, attributes))
+            path.append(Element(path[-1] if path else None, tag, attributes))
             opened[tag] += 1
     yield from flush()
 
 
-BUCKETS = 1 << 14
-
-
-def _bucket(name: str) -> int:
-    return zlib.crc32(name.encode()) % (BUCKETS - 1) + 1
-
-
 @lru_cache(maxsize=20_000)
-def _path_features(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
-    """Tags of all ancestors and words of their classes, ids and roles, and how near the element of the block is."""
-    blocks = [t for t, _ in path if t not in INLINE]
-    names = {f"in {t}" for t in blocks} | {f"leaf {t}" for t in blocks[-1:]} | {f"leaf {' '.join(blocks[-2:])}", f"depth {min(len(blocks), 8)}"}
-    for _, attributes in path:
-        for found in _NAMES.findall(attributes):
-            names |= {f"name {w}" for w in _PARTS.split("".join(found).lower()) if w}
-    return tuple(sorted(map(_bucket, names)))
+def _leaf_features(leaf: tuple[str, ...], depth: int) -> tuple[int, ...]:
+    """How near the element of a block is, and how deep."""
+    return tuple(sorted(map(_bucket, {*(f"leaf {t}" for t in leaf[-1:]), f"leaf {' '.join(leaf)}", f"depth {depth}"})))
 
 
 def block_features(blocks: list[Block]) -> list[list[int]]:
@@ -166,9 +189,10 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
         names = [
             f"size {size}", f"links {share}", f"end {b.text[-1] if not b.text[-1].isalnum() else 'w'}", f"size links {size} {share}",
             f"place {min(i, 3)} {min(len(blocks) - 1 - i, 3)}", f"commas {min(b.text.count(','), 3)}", f"first {b.text[0] if not b.text[0].isalnum() else 'w'}",
-            f"digits {int(4 * sum(map(str.isdigit, b.text[:64])) / min(len(b.text), 64))}",
+            f"digits {int(4 * sum(map(str.isdigit, b.text)) / len(b.text))}",
         ]
-        out.append([0, *_path_features(b.path), *map(_bucket, names)])
+        held, leaf, depth = (b.holder.features, b.holder.leaf, b.holder.depth) if b.holder else ((), (), 0)
+        out.append([0, *sorted(held), *_leaf_features(leaf, min(depth, 8)), *map(_bucket, names)])
     return out
 
 

@@ -23,6 +23,25 @@ def test_blocks_of_loose_markup():
     assert texts("</p></div>x<br/>y<hr>z<") == ["x y", "z<"]
 
 
+def test_quotes_and_short_comments():
+    """A quote opens a value only behind an equals sign, and some comments end where they begin."""
+    assert texts('<article><p class=foo">Hello world</p><p>Second <a href="x">link</a></p></article>') == ["Hello world", "Second link"]
+    assert texts("<p don't>one</p><p>two it's</p>") == ["one", "two it's"]
+    assert texts("<!-->shown<p>a</p>") == ["shown", "a"] and texts("<!--->shown<p>a</p>") == ["shown", "a"]
+    assert texts("<!-- a > b -- c --!>shown<p>a</p>") == ["shown", "a"]
+    assert texts("<p a = \"x>y\" b='>' c=d/e>in</p>") == ["in"] and texts('<p "q">in</p>') == ["in"]
+    assert texts("<a href=/x/>y</a></>z</ bogus>w") == ["yzw"] and texts("<p a=>b</p>") == ["b"]
+    assert texts('<p a="never closed>x</p>') == [] and texts("<p\xa0x>one</p>") == ["one"]
+
+
+def test_all_ancestors_and_digits_are_read():
+    deep = "<div>" * 40 + '<div class="comments">' + "<div>" * 40 + "text"
+    (block,) = pages.leaf_blocks(deep)
+    assert pages._bucket("name comments") in pages.block_features([block])[0] and len(block.path) == 81
+    (long,) = pages.leaf_blocks("<p>" + "x" * 64 + "1" * 400)
+    assert pages._bucket("digits 3") in pages.block_features([long])[0]
+
+
 def test_paths_close_what_html_closes():
     path = lambda page: [[t for t, _ in b.path] for b in pages.leaf_blocks(page)]
     assert path("<div><p><b>x<p>y</div>z") == [["div", "p", "b"], ["div", "p"], []]
@@ -89,5 +108,7 @@ def test_query_on_given_pages(spark):
 
 def test_deep_pages_cost_linear_time():
     deep = "<div>word " * 20_000
-    assert len(list(pages.leaf_blocks(deep))) == 20_000
+    blocks = list(pages.leaf_blocks(deep))
+    assert len(blocks) == 20_000 and len(pages.block_features(blocks)) == 20_000
+    assert texts("<p " + "a" * 500_000) == [] and texts("<p " + "a='" * 200_001 + ">x") == [] and texts("<p " + "= " * 200_000 + ">x") == ["x"]
     assert len(list(pages.leaf_blocks("<ul><li>x" * 5000 + "</i></b></nav>" * 20_000))) == 5000
