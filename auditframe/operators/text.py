@@ -12,6 +12,7 @@ from auditframe.functions.columns import union_all
 from auditframe.functions.ranking import kth_free, number_rows
 from auditframe.functions.similarity import best_cosine, best_jaccard
 from auditframe.functions.storage import written
+from auditframe.functions.vector_index import best_in_index, create_index
 from auditframe.operators.io import latest_wins
 
 NGRAM_THRESHOLD = 0.60
@@ -282,6 +283,16 @@ def cosine_matches(artifacts: DataFrame, corpus: DataFrame, threshold: float = C
     )
 
 
+def index_corpus(corpus: DataFrame, path: str) -> None:
+    """Write the corpus vectors as an index that later artifacts are matched with, and that ``append_vectors`` extends."""
+    create_index(corpus, path, "item_id")
+
+
+def cosine_indexed(artifacts: DataFrame, path: str, threshold: float = COSINE_THRESHOLD) -> DataFrame:
+    """As :func:`cosine_matches` from a stored index: exact scores, of the matches that its buckets hold."""
+    return best_in_index(artifacts, path, threshold, "artifact_id").select("artifact_id", F.col("match").alias("item_id"), "score")
+
+
 def leak_decisions(artifacts: DataFrame, corpus: DataFrame, strict: bool = True) -> DataFrame:
     """Block, warn or pass per artifact, with the reason.
 

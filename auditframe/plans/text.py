@@ -1,10 +1,13 @@
 """Text family, deduplication, leakage and statement queries."""
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from auditframe.functions import text as fx
+from auditframe.functions.storage import session_folder
+from auditframe.functions.vector_index import append_vectors
 from auditframe.operators import text as t
 from auditframe.plans import Family
 from auditframe.sources import oracle
@@ -293,6 +296,17 @@ def cosine_match(i):
     return t.cosine_matches(*_vectors(i)).withColumn("score", F.round("score", 6))
 
 
+@FAMILY.add("tx_cosine_indexed")
+def cosine_indexed(i):
+    """The matches of tx_cosine_match from an index that is written in two batches; tests measure its recall."""
+    artifacts, corpus = _vectors(i)
+    path = f"{session_folder(i.spark)}/index-{uuid.uuid4().hex}"
+    late = F.col("item_id") % 4 == 3
+    t.index_corpus(corpus.filter(~late), path)
+    append_vectors(corpus.filter(late), path, "1", "item_id")
+    return t.cosine_indexed(artifacts, path).withColumn("score", F.round("score", 6))
+
+
 _DECISION = f"""
   WITH {_brute(_TOKENS, 'question', 'question', 0.75)},
   q AS (SELECT artifact_id, score AS qs FROM best),
