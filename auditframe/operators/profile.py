@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.functions import sketches
 from auditframe.functions.columns import (
     batches,
     first_values,
@@ -89,17 +90,16 @@ def column_profile(df: DataFrame) -> DataFrame:
     return distinct.join(ranges, "column", "left")
 
 
-def column_profile_approx(df: DataFrame, rsd: float = 0.05) -> DataFrame:
-    """As :func:`column_profile` with sketched distinct counts: one scan, no shuffle of values."""
-    out = []
-    for names in batches(scalar_columns(df), MAX_AGGREGATES):
-        row = df.agg(*[F.approx_count_distinct(quoted(c), rsd).alias(f"d{k}") for k, c in enumerate(names)])
-        cells = [F.struct(F.lit(c).alias("column"), F.col(f"d{k}").alias("distinct_count")) for k, c in enumerate(names)]
-        out.append(row.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*"))
-    ranges = _ranges(df)
-    if ranges is None:
-        ranges = df.sparkSession.createDataFrame([], _RANGE_SCHEMA)
-    return union_all(out).join(ranges, "column", "left")
+def column_profile_approx(df: DataFrame, rsd: float = sketches.ERROR) -> DataFrame:
+    """As :func:`column_profile` from sketches, with quantiles and frequent values: one scan, no shuffle of values."""
+    return sketches.profile(sketches.column_sketches(df, rsd))
+
+
+def column_profile_parts(parts: dict[str, DataFrame], path: str) -> DataFrame:
+    """The profile of a table from its parts, each read once and stored as sketches; later parts are added to those at ``path``."""
+    for name, df in parts.items():
+        sketches.append_part(df, path, name)
+    return sketches.profile(sketches.read_parts(next(iter(parts.values())).sparkSession, path))
 
 
 def _label_columns(df: DataFrame) -> list[str]:

@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditframe.functions import sketches
 from auditframe.functions.asof import match_last_event
 
 UNKNOWN_WAREHOUSE = "(unknown)"
@@ -204,6 +205,29 @@ def daily_usage(log, as_of, days: int = 30) -> DataFrame:
     return timing.join(users, keys)
 
 
+def usage_sketches(log) -> DataFrame:
+    """Per agent and day: exact counts, and durations and users as sketches that :func:`merged_usage` puts together."""
+    days = log.filter("space_id IS NOT NULL").withColumn("day", F.to_date("start_time"))
+    return days.groupBy("space_id", "day").agg(
+        F.count("*").alias("queries"), F.count_if(F.col("execution_status") == "FAILED").alias("errors"),
+        sketches.quantile_sketch(F.col("duration_ms")).alias("durations"), sketches.distinct_sketch(F.col("executed_by")).alias("users"),
+    )
+
+
+def merged_usage(parts: DataFrame, *keys: str) -> DataFrame:
+    """As :func:`daily_usage` at any grain (days, weeks, agents) from stored sketches; no query is read again.
+
+    Durations are exact up to as many queries as a sketch keeps, within its
+    rank error beyond; users are estimates.
+    """
+    merged = parts.groupBy(*keys).agg(
+        F.sum("queries").alias("queries"), F.sum("errors").alias("errors"),
+        sketches.merged_quantiles("durations").alias("durations"), sketches.merged_distinct("users").alias("users"),
+    )
+    at = lambda p: sketches.quantile_estimate("durations", p).cast("long")
+    return merged.select(*keys, "queries", at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), "errors", sketches.distinct_estimate("users").alias("distinct_users"))
+
+
 def usage_totals(daily: DataFrame) -> DataFrame:
     """Totals over the daily frame; users are the largest daily count, a lower bound of the true one."""
     return daily.groupBy("space_id").agg(
