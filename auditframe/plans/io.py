@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditframe.functions.storage import session_folder
-from auditframe.operators import io
+from auditframe.operators import io, merge
 from auditframe.plans import Family
 from auditframe.sources import oracle
 
@@ -69,6 +69,26 @@ def latest_wins(i):
     return df.select("run_id", "iteration", "eval_scope", "overall_accuracy", "ordinal")
 
 
+@FAMILY.add(
+    "io_merge",
+    oracle(
+        """SELECT run_id, iteration, eval_scope, overall_accuracy, event_ts, ordinal FROM iterations
+           QUALIFY row_number() OVER (PARTITION BY run_id, iteration
+                                      ORDER BY event_ts DESC, ordinal DESC) = 1""",
+        "iterations",
+    ),
+)
+def merge_rows(i):
+    """The newest row per key, kept by upserts: a table and two merges, none of which reads the log again."""
+    rows = i.iterations.select("run_id", "iteration", "eval_scope", "overall_accuracy", "event_ts", "ordinal")
+    path = f"{session_folder(i.spark)}/merge-{uuid.uuid4().hex}"
+    order = [F.desc("event_ts"), F.desc("ordinal")]
+    merge.create_table(rows.filter("ordinal % 3 = 0"), path, ["run_id", "iteration"], order)
+    for part in (1, 2):
+        merge.merge(rows.filter(f"ordinal % 3 = {part}"), path, order)
+    return merge.read_table(i.spark, path)
+
+
 @FAMILY.add(
     "io_stamp_flag",
     oracle(

@@ -4,6 +4,7 @@ import uuid
 
 
 from auditframe.functions.storage import session_folder
+from auditframe.operators import merge
 from auditframe.plans import Family
 from auditframe.sources import VIEWS, oracle
 from auditframe.streaming import usage as s
@@ -53,5 +54,5 @@ def daily_rollup(i):
     i.events.repartition(4, "event_id").write.parquet(f"{out}/arrivals")
     events = i.spark.readStream.schema(i.events.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/arrivals")
     totals = s.daily_usage(_query_log(i, events))
-    s.upsert_available(totals, f"{out}/log", f"{out}/checkpoint")
-    return s.read_upserted(i.spark, f"{out}/log", ["day", "space_id"])
+    s.merge_available(totals, f"{out}/table", ["day", "space_id"], f"{out}/checkpoint")
+    return merge.read_table(i.spark, f"{out}/table")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditframe.operators import merge
 from auditframe.operators.io import latest_wins
 
 
@@ -72,6 +73,29 @@ def upsert_available(totals: DataFrame, log_path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def merge_available(totals: DataFrame, path: str, keys: list[str], checkpoint: str, buckets: int = 16) -> None:
+    """Process what has arrived and merge the totals that each micro-batch changed into a table (``operators.merge``).
+
+    The table remembers the last batch of the stream, so a batch that is run
+    again after a failure changes nothing.
+    """
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            done = merge.read_version(spark, path).marks.get(checkpoint, -1)
+        except ValueError:
+            merge.create_table(batch, path, keys, buckets=buckets, marks={checkpoint: batch_id})
+            return
+        if batch_id > done:
+            merge.merge(batch, path, marks={checkpoint: batch_id})
+        else:
+            # The state of the stream is kept by computing the batch, even where its rows are merged already.
+            batch.write.format("noop").mode("overwrite").save()
+
+    query = totals.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def read_upserted(spark: SparkSession, log_path: str, keys: list[str]) -> DataFrame:
     """The newest row per key of an upsert log."""
     return latest_wins(spark.read.parquet(log_path), keys, [F.desc("batch_id")]).drop("batch_id")
