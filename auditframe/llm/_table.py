@@ -31,20 +31,25 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+# Strata that a sample draws from: the largest ones.
+MOST_STRATA = 512
+
+
 def bounded_sample(df: DataFrame, stratum: str | None, rows: int, seed: int) -> DataFrame:
     """At most ``rows`` different rows of every stratum (without one, of all rows), those of the smallest seeded hash.
 
     Only hashes are ranked. A hash below four times the share that ``rows``
     is of the different rows of its stratum (as a sketch counts them) passes first, so that ranks are taken of about four times
     ``rows`` hashes, however large a stratum; the chance that fewer than
-    ``rows`` pass is beyond notice. The chosen hashes number ``rows`` times
-    the strata, which is what makes their broadcast bounded, and that of the
-    strata's sizes.
+    ``rows`` pass is beyond notice. Of many strata the MOST_STRATA largest are
+    drawn from, so the chosen hashes number at most ``rows`` times that, which
+    bounds their broadcast and that of the strata's sizes.
     """
     of = F.lit(0) if stratum is None else F.col(stratum)
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(df.columns)]))
     marks = hashed.select(of.alias("_of"), "_h")
     sizes = marks.groupBy("_of").agg(F.approx_count_distinct("_h").alias("_n"))
+    sizes = sizes.orderBy(F.desc("_n"), "_of").limit(MOST_STRATA)
     share = F.col("_h") / F.lit(float(1 << 64)) + 0.5
     low = marks.join(F.broadcast(sizes), "_of").filter(share * F.col("_n") <= 4 * rows).select("_of", "_h").distinct()
     rank = F.row_number().over(Window.partitionBy("_of").orderBy("_h"))

@@ -129,8 +129,8 @@ def matches(text: str, automaton, budgets: dict[str, int]) -> dict[str, tuple[in
     return best
 
 
-def _search(items: dict[str, list[int]], rate: float, min_chars: int):
-    """``items`` gives the keys of each plain text; those under ``min_chars`` characters are one piece without another half."""
+def _search(items: dict[str, list[int]], rate: float):
+    """``items`` gives the keys of each plain text; those without a budget are one piece without another half."""
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def _search(items: dict[str, list[int]], rate: float, min_chars: int):
             automaton, places = ahocorasick.Automaton(), defaultdict(list)
             budgets = {item: int(rate * len(item)) for item in items}
             for item, most in budgets.items():
-                for offset, piece, half, left in pieces(item, most) if len(item) >= min_chars else [(0, item, None, True)]:
+                for offset, piece, half, left in pieces(item, most) if most else [(0, item, None, True)]:
                     places[piece].append((item, offset, len(piece), half, left))
             for piece, found in places.items():
                 automaton.add_word(piece, found)
@@ -161,7 +161,7 @@ def _search(items: dict[str, list[int]], rate: float, min_chars: int):
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, min_chars: int = 20,
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1,
     pass_chars: int = PASS_CHARS,
 ) -> DataFrame:
     """``doc_id``, ``item_id``, ``distance``, ``start``, ``end`` for every document and test item it holds.
@@ -172,11 +172,11 @@ def find_leaks(
     item is cut into at least one piece more than its budget, so a match keeps
     one piece intact. One scan finds all pieces; where the neighbouring piece
     follows with one edit at most, the text around is verified. Documents stay where they are read. Items travel to them in
-    passes of ``pass_chars`` characters, a documented bound, so a larger
-    benchmark costs more scans and not more memory. Items under ``min_chars``
-    characters, which edits would let chance find, match word for word: without
-    edits, and where no word goes on over their ends, white space at which
-    does not count. Null and blank items are not looked for. Null and empty texts match nothing; repeated rows repeat
+    passes of ``pass_chars`` characters, a documented bound, each of which is
+    written before the next one's items are fetched, so a larger benchmark
+    costs more scans and not more memory, on the driver neither. An item too
+    short for an edit (under 1 / ``rate`` characters) matches word for word:
+    where no word goes on over its ends, white space at which does not count. Null and blank items are not looked for. Null and empty texts match nothing; repeated rows repeat
     their matches, and items with equal text all match.
     """
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item IS NOT NULL")
@@ -190,18 +190,20 @@ def find_leaks(
         items = defaultdict(list)
         for r in texts.filter(F.pmod("key", F.lit(passes)) == number).toLocalIterator():
             text = plain(r.item)
-            if text := text if len(text) >= min_chars else text.strip(" "):
+            # White space at the ends of an item without a budget does not count.
+            if text := text if int(rate * len(text.strip(" "))) else text.strip(" "):
                 items[text].append(r.key)
         if items:
-            found.append(rows.mapInArrow(_search(dict(items), rate, min_chars), "doc_id long, key long, distance int, start long, end long"))
+            hits = rows.mapInArrow(_search(dict(items), rate), "doc_id long, key long, distance int, start long, end long")
+            found.append(hits if passes == 1 else written(hits, "edit-matches"))
     if not found:
         return rows.selectExpr("doc_id", "0L item_id", "0 distance", "0L start", "0L end").limit(0)
     ids = wanted.select("item_id", F.xxhash64("item").alias("key"))
     return reduce(DataFrame.unionAll, found).join(ids, "key").select("doc_id", "item_id", "distance", "start", "end")
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, min_chars: int = 20) -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1) -> DataFrame:
     """The rows of ``docs`` that hold no test item; all columns stay. Rows without an id are judged by their text."""
     keyed = packed(docs, key=F.xxhash64(id_col, text_col), text=F.col(text_col))
-    leaks = written(find_leaks(keyed, benchmark, "key", "text", rate, min_chars).select(F.col("doc_id").alias("key")).distinct(), "leaks")
+    leaks = written(find_leaks(keyed, benchmark, "key", "text", rate).select(F.col("doc_id").alias("key")).distinct(), "leaks")
     return keyed.join(leaks, "key", "left_anti").select("row.*")

@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Additive, text_col: str = "text", threshold: f
     having no words; repeated rows repeat; columns of these names are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in (text_col.lower(), "score", "predicted")]
-    counted = text_counts(docs.withColumn("_key", F.struct(*keep)), text_col, ["_key"])
+    counted = text_counts(docs.withColumn("_key", F.struct(*[F.col(f"`{c}`") for c in keep])), text_col, ["_key"])
     points = F.pandas_udf(lambda *cols: pd.Series(model.score(features(pd.concat(cols, axis=1, keys=COUNTS)))), "double")
     scored = counted.select(*[F.col(f"_key.`{c}`") for c in keep], points(*COUNTS).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

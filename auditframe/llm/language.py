@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -11,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Longer words, as in scripts without spaces, are read in consecutive pieces.
 LONGEST = 24
-_OTHER = re.compile(r"[\W\d_]+")
+# A letter with the marks on it; numbers such as ½ and ① are none.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
 BUCKETS = 1 << 17
 # Sample for learning: documents a language, words of each, words of a training chain.
@@ -88,8 +89,8 @@ class Model:
 
 
 def letters(word: str) -> str:
-    """The letters of a word."""
-    return _OTHER.sub("", word)
+    """The letters of a word with their marks."""
+    return word if word.isalpha() else "".join(_LETTERS.findall(word))
 
 
 def pieces(word: str) -> list[str]:

@@ -359,5 +359,7 @@ def extract(pages: DataFrame, chain: crf.Chain, html_col: str = "html") -> DataF
     the input called ``text`` or ``n_chars`` are replaced. No shuffle.
     """
     keep = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
-    rows = pages.select(*keep, F.col(html_col).alias("html"))
-    return rows.mapInArrow(_extract(chain), StructType([*rows.schema.fields[:-1], StructField("text", StringType()), StructField("n_chars", LongType())]))
+    # Under plain names, since tasks do not take a dot in one.
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(html_col).alias("html"))
+    made = rows.mapInArrow(_extract(chain), StructType([*rows.schema.fields[:-1], StructField("text", StringType()), StructField("n_chars", LongType())]))
+    return made.toDF(*keep, "text", "n_chars")

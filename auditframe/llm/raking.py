@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import sys
+import warnings
 from collections import Counter
 
 import pandas as pd
@@ -60,45 +62,64 @@ def tempered(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 10) -> DataFrame:
+# Fitting ends when a round moves no category's sum by more than this share; a corpus whose targets contradict each
+# other never gets there, and ends after MOST_ROUNDS with a warning that names the miss.
+TOLERANCE, MOST_ROUNDS = 1e-9, 500
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (one row per combination, with ``tokens``) with ``weight``: the factor that fits all marginals.
 
     Each step scales the weighted tokens of every category of one dimension
     to its target share; a round takes all dimensions and is written to the
     shared folder. Sums are combined before they are shuffled, so a category
     that most cells share is no burden. Categories without tokens, and those
-    that a target does not name, keep their weight.
+    that a target does not name, keep their weight. Rounds go on until one
+    finds every marginal within ``tolerance`` of its target; where ``rounds``
+    are over first, a warning says how far off the farthest one is.
     """
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
     now = cells.withColumn("weight", F.lit(1.0))
     for name, shares in targets.items():
         now = now.join(shares.withColumnRenamed("share", f"_{name}"), name, "left")
     now = written(now, "cells")
+    off = 0.0
     for _ in range(rounds):
+        now = now.withColumn("_off", F.lit(0.0))
         for name in targets:
             sums = now.groupBy(name).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_sum")).filter("_sum > 0")
             factor = F.coalesce(F.col(f"_{name}") * total / F.col("_sum"), F.lit(1.0))
-            now = now.join(sums, name, "left").withColumn("weight", F.col("weight") * factor).drop("_sum")
+            # How far the category was off before this step.
+            miss = F.when(F.col("_sum").isNotNull(), F.abs(1 / factor - 1)).otherwise(0.0)
+            now = now.join(sums, name, "left").withColumn("_off", F.greatest("_off", miss)).withColumn("weight", F.col("weight") * factor).drop("_sum")
         now = written(now, "cells")
-    return now.drop(*[f"_{name}" for name in targets])
+        off = now.agg(F.max("_off")).first()[0] or 0.0
+        if off <= tolerance:
+            break
+    if off > tolerance:
+        warnings.warn(f"a marginal is {off:.3g} of its target away from it after {rounds} rounds", stacklevel=2)
+    return now.drop("_off", *[f"_{name}" for name in targets])
 
 
-def calibrate(raked: DataFrame, keep: float, steps: int = 12) -> float:
+def calibrate(raked: DataFrame, keep: float, steps: int | None = None) -> float:
     """The factor that turns weights into probabilities, capped at one, of which ``keep`` of all tokens are expected.
 
     Cells whose probability reaches one are taken whole and the others share
-    what is left, until no more cells reach it; each step is one sum over the cells.
+    what is left, until no more cells reach it (or for so many ``steps``);
+    each step is one sum over the cells. The factor only grows, so cells that
+    reach one stay there and the steps end.
     """
-    factor = keep
-    for _ in range(steps):
+    factor, reached = keep, -1
+    for _ in itertools.count() if steps is None else range(steps):
         whole = F.col("weight") * factor >= 1
         sums = raked.agg(
-            F.sum("tokens").cast("double"), F.sum(F.when(whole, F.col("tokens"))).cast("double"), F.sum(F.when(~whole, F.col("tokens") * F.col("weight")))
+            F.sum("tokens").cast("double"), F.sum(F.when(whole, F.col("tokens"))).cast("double"), F.sum(F.when(~whole, F.col("tokens") * F.col("weight"))),
+            F.count_if(whole & (F.col("tokens") > 0)),
         ).first()
-        total, taken, rest = (x or 0.0 for x in sums)
-        last, factor = factor, (keep * total - taken) / rest if rest else factor
-        if last == factor:
+        total, taken, rest, n = (x or 0.0 for x in sums)
+        if n == reached:
             break
+        factor, reached = (keep * total - taken) / rest if rest else factor, n
     return factor
 
 
@@ -109,7 +130,7 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def mix(
-    docs: DataFrame, powers: dict[str, float], keep: float = 0.5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 10, seed: int = 11
+    docs: DataFrame, powers: dict[str, float], keep: float = 0.5, id_col: str = "doc_id", text_col: str = "text", rounds: int = MOST_ROUNDS, seed: int = 11
 ) -> DataFrame:
     """All rows with ``tokens``, ``topic``, ``weight``, ``probability`` and ``sampled``.
 
@@ -122,12 +143,14 @@ def mix(
     the draw does not depend on order and repeated rows are drawn together.
     Cells number at most sources times languages times topics; the rows join
     them by equality, where a hot cell splits. Columns of the input with these
-    names are replaced. An empty table gives no rows.
+    names are replaced. An empty table gives no rows; a corpus without tokens
+    keeps weight 1 and probability ``keep``. Topics and cells are found once:
+    the rows are written with them.
     """
     names = list(DIMENSIONS)
     made = ("tokens", "topic", "weight", "probability", "sampled")
     rows = packed(docs.drop(*made), key=F.col(id_col), measure=measured(F.col(text_col)), **{n: _category(n) for n in names[:2]})
-    rows = rows.select("row", "key", "source", "lang", "measure.topic", "measure.tokens")
+    rows = written(rows.select("row", "key", "source", "lang", "measure.topic", "measure.tokens"), "measured")
     cells = written(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
     raked = rake(cells, tempered(cells, powers), rounds)
     odds_of_one = F.least(F.lit(1.0), F.col("weight") * calibrate(raked, keep))
@@ -135,16 +158,22 @@ def mix(
     return drawn.withColumn("sampled", uniform(F.col("key"), seed) < F.col("probability")).select("row.*", *made)
 
 
-def mix_sql(powers: dict[str, float], keep: float = 0.5, rounds: int = 10, seed: int = 11, calibration: int = 12) -> str:
-    """DuckDB SQL of the same result over table ``documents``, for the columns of the registered query."""
+def mix_sql(powers: dict[str, float], keep: float = 0.5, rounds: int = 40, seed: int = 11, calibration: int = 12) -> str:
+    """DuckDB SQL of the same result over table ``documents``, for the columns of the registered query.
+
+    Rounds are unrolled; those after the one that ends the fit change nothing.
+    """
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     names = list(powers)
     steps, last = [], "w0"
     for r in range(rounds):
         for i, name in enumerate(names):
             now = f"w{r * len(names) + i + 1}"
+            fitted = f"(SELECT max(off) <= {TOLERANCE} FROM w{r * len(names)})" if r else "false"
+            factor = "coalesce(s.share * (SELECT sum(tokens) FROM cells)::DOUBLE / f.total, 1.0)"
             steps.append(
-                f"{now} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * coalesce(s.share * (SELECT sum(tokens) FROM cells)::DOUBLE / f.total, 1.0) AS weight"
+                f"{now} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, CASE WHEN {fitted} THEN c.weight ELSE c.weight * {factor} END AS weight,"
+                f" greatest({'0.0' if i == 0 else 'c.off'}, CASE WHEN f.total IS NULL THEN 0.0 ELSE abs(1 / {factor} - 1) END) AS off"
                 f" FROM {last} c LEFT JOIN (SELECT {name}, sum(tokens * weight) AS total FROM {last} GROUP BY 1 HAVING total > 0) f ON c.{name} = f.{name}"
                 f" LEFT JOIN share_{name} s ON c.{name} = s.{name})"
             )

@@ -145,7 +145,7 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text", base: str
     rejects are. Null texts count as empty ones and fail; repeated rows
     repeat; columns of the input with these names are replaced. No shuffle.
     """
-    counted = text_counts(docs.withColumn("_key", F.struct(*[c for c in docs.columns if c != text_col])), text_col, ["_key"])
+    counted = text_counts(docs.withColumn("_key", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])), text_col, ["_key"])
     judged = counted.withColumn("base_failed", F.expr(base)).withColumn("rule", first_rule(rules))
     judged = judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
     own = {c.lower() for c in judged.columns if c != "_key"}

@@ -49,7 +49,9 @@ def external_shuffle(docs: DataFrame, size: Column, seed: int = 7, bucket_bytes:
     eighth of a bucket are scattered by row number instead, being
     interchangeable. Memory is bounded by a bucket, or by the longest row.
     """
-    hashed = docs.withColumn("_row", F.xxhash64(F.lit(seed), *docs.columns))
+    # Maps have no hash; their text has one.
+    whole = [F.col(f"`{c}`") if "map<" not in kind else F.to_json(F.struct(F.col(f"`{c}`"))) for c, kind in docs.dtypes]
+    hashed = docs.withColumn("_row", F.xxhash64(F.lit(seed), *whole))
     rows, total = hashed.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     buckets = max(1, math.ceil(total / bucket_bytes))
     # At most 8 * buckets hashes can be that frequent, which bounds the broadcast.
@@ -57,7 +59,7 @@ def external_shuffle(docs: DataFrame, size: Column, seed: int = 7, bucket_bytes:
     salted = hashed.withColumn("_id", F.monotonically_increasing_id()).join(F.broadcast(heavy), "_row", "left")
     salt = F.when(F.col("_heavy"), F.col("_id")).otherwise(F.lit(0))
     scattered = salted.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_row", salt), F.lit(buckets)).cast("int"))
-    rows = scattered.select(*docs.columns, "_bucket", "_row")
+    rows = scattered.select(*[F.col(f"`{c}`") for c in docs.columns], "_bucket", "_row")
     schema = StructType([*rows.schema.fields[:-1], StructField("_place", LongType())])
     return written(rows.groupBy("_bucket").applyInArrow(_fisher_yates(seed), schema), "shuffled")
 

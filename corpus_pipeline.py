@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.functions.storage import shared_folder
+from auditframe.functions.storage import session_folder
 from auditframe.llm import decontaminate, gam, raking, sharding, simhash
 from auditframe.llm._table import fold, packed, read
 from auditframe.llm.queries import MIX
@@ -58,7 +58,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns lies in the shared folder before the next one reads it."""
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/auditframe/pipeline-{uuid.uuid4().hex}"
+    folder = f"{session_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")

@@ -119,6 +119,18 @@ def test_query_against_plain_search(spark):
         assert d.best_match(d.plain(want), d.plain(text), int(0.1 * len(want)))
 
 
+def test_items_of_ten_to_nineteen_characters_take_an_edit(spark, docs_of):
+    texts = ["so the amber rivals win", "so the amber rivels win", "so the amber rxvels win", "the ambr rivals", "nothing"]
+    assert leaks(spark, docs_of(texts), [(1, "the amber rivals"), (2, "amber rival")]) == [(0, 1, 0), (0, 2, 0), (1, 1, 1), (1, 2, 1), (3, 1, 1), (3, 2, 1)]
+
+
+def test_passes_are_written_one_by_one(spark, docs_of):
+    bench = spark.createDataFrame([(1, ITEM), (2, ITEM[::-1]), (3, "amber rival")], "item_id long, text string")
+    docs = docs_of([ITEM, "an amber rival", ITEM[::-1] + " amber rival"])
+    got = [sorted(map(tuple, d.find_leaks(docs, bench, pass_chars=n).collect())) for n in (10, 1_000_000)]
+    assert got[0] == got[1] and len(got[0]) == 4
+
+
 def test_short_items_match_word_for_word(spark, docs_of):
     texts = ["It was Forty\nTwo.", "forty twos", "forty two", "forty tw", "xforty two", "forty twos, forty two", None, ""]
     items = [(1, "forty two"), (2, " Forty two "), (3, "  "), (4, ""), (5, None), (6, "tw")]

@@ -129,6 +129,13 @@ def test_a_text_scores_alike_alone_and_in_any_batch(docs_of):
         assert abs(language.predict(docs_of([t]), model).first().score - together[i]) < 1e-12
 
 
+def test_letters_are_those_of_unicode_with_their_marks(docs_of):
+    assert language.letters("½²①") == "" and language.letters("हिन्दी!") == "हिन्दी" and language.letters("n\u0303o2") == "n\u0303o" and language.letters("\u0301") == ""
+    model = language.fit(["the river of the town", "der fluss in der stadt"] * 3, ["en", "de"] * 3)
+    rows = {r.doc_id: r.lang_pred for r in language.predict(docs_of(["½ ² ①", "\u0301 12", "the river"]), model).collect()}
+    assert rows[0] == rows[1] == "und" and rows[2] in ("en", "de")
+
+
 def test_all_letters_of_long_words_are_read(docs_of):
     """Unspaced texts whose middle differs from both ends, and one that switches within a run."""
     han, kana = "".join(map(chr, range(0x4E00, 0x4E40))), "".join(map(chr, range(0x3042, 0x3082)))

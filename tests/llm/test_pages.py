@@ -91,6 +91,8 @@ def test_odd_pages(spark):
     assert got[len(ODD)].text == got[len(ODD) + 1].text != ""
     assert got[-2].text.count("\n\n") >= 2990
     assert pages.extract(frame.limit(0), chain).count() == 0
+    dotted = pages.extract(frame.limit(2).withColumn("a.b", F.lit(1)), chain).collect()
+    assert [r["a.b"] for r in dotted] == [1, 1]
     assert isinstance(pages.learn(frame.limit(0)), crf.Chain)
 
 

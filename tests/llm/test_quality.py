@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from auditframe.llm import gam, rules, statistics
 from auditframe.llm.queries import QUERIES
 
+
+def test_columns_with_dots_in_their_names(docs_of):
+    docs = docs_of(["some words here", None]).withColumns({"a.b": F.lit(1), "_key": F.lit(2), "c d": F.lit(3)})
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    for got in (rules.judge(docs, []).collect(), gam.score(docs, gam.learn(docs, labels)).collect()):
+        assert [(r["a.b"], r["_key"], r["c d"]) for r in got] == [(1, 2, 3)] * 2
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from odd import ODD
 from pyspark.sql import functions as F
 
@@ -55,6 +56,20 @@ def test_calibration_expects_the_kept_share(spark):
         assert abs(sum(r.tokens * min(1, r.weight * factor) for r in raked) / total - keep) < 1e-6
 
 
+def test_fitting_goes_on_until_the_marginals_are_met(spark):
+    """Sources of nearly one language each converge slowly; a hundred rounds and more are made where they are needed."""
+    rows = [(f"s{i}", lang, "t", (10**6 if i == 0 else 1000) if (i % 2 == 0) == (lang == "en") else 3) for i in range(12) for lang in ("en", "de")]
+    frame = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = raking.tempered(frame, {"source": 0.2, "lang": 0.1, "topic": 1.0})
+    with pytest.warns(UserWarning, match="of its target"):
+        raking.rake(frame, targets, rounds=1)
+    got = raking.rake(frame, targets, tolerance=1e-3).collect()
+    total = sum(r.tokens for r in got)
+    for name, shares in targets.items():
+        for share in shares.collect():
+            assert abs(sum(r.tokens * r.weight for r in got if r[name] == share[name]) / total / share.share - 1) < 1e-2
+
+
 def test_topic_is_that_of_the_most_frequent_long_word():
     assert raking.topic("Banana banana cherry x")[0] == 4
     assert raking.topic("banana cherry cherry") == (3, raking.topic("cherry")[1])

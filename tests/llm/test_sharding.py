@@ -6,6 +6,12 @@ from pyspark.sql import functions as F
 from auditframe.llm import sharding
 
 
+def test_maps_and_dotted_names(docs_of):
+    docs = docs_of(["one", "two", None, ""]).withColumns({"m": F.create_map(F.lit("a"), "doc_id"), "nested": F.struct(F.create_map(F.lit(1), F.lit(2)).alias("x")), "a.b": F.lit(1)})
+    got = sharding.deal(docs, shards=2).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3] and all(r.m == {"a": r.doc_id} and r["a.b"] == 1 for r in got)
+
+
 def place(frame):
     return sorted((str(r.doc_id), str(r.text)[:40], r.shard, r.slot) for r in frame.select("doc_id", "text", "shard", "slot").collect())
 
