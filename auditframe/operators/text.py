@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditframe.functions import minhash_index
 from auditframe.functions import text as tx
 from auditframe.functions.columns import union_all
 from auditframe.functions.ranking import kth_free, number_rows
@@ -293,6 +294,18 @@ def cosine_indexed(artifacts: DataFrame, path: str, threshold: float = COSINE_TH
     return best_in_index(artifacts, path, threshold, "artifact_id").select("artifact_id", F.col("match").alias("item_id"), "score")
 
 
+def index_texts(corpus: DataFrame, path: str, field: str = "question", batch: str = "0") -> None:
+    """File a batch of corpus texts of both fields in a MinHash index; of equal scores the own ``field`` ranks first."""
+    other = "sql_text" if field == "question" else "question"
+    minhash_index.append_texts(_fields(corpus, field, other), path, batch, F.col("rank"), F.col("text"), tx.shingles)
+
+
+def ngram_indexed(artifacts: DataFrame, path: str, field: str = "question", threshold: float = NGRAM_THRESHOLD) -> DataFrame:
+    """As :func:`ngram_matches` from a stored index, which reads no text of the corpus: exact scores, of the matches that share a band."""
+    best = minhash_index.best_in_index(artifacts, path, threshold, "artifact_id", field, tx.shingles)
+    return best.select("artifact_id", "match.item_id", "match.field", "score")
+
+
 def leak_decisions(artifacts: DataFrame, corpus: DataFrame, strict: bool = True) -> DataFrame:
     """Block, warn or pass per artifact, with the reason.
 

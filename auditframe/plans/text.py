@@ -275,6 +275,16 @@ def ngram_jaccard_sql(i):
     return best.select("artifact_id", "item_id", F.round("score", 6).alias("score"))
 
 
+@FAMILY.add("tx_ngram_indexed")
+def ngram_indexed(i):
+    """The matches of tx_ngram_jaccard from an index that is written in two batches; tests measure its recall."""
+    path = f"{session_folder(i.spark)}/minhash-{uuid.uuid4().hex}"
+    late = F.col("item_id") % 4 == 3
+    t.index_texts(i.corpus.filter(~late), path)
+    t.index_texts(i.corpus.filter(late), path, batch="1")
+    return t.ngram_indexed(i.artifacts, path).withColumn("score", F.round("score", 6))
+
+
 def _vectors(i):
     """Corpus: every vector. Artifacts: every vector with a quarter of its components, chosen by label, set to 0."""
     corpus = i.embeddings.select(F.col("vec_id").alias("item_id"), "embedding")
