@@ -167,7 +167,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     All columns are kept. Groups whose ids are all null keep one row per text.
     """
     groups = near_groups(docs, id_col, text_col, shingle, most)
-    stay = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "text_hash").distinct()
+    stay = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "text_hash").agg(F.count("*").alias("rows"))
     keyed = packed(docs, own_id=F.col(id_col).cast("long"), own_hash=F.xxhash64(text_col))
     same = keyed["own_id"].eqNullSafe(stay["id"]) & (keyed["own_hash"] == stay["text_hash"])
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["own_id", "own_hash"]).select("row.*")
+    # Only rows that occur more than once have to meet each other; the others move for the join alone.
+    kept = keyed.join(stay, same).select("row", "own_id", "own_hash", "rows")
+    once, often = kept.filter("rows = 1"), kept.filter("rows > 1").dropDuplicates(["own_id", "own_hash"])
+    return once.unionByName(often).select("row.*")
