@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditframe.functions.patterns import occurrences
 from auditframe.operators.profile import STRUCTURAL_DATE, STRUCTURAL_NUMERIC
 from auditframe.operators.text import age_in_days, recency
 
@@ -153,6 +154,31 @@ def relevant_log(
     return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
+def relevant_log_of(
+    log: DataFrame, assets: DataFrame, as_of: dt.datetime, days: int = LOOKBACK_DAYS, target_space: str | None = None
+) -> DataFrame:
+    """The rows of ``relevant_log`` for any number of assets, a frame with ``asset``; null assets name nothing.
+
+    Names and statements meet as relations, each different statement once, so
+    the plan does not grow with the assets.
+    """
+    text = F.lower(F.replace(F.coalesce("statement_text", F.lit("")), F.lit("`"), F.lit("")))
+    mine = F.coalesce(F.col("space_id") == target_space, F.lit(False)) if target_space else F.lit(False)
+    rows = (
+        log.filter(F.col("start_time") >= F.lit(as_of - dt.timedelta(days=days)))
+        .filter("execution_status = 'FINISHED'")
+        .withColumn("in_scope", mine)
+    )
+    others = rows.filter(~F.col("in_scope")).withColumn("_text", text)
+    parts = F.split(F.lower("asset"), r"\.")
+    # Who names an asset in full names its last two parts.
+    qualified = F.when(F.size(parts) > 1, F.struct(F.concat_ws(".", F.slice(parts, -2, 2)).alias("pattern"), F.lit(False).alias("whole")))
+    leaf = F.struct(F.element_at(parts, -1).alias("pattern"), F.lit(True).alias("whole"))
+    names = assets.filter("asset IS NOT NULL").select(F.explode(F.array_compact(F.array(qualified, leaf))).alias("_n")).select("_n.*")
+    named = occurrences(others.select(F.col("_text").alias("text")), names).select(F.col("text").alias("_text")).distinct()
+    return rows.filter("in_scope").unionByName(others.join(named, "_text", "left_semi").drop("_text"))
+
+
 def adaptive_lookback(
     log: DataFrame, keys: list[str], shape: str, as_of: dt.datetime, days: int = LOOKBACK_DAYS,
     extended: int = EXTENDED_LOOKBACK_DAYS, min_shapes: int = MIN_SHAPES,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditframe.functions import minhash_index
 from auditframe.functions import text as tx
 from auditframe.functions.columns import union_all
+from auditframe.functions.patterns import occurrences
 from auditframe.functions.ranking import kth_free, number_rows
 from auditframe.functions.similarity import best_cosine, best_jaccard
 from auditframe.functions.storage import written
@@ -408,6 +409,39 @@ def keyword_search(tables: DataFrame, columns: DataFrame, keywords: list[str], l
     )
 
 
+def keyword_tables(tables: DataFrame, columns: DataFrame, keywords: DataFrame, limit: int | None = None) -> DataFrame:
+    """What ``keyword_search`` finds for each of many keywords, a frame with ``keyword``.
+
+    One row per keyword (in lower case) and table that it matches, with
+    ``place`` counting a keyword's tables from the newest; ``limit`` keeps the
+    first ones. ``total_columns`` counts all columns where the table itself
+    matches and the matching ones elsewhere. ``tables`` has a row per table.
+    Every different name and comment is searched once.
+    """
+    words = keywords.select(F.lower("keyword").alias("pattern"), F.lit(False).alias("whole"))
+    sides = [(tables, "table_name"), (tables, "table_comment"), (columns, "column_name"), (columns, "description")]
+    texts = [frame.select(F.lower(name).alias("text")) for frame, name in sides]
+    found = written(occurrences(union_all(texts), words).select("text", F.col("pattern").alias("keyword")), "keyword-hits")
+    hits = [
+        frame.withColumn("text", F.lower(name)).join(found, "text").select("keyword", "table_name", "column_name" if frame is columns else F.lit(None).cast("string").alias("column_name"))
+        for frame, name in sides
+    ]
+    totals = columns.groupBy("table_name").agg(F.countDistinct("column_name").alias("_columns"))
+    rows = (
+        union_all(hits)
+        .groupBy("keyword", "table_name")
+        .agg(F.array_sort(F.collect_set("column_name")).alias("matching_columns"), F.max(F.col("column_name").isNull()).alias("_own"))
+        .join(tables.select("table_name", "table_comment", "last_altered"), "table_name")
+        .join(totals, "table_name", "left")
+    )
+    newest = Window.partitionBy("keyword").orderBy(F.desc_nulls_last("last_altered"), "table_name")
+    rows = rows.withColumn("place", F.row_number().over(newest))
+    if limit is not None:
+        rows = rows.filter(F.col("place") <= limit)
+    total = F.when(F.col("_own"), F.coalesce("_columns", F.lit(0))).otherwise(F.size("matching_columns")).cast("long")
+    return rows.select("keyword", "place", "table_name", "table_comment", "last_altered", "matching_columns", total.alias("total_columns"))
+
+
 # What is not code in a statement, and what makes it unstable.
 NOT_CODE = r"""(?s)/\*.*?\*/|--[^\n]*|'(?:''|[^'])*+'|`(?:``|[^`])*+`|"(?:""|[^"])*+\""""
 RANDOM_CALL = r"(?i)\b(?:rand|random|randn|uuid|monotonically_increasing_id)\s*\("
@@ -518,6 +552,29 @@ def rule_findings(rows: DataFrame, rules: list[dict], key: str = "question_id")
     return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("_f")).select(key, "_f.*")
 
 
+def rule_findings_of(rows: DataFrame, rules: DataFrame, key: str = "question_id") -> DataFrame:
+    """``rule_findings`` for any number of rules, a frame with ``name``, ``column``, ``terms`` and ``issue``.
+
+    Statements and rule columns meet as relations; only a rule whose column a
+    statement names looks for its terms in the question. A rule without terms
+    is met by the column alone.
+    """
+    asked = rows.select(
+        key, F.lower(F.coalesce("question", F.lit(""))).alias("_question"), F.lower(F.coalesce("expected_sql", F.lit(""))).alias("_sql")
+    )
+    named = rules.withColumn("_column", F.lower("column"))
+    found = occurrences(
+        asked.select(F.col("_sql").alias("text")), named.select(F.col("_column").alias("pattern"), F.lit(False).alias("whole"))
+    ).select(F.col("text").alias("_sql"), F.col("pattern").alias("_column"))
+    meant = F.exists("terms", lambda t: F.contains(F.col("_question"), F.lower(t)))
+    return (
+        asked.join(found, "_sql")
+        .join(named, "_column")
+        .filter(~F.coalesce(meant, F.lit(False)))
+        .select(key, F.col("name").alias("rule"), F.replace("issue", F.lit("{column}"), "column").alias("issue"))
+    )
+
+
 # Shapes that make a line a statement, imperative openings of prose,
 # clause words and signs of structure.
 SQL_ANCHORS = [

@@ -73,6 +73,21 @@ def relevant_log(i):
     )
 
 
+@FAMILY.add(
+    "cs_relevant_assets",
+    oracle(
+        """WITH a AS (SELECT list('t' || s_suppkey) AS leaves FROM supplier)
+        SELECT statement_id, coalesce(space_id = 's1', false) AS in_scope FROM query_log, a
+           WHERE start_time >= TIMESTAMP '2024-01-06 00:00:00' AND execution_status = 'FINISHED'
+             AND (space_id = 's1' OR list_has_any(regexp_extract_all(lower(statement_text), '[a-z0-9_]+'), leaves))""",
+        "query_log",
+    ),
+)
+def relevant_assets(i):
+    assets = i.supplier.select(F.concat(F.lit("main.Sales.t"), F.col("s_suppkey").cast("string")).alias("asset"))
+    return r.relevant_log_of(i.query_log, assets, AS_OF, target_space="s1").select("statement_id", "in_scope")
+
+
 @FAMILY.add(
     "cs_adaptive_lookback",
     oracle(

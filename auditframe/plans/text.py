@@ -414,6 +414,41 @@ def keyword_search(i):
     return found.withColumn("matching_columns", F.array_join("matching_columns", ","))
 
 
+@FAMILY.add(
+    "tx_keyword_tables",
+    oracle(
+        """WITH tabs AS (SELECT table_name, max(row_count) || ' rows of ' || min(column_name) AS table_comment,
+                                CAST(max(cardinality) AS BIGINT) AS last_altered FROM named_columns GROUP BY 1),
+        k AS (SELECT DISTINCT lower(unnest(string_split(p_type, ' '))) AS keyword FROM part UNION SELECT lower(p_brand) FROM part
+              UNION SELECT DISTINCT 'tbl' || p_size FROM part),
+        j AS (SELECT k.keyword, t.*, c.column_name,
+                     coalesce(contains(lower(c.column_name), keyword), false) OR coalesce(contains(lower(c.description), keyword), false) AS col_hit,
+                     coalesce(contains(lower(t.table_name), keyword), false) OR coalesce(contains(lower(t.table_comment), keyword), false) AS tab_hit
+              FROM k, tabs t LEFT JOIN named_columns c USING (table_name)),
+        g AS (SELECT keyword, table_name, last_altered,
+                     coalesce(string_agg(DISTINCT column_name, ',' ORDER BY column_name) FILTER (WHERE col_hit), '') AS matching_columns,
+                     count(DISTINCT column_name) AS total_columns
+              FROM j WHERE col_hit OR tab_hit GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY last_altered DESC NULLS LAST, table_name) AS place
+        FROM g QUALIFY place <= 20""",
+        "named_columns",
+    ),
+    types={"place": "INTEGER"},
+)
+def keyword_tables(i):
+    tables = i.named_columns.groupBy("table_name").agg(
+        F.concat(F.max("row_count").cast("string"), F.lit(" rows of "), F.min("column_name")).alias("table_comment"),
+        F.max("cardinality").alias("last_altered"),
+    )
+    words = (
+        i.part.select(F.explode(F.split("p_type", " ")).alias("keyword"))
+        .union(i.part.select("p_brand"))
+        .union(i.part.select(F.concat(F.lit("TBL"), F.col("p_size").cast("string"))))
+    )
+    found = t.keyword_tables(tables, i.named_columns.select("table_name", "column_name", "description"), words, limit=20)
+    return found.drop("table_comment").withColumn("matching_columns", F.array_join("matching_columns", ","))
+
+
 @FAMILY.add(
     "tx_sql_stability",
     oracle(
@@ -469,6 +504,25 @@ def rule_findings(i):
     return t.rule_findings(i.qa_pairs, _RULES)
 
 
+@FAMILY.add(
+    "tx_rules_at_scale",
+    oracle(
+        """SELECT question_id, 'customer ' || c_custkey AS rule, 'question does not name ' || c_custkey || ': o_custkey = ' || c_custkey AS issue
+           FROM qa_pairs JOIN customer ON contains(lower(expected_sql), 'o_custkey = ' || c_custkey)
+           WHERE NOT contains(lower(question), 'customer ' || c_custkey)""",
+        "qa_pairs",
+    ),
+)
+def rules_at_scale(i):
+    number = F.col("c_custkey").cast("string")
+    rules = i.customer.select(
+        F.concat(F.lit("customer "), number).alias("name"), F.concat(F.lit("o_custkey = "), number).alias("column"),
+        F.array(F.concat(F.lit("Customer "), number)).alias("terms"),
+        F.concat(F.lit("question does not name "), number, F.lit(": {column}")).alias("issue"),
+    )
+    return t.rule_findings_of(i.qa_pairs, rules)
+
+
 @FAMILY.add(
     "tx_sql_in_prose",
     oracle(
