@@ -8,14 +8,27 @@ from pyspark.sql import functions as F
 from auditframe.functions.storage import written
 
 GRAM = 3
+PIECE = 4096
 # What may stand beside a whole word.
 EDGE = "[^a-z0-9_]"
 
 
-def _grams(c: str, width: Column | int) -> Column:
-    """The different substrings of a width; one empty string for width 0."""
-    starts = F.sequence(F.lit(1), F.char_length(c) - width + 1)
-    return F.when(F.char_length(c) >= width, F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(c), i, F.lit(width)))))
+def _grams(c: str, width: int) -> Column:
+    """The different substrings of a width, NULL for shorter strings; an empty string for width 0."""
+    if not width:
+        return F.array(F.lit(""))
+    # Whole arrays are zipped: a substring by position would count from the start of the text each time.
+    chars, n = F.split(c, ""), F.greatest(F.char_length(c) - (width - 1), F.lit(0))
+    out = F.slice(chars, 1, n)
+    for k in range(2, width + 1):
+        out = F.zip_with(out, F.slice(chars, k, n), lambda a, b: F.concat(a, b))
+    return F.when(F.char_length(c) >= width, F.array_distinct(out))
+
+
+def _pieces(c: str) -> Column:
+    """A text in overlapping pieces of one size, which hold all its substrings of up to GRAM characters."""
+    starts = F.sequence(F.lit(0), F.char_length(c), F.lit(PIECE))
+    return F.transform(starts, lambda i: F.substring(F.col(c), i + 1, F.lit(PIECE + GRAM - 1)))
 
 
 def _holds(whole: Column) -> Column:
@@ -37,7 +50,7 @@ def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     (fewer if it is shorter), the one that fewest texts hold, and every pair
     that meets is checked in full. So the plan does not grow with the patterns,
     nothing is compared with everything, and a pattern with a substring that
-    no text holds costs no more. Texts travel under a 64-bit hash; texts of one
+    no text holds costs no more. Long texts are read in pieces of one size. Texts travel under a 64-bit hash; texts of one
     hash are told apart by the check.
     """
     known = written(texts.select("text").filter("text IS NOT NULL").distinct().withColumn("id", F.xxhash64("text")), "pattern-texts")
@@ -49,8 +62,9 @@ def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     widths = [r.width for r in wanted.select("width").distinct().collect()]  # at most four values
     if not widths:
         return known.join(wanted, known.text == wanted.pattern).select("text", "pattern", "whole")
-    own = wanted.withColumn("gram", F.explode(_grams("pattern", F.col("width"))))
-    held = known.select("id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[_grams("text", w) for w in widths]))))).alias("gram"))
+    own = wanted.withColumn("gram", F.explode(F.coalesce(*[F.when(F.col("width") == w, _grams("pattern", w)) for w in widths])))
+    pieces = known.select("id", F.explode(_pieces("text")).alias("piece"))
+    held = pieces.select("id", F.explode(F.flatten(F.array_compact(F.array(*[_grams("piece", w) for w in widths])))).alias("gram"))
     # Only substrings of patterns move on; the others end at this semi-join.
     held = written(held.distinct().join(own.select("gram").distinct(), "gram", "left_semi"), "pattern-grams")
     often = held.groupBy("gram").agg(F.count("*").alias("n"))

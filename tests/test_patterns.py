@@ -49,7 +49,7 @@ def test_empty_sides(spark):
 
 
 def test_frequent_patterns_and_long_texts(spark):
-    texts = ["select x from t1 where k = " + str(i) for i in range(300)] + ["x " * 100_000 + "needle"]
+    texts = ["select x from t1 where k = " + str(i) for i in range(300)] + ["x " * 100_000 + "needle", "y" * 4094 + "select x", "y" * 4095 + "select x", "y" * 4096]
     patterns = [("t1", True), ("select x", False), ("needle", True), ("k = 29", False), ("absent", False)]
     assert found(spark, texts, patterns) == plain(texts, patterns)
 
