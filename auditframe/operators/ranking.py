@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import sys
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from auditframe.functions.patterns import occurrences
 from auditframe.operators.profile import STRUCTURAL_DATE, STRUCTURAL_NUMERIC
 from auditframe.operators.text import age_in_days, recency
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_FREQUENCY_FACTOR = 3.0
 IN_SCOPE_FACTOR = 2.0
 LOOKBACK_DAYS = 30
@@ -43,6 +48,7 @@ REASON_PRIORITY = {
 }
 HARD_REASONS = ["REPAIR_FAILURE", "BENCHMARK_SQL", "CONFIG_SQL", "JOIN_KEY"]
 DEFAULT_PRIORITY = 3
+UNKNOWN_PRIORITY = 99
 CATEGORY_ORDER = ["identifier", "date", "numeric", "categorical", "other"]
 # Words left out of column and corpus tokens, and words that name a concept.
 TOKEN_STOPWORDS = [
@@ -396,6 +402,86 @@ def activate(plan: DataFrame, requests: DataFrame, max_active: int = MAX_ACTIVE)
     )
 
 
+def _fold_requests(max_active: int):
+    """One table's requests in order over its columns; the state is a dictionary per column."""
+    priority = dict(REASON_PRIORITY)
+
+    def by_priority(codes) -> list[str]:
+        return sorted(codes, key=lambda c: (priority.get(c, UNKNOWN_PRIORITY), c))
+
+    def run(plan: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
+        rows = plan.to_dict("records")
+        for r in rows:
+            r["reason_codes"] = [] if r["reason_codes"] is None else list(r["reason_codes"])
+            r["priority"] = min((priority.get(c, UNKNOWN_PRIORITY) for c in r["reason_codes"]), default=None)
+            r |= {"eviction_reason": None, "activation_reason": None, "asked": 0, "refused": 0}
+        columns = {r["column_id"]: r for r in rows}
+        active = {c for c, r in columns.items() if r["active"]}
+        fixed = {c for c, r in columns.items() if r["protected"]}
+        for ask in requests.sort_values(["place", "column_id", "reason"], kind="stable").itertuples():
+            target = columns.get(ask.column_id)
+            if target is None:
+                continue
+            target["asked"] += 1
+            if not target["hidden"] and ask.column_id in active:
+                continue
+            loose = [c for c in active if c not in fixed and "JOIN_KEY" not in columns[c]["reason_codes"]]
+            if target["hidden"] or (len(active) >= max_active and not loose):
+                target["refused"] += 1
+                continue
+            if len(active) >= max_active:
+                out = max(loose, key=lambda c: (columns[c]["stable_rank"], c))
+                active.remove(out)
+                columns[out]["eviction_reason"] = f"promoted:{ask.column_id}"
+            active.add(ask.column_id)
+            target["reason_codes"] = by_priority({*target["reason_codes"], ask.reason})
+            target["priority"] = min(priority.get(c, UNKNOWN_PRIORITY) for c in target["reason_codes"])
+            target["activation_reason"] = ask.reason.lower()
+        for r in rows:
+            r["active"] = r["column_id"] in active
+        return pd.DataFrame(rows, columns=_FOLDED).astype({"priority": "Int32"})
+
+    return run
+
+
+_FOLDED = [
+    "table_name", "column_id", "stable_rank", "active", "eviction_reason", "activation_reason", "reason_codes", "priority", "asked", "refused",
+]
+
+
+def activate_in_order(plan: DataFrame, requests: DataFrame, max_active: int = MAX_ACTIVE) -> DataFrame:
+    """Activate the requested columns of every table one after another, each on what the ones before left.
+
+    ``plan`` has a row per column: (table_name, column_id, stable_rank, active,
+    protected, hidden, reason_codes); ``requests`` (table_name, column_id,
+    reason, place), taken by place, ties by column and reason. A request for an
+    active column changes nothing. On a full table the active column with the
+    last ``stable_rank`` (ties: last id; no rank: after all) goes that is neither
+    protected nor a join key; if there is none, or the column is hidden, the
+    request is refused. An activated column takes the reason into its
+    ``reason_codes``, which then stand by priority, and the ``priority`` of the
+    foremost. ``asked`` and ``refused`` count its requests.
+
+    Null places come last. Null columns, and columns without a plan row, ask for
+    nothing; a null reason is ``EXPLORATION``. The requests of one table are one
+    sequence and are folded in one task, with its columns as the state; tables
+    are spread. Columns are unique in a table.
+    """
+    named = plan.filter("table_name IS NOT NULL").select(
+        "table_name", "column_id", F.coalesce("stable_rank", F.lit(999_999)).cast("int").alias("stable_rank"),
+        *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("active", "protected", "hidden")], "reason_codes",
+    )
+    asked = requests.filter("column_id IS NOT NULL").select(
+        "table_name", "column_id", F.coalesce("reason", F.lit("EXPLORATION")).alias("reason"), F.col("place").cast("long").alias("place")
+    )
+    known = asked.join(named.select("table_name", "column_id").distinct(), ["table_name", "column_id"], "left_semi")
+    schema = (
+        "table_name string, column_id string, stable_rank int, active boolean, eviction_reason string, activation_reason string, "
+        "reason_codes array<string>, priority int, asked long, refused long"
+    )
+    return named.groupBy("table_name").cogroup(known.groupBy("table_name")).applyInPandas(_fold_requests(max_active), schema)
+
+
 # ---- value dictionaries ------------------------------------------------------------
 
 

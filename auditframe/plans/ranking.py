@@ -271,6 +271,19 @@ def evict(i):
     return r.activate(plan, wanted.withColumn("reason", F.lit("EXPLORATION")), max_active=_CORE)
 
 
+@FAMILY.add("cs_activate_in_order")
+def activate_in_order(i):
+    rows = _classed(i)
+    plan = rows.select(
+        "table_name", "column_id", "stable_rank", F.col("selected").alias("active"), "hidden",
+        F.col("reasons").alias("reason_codes"), (F.col("stable_rank") == 1).alias("protected"),
+    )
+    asked = rows.filter("NOT selected").select(
+        "table_name", "column_id", F.when(F.col("stable_rank") % 2 == 0, "REPAIR_FAILURE").alias("reason"), F.col("stable_rank").alias("place")
+    )
+    return r.activate_in_order(plan, asked, max_active=_CORE).withColumn("reason_codes", F.array_join("reason_codes", ","))
+
+
 _SCORE = """
   f AS (SELECT *, lower(coalesce(description, '')) AS d FROM named_columns),
   s AS (SELECT table_name, column_name, data_type, enabled,
