@@ -471,8 +471,9 @@ def activate_in_order(plan: DataFrame, requests: DataFrame, max_active: int = MA
         "table_name", "column_id", F.coalesce("stable_rank", F.lit(999_999)).cast("int").alias("stable_rank"),
         *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("active", "protected", "hidden")], "reason_codes",
     )
+    # New names inside, since requests may have been derived from the plan itself.
     asked = requests.filter("column_id IS NOT NULL").select(
-        "table_name", "column_id", F.coalesce("reason", F.lit("EXPLORATION")).alias("reason"), F.col("place").cast("long").alias("place")
+        F.col("table_name").alias("table_name"), F.col("column_id").alias("column_id"), F.coalesce("reason", F.lit("EXPLORATION")).alias("reason"), F.col("place").cast("long").alias("place")
     )
     known = asked.join(named.select("table_name", "column_id").distinct(), ["table_name", "column_id"], "left_semi")
     schema = (

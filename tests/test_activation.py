@@ -52,3 +52,10 @@ def test_empty_sides(spark):
     got = ranking.activate_in_order(spark.createDataFrame([row], PLAN), spark.createDataFrame([], ASKED)).collect()
     assert [tuple(r) for r in got] == [("t", "a", 1, True, None, None, ["JOIN_KEY"], 2, 0, 0)]
     assert ranking.activate_in_order(spark.createDataFrame([], PLAN), spark.createDataFrame([("t", "a", "x", 1)], ASKED)).count() == 0
+
+
+def test_requests_taken_from_the_plan(spark):
+    plan = spark.createDataFrame([("t", "a", 1, True, False, False, None), ("t", "b", 2, False, False, False, None), ("t", "c", 3, False, False, False, None)], PLAN)
+    asked = plan.filter("NOT active").selectExpr("table_name", "column_id", "CAST(NULL AS STRING) AS reason", "stable_rank AS place")
+    got = {r.column_id: (r.active, r.eviction_reason) for r in ranking.activate_in_order(plan, asked, 1).collect()}
+    assert got == {"a": (False, "promoted:b"), "b": (False, "promoted:c"), "c": (True, None)}
