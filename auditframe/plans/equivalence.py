@@ -1,8 +1,12 @@
 """Result-set equivalence queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auditframe.functions.columns import union_all
+from auditframe.functions.storage import session_folder
+from auditframe.operators import digest
 from auditframe.operators import equivalence as eq
 from auditframe.plans import Family
 from auditframe.sources import oracle
@@ -34,6 +38,45 @@ def setdiff_counts(i):
     return eq.setdiff_counts(_a(i), _b(i))
 
 
+_KEPT = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
+_EDITED = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 500 = 7 THEN 'X' ELSE o_orderstatus END, o_totalprice FROM orders"""
+
+
+def _kept(i):
+    return i.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+def _stored(*batches):
+    """The folder of a new stored table with these batches."""
+    spark = batches[0].sparkSession
+    folder = f"{session_folder(spark)}/digests-{uuid.uuid4().hex}"
+    for k, batch in enumerate(batches):
+        digest.put(batch, folder, str(k), ["o_orderkey"], ranges=64)
+    return folder
+
+
+@FAMILY.add(
+    "eq_stored_setdiff",
+    f"""SELECT (SELECT count(*) FROM ({_KEPT} EXCEPT ALL {_EDITED})) AS a_minus_b,
+               (SELECT count(*) FROM ({_EDITED} EXCEPT ALL {_KEPT})) AS b_minus_a""",
+)
+def stored_setdiff(i):
+    a = _kept(i)
+    b = a.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 500 == 7, "X").otherwise(F.col("o_orderstatus")))
+    return digest.stored_setdiff_counts(a.sparkSession, _stored(a), _stored(b))
+
+
+@FAMILY.add(
+    "eq_stored_equal",
+    f"""SELECT NOT EXISTS ({_KEPT} EXCEPT ALL ({_KEPT} WHERE o_custkey % 3 = 0 UNION ALL {_KEPT} WHERE o_custkey % 3 <> 0))
+           AND NOT EXISTS (({_KEPT} WHERE o_custkey % 3 = 0 UNION ALL {_KEPT} WHERE o_custkey % 3 <> 0) EXCEPT ALL {_KEPT}) AS equivalent""",
+)
+def stored_equal(i):
+    a = _kept(i)
+    third = F.col("o_custkey") % 3 == 0
+    return digest.stored_equal(a.sparkSession, _stored(a), _stored(a.filter(third), a.filter(~third)))
+
+
 @FAMILY.add(
     "eq_diff_rows",
     f"""SELECT 'a' AS side, count(*) AS copies, o_orderpriority, o_orderstatus,
