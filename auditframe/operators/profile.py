@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions import sketches
@@ -150,6 +150,31 @@ def hash_sample(df: DataFrame, key: str, share: float) -> DataFrame:
     return df.filter(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8) < bound)
 
 
+def exact_sample(df: DataFrame, keys: list[str], n: int, by: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """``n`` rows of each stratum ``by`` (of the whole table without it), or all where there are fewer.
+
+    The rows with the smallest seeded hashes of ``keys`` are taken, equal
+    hashes in the order of the rows as JSON, so the sample is the same whatever
+    the partitioning. Hashes are counted in 65,536 cells first. Rows in cells
+    below the one that completes the sample pass without being sorted; only
+    that cell is ranked. NULL is a stratum of its own.
+    """
+    draw = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[quoted(k).cast("string") for k in keys]).cast("binary"))
+    rows = df.select(
+        F.struct(*[quoted(c) for c in df.columns]).alias("row"),
+        F.struct(F.lit(0).alias("all"), *[quoted(c).alias(f"b{k}") for k, c in enumerate(by or [])]).alias("stratum"),
+        draw.alias("draw"),
+    ).withColumn("cell", F.conv(F.substring("draw", 1, 4), 16, 10).cast("int"))
+    cells = rows.groupBy("stratum", "cell").agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("stratum").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    opened = cells.withColumn("before", F.coalesce(below, F.lit(0))).filter(F.col("before") < n)
+    last = opened.groupBy(F.col("stratum").alias("s")).agg(F.max("cell").alias("last"), (n - F.max("before")).alias("left"))
+    met = rows.join(last, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("cell") <= F.col("last")))
+    order = Window.partitionBy("stratum").orderBy("draw", F.to_json("row"))
+    ranked = met.filter("cell = last").withColumn("rank", F.row_number().over(order)).filter("rank <= left")
+    return met.filter("cell < last").select("row.*").union(ranked.select("row.*"))
+
+
 def _base_type(column: str) -> Column:
     return F.trim(F.substring_index(F.col(column), "(", 1))
 

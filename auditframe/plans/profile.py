@@ -156,6 +156,15 @@ def hash_sample(i):
     return p.hash_sample(i.orders, "o_orderkey", 0.1).select("o_orderkey", "o_totalprice")
 
 
+@FAMILY.add(
+    "dp_exact_sample",
+    """SELECT o_orderkey, o_orderstatus FROM orders
+       QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('0' || chr(31) || CAST(o_orderkey AS VARCHAR))) <= 200""",
+)
+def exact_sample(i):
+    return p.exact_sample(i.orders, ["o_orderkey"], 200, ["o_orderstatus"]).select("o_orderkey", "o_orderstatus")
+
+
 @FAMILY.add(
     "dp_column_kind",
     oracle(
