@@ -100,20 +100,16 @@ def fingerprints_column(document: Column) -> Column:
     return F.pandas_udf(both, "config_fp STRING, benchmark_fp STRING")(configuration(document))
 
 
-def drift_column(stored: Column, live: Column) -> Column:
-    """struct(config, benchmarks): does one document differ from the other in that part? NULL when a side cannot be read.
+def leaves_column(document: Column) -> Column:
+    """struct(config, benchmarks): digests of both parts that are equal exactly where the leaves are; NULL for what cannot be read."""
 
-    Equal texts travel once and are only tested for being readable.
-    """
+    def digest(leaves: dict[str, str] | None) -> bytes | None:
+        if leaves is None:
+            return None
+        # Lone surrogates keep a form of their own, so that different leaves never share a text.
+        return hashlib.sha256(json.dumps(leaves, sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")).digest()
+
+    def both(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([[digest(x) for x in parts(t)] for t in texts], columns=["config", "benchmarks"], dtype="object")
 
-    def compare(texts: pd.Series, others: pd.Series, same: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, other, equal in zip(texts, others, same, strict=True):
-            left = parts(text)
-            right = left if equal else parts(other)
-            rows.append([None if a is None or b is None else a != b for a, b in zip(left, right, strict=True)])
-        return pd.DataFrame(rows, columns=["config", "benchmarks"], dtype="object")
-
-    a, b = configuration(stored), configuration(live)
-    same = a.eqNullSafe(b)
-    return F.pandas_udf(compare, "config BOOLEAN, benchmarks BOOLEAN")(a, F.when(~same, b), same)
+    return F.pandas_udf(both, "config BINARY, benchmarks BINARY")(configuration(document))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditframe.functions.config import drift_column, fingerprints_column
+from auditframe.functions.config import leaves_column, fingerprints_column
 from auditframe.operators.io import latest_wins
 from auditframe.operators.quality import NOISE_NAME
 from auditframe.operators.text import looks_like_sql
@@ -477,12 +477,11 @@ def config_drift(stored: DataFrame, live: DataFrame, key: str = "doc_id", docume
     """Per document: does the live configuration or its benchmark block differ from the stored one?
 
     NULL when a side is missing or cannot be read: unreadable is not drift.
+    Documents become digests of their leaves where they are; only those meet.
     """
-    a = stored.select(key, F.col(document).alias("_a"))
-    b = live.select(key, F.col(document).alias("_b"))
-    return a.join(b, key, "full").withColumn("_drift", drift_column(F.col("_a"), F.col("_b"))).select(
-        key, F.col("_drift.config").alias("config_drifted"), F.col("_drift.benchmarks").alias("benchmarks_drifted")
-    )
+    a, b = (df.select(key, leaves_column(F.col(document)).alias(n)) for df, n in ((stored, "_a"), (live, "_b")))
+    differs = lambda part: (F.col(f"_a.{part}") != F.col(f"_b.{part}")).alias(f"{part}_drifted")
+    return a.join(b, key, "full").select(key, differs("config"), differs("benchmarks"))
 
 
 def asset_fingerprint(assets: DataFrame, key: str, name: str = "asset") -> DataFrame:

@@ -260,11 +260,20 @@ _RULES = ["", "Short", "Always report revenue in dollars and ignore cancelled or
 
 def _tables(rows, live: bool):
     """doc_id -> array of table structs; the live form lists them backwards with other key orders."""
-    part = F.col("l_partkey").cast("string")
-    traits = [F.col(x).cast("string") for x in ("l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")]
+    # Lines are gathered as they are and become tables afterwards: the shuffle and its sort hold no texts.
+    raw = ["l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
+    gathered = rows.groupBy("doc_id", "o_custkey", "o_orderstatus", "o_orderpriority").agg(F.collect_list(F.struct(*raw)).alias("_l"))
+    items = F.sort_array(F.transform("_l", lambda line: _table_item(line, live)), asc=not live)
+    return gathered.withColumn("_l", items).withColumn("tables", F.col("_l.t"))
+
+
+def _table_item(line, live: bool):
+    """struct(l_linenumber, l_partkey, t): a line with its table struct."""
+    part = line["l_partkey"].cast("string")
+    traits = [line[x].cast("string") for x in ("l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")]
     name = F.concat_ws("_", F.lit("tbl"), part, *traits)
-    told = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("Sales of part "), part, F.lit(" by day"))).when(
-        F.col("l_returnflag") == "A", F.lit("table")
+    told = F.when(line["l_returnflag"] == "N", F.concat(F.lit("Sales of part "), part, F.lit(" by day"))).when(
+        line["l_returnflag"] == "A", F.lit("table")
     )
 
     def column(n, text=None, **flags):
@@ -273,17 +282,14 @@ def _tables(rows, live: bool):
             fields.append(F.coalesce(flags.get(flag, F.lit(False)), F.lit(False)).alias(flag))
         return F.struct(*(reversed(fields) if live else fields))
 
-    total = F.when(F.col("l_linestatus") == "O", F.lit("Total value of the order")).otherwise(F.lit("number"))
+    total = F.when(line["l_linestatus"] == "O", F.lit("Total value of the order")).otherwise(F.lit("number"))
     columns = F.array(
-        column("order_total", total), column("etl_batch"), column("load_key", exclude=F.col("l_discount") >= 0.05),
-        column("region", "Sales region name", enable_entity_matching=F.col("l_quantity") > 48), column("Status"),
+        column("order_total", total), column("etl_batch"), column("load_key", exclude=line["l_discount"] >= 0.05),
+        column("region", "Sales region name", enable_entity_matching=line["l_quantity"] > 48), column("Status"),
     ).alias("columns")
-    configs = F.array(column("status", F.when(F.col("l_linenumber") == 1, F.lit("Status of the shipped line")))).alias("column_configs")
+    configs = F.array(column("status", F.when(line["l_linenumber"] == 1, F.lit("Status of the shipped line")))).alias("column_configs")
     fields = [name.alias("id"), name.alias("name"), told.alias("description"), columns, configs]
-    item = F.struct("l_linenumber", "l_partkey", F.struct(*(reversed(fields) if live else fields)).alias("t"))
-    return rows.groupBy("doc_id", "o_custkey", "o_orderstatus", "o_orderpriority").agg(
-        F.sort_array(F.collect_list(item), asc=not live).alias("_l")
-    ).withColumn("tables", F.col("_l.t"))
+    return F.struct(line["l_linenumber"].alias("l_linenumber"), line["l_partkey"].alias("l_partkey"), F.struct(*(reversed(fields) if live else fields)).alias("t"))
 
 
 def _documents(i, live: bool = False):
