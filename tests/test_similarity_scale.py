@@ -1,7 +1,10 @@
 """Similarity joins: what they move, and blocks of sets against plain loops."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +79,18 @@ def test_blocks_without_a_corpus(spark):
     nothing = spark.createDataFrame([], "cid INT, text STRING")
     some = spark.createDataFrame([(1, "some text")], "aid INT, text STRING")
     assert similarity.best_jaccard_blocks(some, nothing, 0.6, "aid", "cid", fx.shingles).collect() == []
+
+
+def test_vectors_meet_pivots_in_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(3)
+    pivots = similarity._unit(pd.Series(list(rng.normal(size=(2048, 8)))))
+    vectors = pd.Series(list(rng.normal(size=(10000, 8))))
+    monkeypatch.setattr(similarity.F, "pandas_udf", lambda f, kind: lambda c: f)
+    for step in (similarity._nearest_column(None, pivots), similarity._cells_column(None, pivots, {k: 0.1 for k in range(2048)}, 0.01)):
+        tracemalloc.start()
+        found = step(vectors)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == 10000 and peak < 60e6
+    empty = pd.Series([], dtype=object)
+    assert len(similarity._nearest_column(None, pivots)(empty)) == len(similarity._cells_column(None, pivots, {0: 0.1}, 0.1)(empty)) == 0
