@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 from pyspark.sql import functions as F
+from test_similarity_scale import SPLIT, moved
 
 from auditframe.functions import minhash_index as mh
 from auditframe.operators import text as t
@@ -54,3 +55,32 @@ def test_crowded_bands_and_batches(spark, tmp_path, monkeypatch):
     want = {r.artifact_id: r.score for r in t.ngram_matches(left, frame(texts, "item_id")).collect()}
     found = {r.artifact_id: r.score for r in t.ngram_indexed(left, str(tmp_path)).collect()}
     assert len(want) >= 20 and all(found.get(k) == v for k, v in want.items() if v == 1) and set(found) <= set(want)
+
+
+def test_pairs_do_not_move(spark, tmp_path, monkeypatch):
+    # Nearly all pairs share a band and none of them is alone; some bands are crowded.
+    monkeypatch.setattr(mh, "CROWDED", 20)
+    rng = random.Random(6)
+    pool = [f"w{k}" for k in range(150)]
+    texts = [" ".join(rng.sample(pool, rng.randint(105, 125))) for _ in range(400)] + [None, "", "w1 w2"]
+    left, right = (spark.createDataFrame(list(enumerate(x)), "id INT, text STRING") for x in (texts[:202] + texts[400:], texts[200:]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mh.append_texts(right, str(tmp_path), "0", F.col("id"), F.col("text"), SPLIT)
+        df = mh.best_in_index(left, str(tmp_path), 0.6, "id", "text", SPLIT)
+        got = {r.id: (r.match, round(r.score, 9)) for r in df.collect()}
+        # It was 43 MB when each pair fetched both sets.
+        assert moved(df) < 10e6
+        rows, sets = mh._sets(left, F.col("id"), F.col("text"), SPLIT)
+        index = mh.read_index(spark, str(tmp_path))
+        pairs = mh.candidates(sets, index, 0.6).collect()
+        own, other = ({r.key: (r.id, set(r.codes)) for r in x.collect()} for x in (sets, index))
+        ids = [tuple(r) for r in rows.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    best = {}
+    for p in pairs:
+        a, (match, b) = own[p.l][1], other[p.r]
+        best[p.l] = min(best.get(p.l, (0, 0)), (-len(a & b) / len(a | b), match))
+    want = {i: (best[k][1], round(-best[k][0], 9)) for i, k in ids if k in best and best[k][0] <= -0.6}
+    assert len(pairs) > 10000 and len(want) > 190 and got == want
