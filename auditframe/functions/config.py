@@ -1,4 +1,4 @@
-"""Fingerprints of configuration documents, as digests of their leaves."""
+"""Fingerprints of configuration documents, as digests of their leaves, and counts over their tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ import re
 import sys
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +25,10 @@ WRAPPERS = ["serialized_space", "_parsed_space"]
 TEXT_LIST_KEYS = ["content", "sql"]
 DEFAULT_VERSION = 2
 EDGE_QUOTE = re.compile(r"(?<![A-Za-z0-9])'|'(?![A-Za-z0-9])")
+# What `.` and `$` are in a pattern of the JVM, whose line ends are more than \n.
+NO_LINE_END = r"[^\n\r\u0085\u2028\u2029]"
+LAST = r"(?:(?<!\r)(?=\n\Z)|(?=(?:\r\n|[\r\u0085\u2028\u2029])?\Z))"
+TABLE_COUNTS = ["told_tables", "n_cols", "told_cols", "noisy", "widest", "matched", "assisted"]
 
 
 def configuration(document: Column) -> Column:
@@ -113,3 +120,80 @@ def leaves_column(document: Column) -> Column:
         return pd.DataFrame([[digest(x) for x in parts(t)] for t in texts], columns=["config", "benchmarks"], dtype="object")
 
     return F.pandas_udf(both, "config BINARY, benchmarks BINARY")(configuration(document))
+
+
+def _each(values: pa.Array, make) -> tuple[np.ndarray, list]:
+    """The number of each row's value, and ``make`` of each distinct value."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), [make(x) for x in coded.dictionary.to_pylist()]
+
+
+def table_counts(tables: pa.Array, views: pa.Array, vague: set[str], noise: re.Pattern) -> pa.StructArray:
+    """TABLE_COUNTS of each document of a batch, from its lists of tables and views.
+
+    The shown columns of a table are one per name: the first entry with a
+    description, else the first. All entries of a batch are counted at once.
+    """
+    n = len(tables)
+
+    def told(text: str) -> bool:
+        t = text.strip(" ")
+        return len(t) >= 8 and len(re.findall("[A-Za-z0-9]+", t)) >= 2 and re.sub(r"[ \t\n\x0b\f\r]+", " ", t).lower() not in vague
+
+    def texts(of: pa.Array) -> pa.Array:
+        first = pc.struct_field(of, "description")
+        return pc.coalesce(pc.if_else(pc.equal(first, ""), None, first), pc.struct_field(of, "comment"), "")
+
+    def entries(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Tables, the document of each, entries of columns (those of ``columns`` before those of ``column_configs``), the table of each."""
+        flat, parts = pc.list_flatten(lists), [pc.struct_field(pc.list_flatten(lists), f) for f in ("columns", "column_configs")]
+        owner = np.concatenate([pc.list_parent_indices(p).to_numpy(zero_copy_only=False) for p in parts])
+        return flat, pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pa.concat_arrays([pc.list_flatten(p) for p in parts]), owner
+
+    def true(of: pa.Array, flag: str, missing: bool = False) -> np.ndarray:
+        return pc.fill_null(pc.struct_field(of, flag), missing).to_numpy(zero_copy_only=False)
+
+    per = lambda docs: np.bincount(docs, minlength=n)
+    flat, doc, columns, owner = entries(tables)
+    _, view_doc, view_columns, view_owner = entries(views)
+    matched, assisted = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for of, docs in ((columns, doc[owner]), (view_columns, view_doc[view_owner])):
+        matched += per(docs[true(of, "enable_entity_matching")])
+        assisted += per(docs[true(of, "enable_format_assistance") | true(of, "format_assistance_enabled")])
+
+    codes, good = _each(texts(flat), told)
+    told_tables = per(doc[np.array(good, bool)[codes]])
+    shown = ~true(columns, "exclude") & true(columns, "visible", True)
+    columns, owner = columns.filter(pa.array(shown)), owner[shown]
+    names, both = _each(
+        pc.utf8_trim(pc.coalesce(pc.struct_field(columns, "column_name"), pc.struct_field(columns, "name"), ""), " "),
+        lambda x: (x.lower(), noise.search(x) is not None),
+    )
+    number: dict[str, int] = {}
+    keys = np.array([number.setdefault(k, len(number)) for k, _ in both], np.int64)[names]
+    nameless = keys == number.get("", -1)
+    keys[nameless] = len(number) + np.flatnonzero(nameless)
+    written, good = _each(texts(columns), lambda x: (x == "", told(x)))
+    blank, good = np.array(good, bool).reshape(-1, 2)[written].T
+    # In order of table and name, entries with a text first, then as given: the first entry of each name stays.
+    groups = owner * (len(number) + len(keys) + 1) + keys
+    order = np.argsort(groups * 2 + blank, kind="stable")
+    groups = groups[order]
+    stay = order[np.r_[True, groups[1:] != groups[:-1]][: len(order)]]
+    widths = np.bincount(owner[stay], minlength=len(flat))
+    widest = np.zeros(n, np.int64)
+    np.maximum.at(widest, doc, widths)
+    docs, noisy = doc[owner[stay]], np.array([x for _, x in both], bool)[names]
+    counts = [told_tables, per(docs), per(docs[good[stay]]), per(docs[noisy[stay]]), widest, matched, assisted]
+    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in counts], TABLE_COUNTS)
+
+
+def table_counts_column(tables: Column, views: Column, vague: list[str], noise: str) -> Column:
+    """struct of TABLE_COUNTS, a batch of documents at a time; ``noise`` is a pattern of the JVM for names."""
+    pattern = re.compile(re.sub(r"(?<!\\)\.", lambda _: NO_LINE_END, re.sub(r"(?<!\\)\$", lambda _: LAST, noise)), re.ASCII)
+    words = set(vague)
+
+    def counted(tables: pa.Array, views: pa.Array) -> pa.Array:
+        return table_counts(tables, views, words, pattern)
+
+    return F.arrow_udf(counted, ", ".join(f"{n} INT" for n in TABLE_COUNTS))(tables, views)

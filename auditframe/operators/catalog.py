@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditframe.functions.config import leaves_column, fingerprints_column
+from auditframe.functions.config import leaves_column, fingerprints_column, table_counts_column
 from auditframe.operators.io import latest_wins
 from auditframe.operators.quality import NOISE_NAME
 from auditframe.operators.text import looks_like_sql
@@ -338,32 +338,24 @@ def _count(c: str) -> Column:
     return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
 
 
-def _visible(table: Column) -> Column:
-    """The shown columns of a table, one per name: the first entry with a description, else the first."""
-    both = F.concat(
-        F.coalesce(table["columns"], F.array().cast(f"ARRAY<{_COLUMN}>")),
-        F.coalesce(table["column_configs"], F.array().cast(f"ARRAY<{_COLUMN}>")),
-    )
-    shown = F.filter(both, lambda c: ~F.coalesce(c["exclude"], F.lit(False)) & F.coalesce(c["visible"], F.lit(True)))
-    entry = F.transform(
-        shown,
-        lambda c: F.struct(
-            F.trim(F.coalesce(c["column_name"], c["name"], F.lit(""))).alias("name"),
-            F.coalesce(F.nullif(c["description"], F.lit("")), c["comment"]).alias("text"),
-        ),
-    )
-    # In order of name, entries with a text first, then as given: the first entry of each name stays.
-    ranked = F.array_sort(
-        F.transform(
-            entry,
-            lambda c, i: F.struct(
-                F.when(c["name"] == "", F.concat(F.lit(" "), i.cast("string"))).otherwise(F.lower(c["name"])).alias("key"),
-                (F.coalesce(c["text"], F.lit("")) == "").alias("blank"), i.alias("place"), c["name"].alias("name"), c["text"].alias("text"),
-            ),
-        )
-    )
-    firsts = F.transform(F.array(ranked), lambda all_: F.filter(all_, lambda c, i: (i == 0) | (c["key"] != F.get(all_, i - 1)["key"])))
-    return F.transform(F.get(firsts, 0), lambda c: F.struct(c["name"].alias("name"), c["text"].alias("text")))
+def _plain_texts(tables: Column) -> Column:
+    """Tables whose described texts are no longer JSON lists of fragments; such lists are rare, and other tables stay as they are.
+
+    A joined text ends in a blank, so that it is none of the empty ones.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    listed = lambda c: flag(c["description"].startswith("[")) | flag(c["comment"].startswith("["))
+    found = F.exists(tables, lambda t: listed(t) | flag(F.exists(t["columns"], listed)) | flag(F.exists(t["column_configs"], listed)))
+
+    def plain(c):
+        text = F.coalesce(F.nullif(c["description"], F.lit("")), c["comment"])
+        return c.withField("description", F.when(text.startswith("["), F.concat(_joined(text, " "), F.lit(" "))).otherwise(text))
+
+    def table(t):
+        parts = {p: F.transform(t[p], plain) for p in ("columns", "column_configs")}
+        return plain(t).withField("columns", parts["columns"]).withField("column_configs", parts["column_configs"])
+
+    return F.when(found, F.transform(tables, table)).otherwise(tables)
 
 
 def scorecard(documents: DataFrame, document: str = "document", key: str = "doc_id", accuracy: str = "accuracy") -> DataFrame:
@@ -371,50 +363,33 @@ def scorecard(documents: DataFrame, document: str = "document", key: str = "doc_
 
     ``accuracy`` is the score (0 to 1) of the agent's last optimisation run,
     NULL when there was none. The document is parsed once with a fixed schema;
-    every check is a column expression over its arrays.
+    tables and columns are counted in Arrow batches, and every check is a
+    column expression over counts.
     """
-    flag = lambda c: F.coalesce(c, F.lit(False))
     some = lambda c, kind: F.coalesce(c, F.array().cast(f"ARRAY<{kind}>"))
-    entries = lambda t: F.concat(some(t["columns"], _COLUMN), some(t["column_configs"], _COLUMN))
     d = _with(documents.select(key, F.col(accuracy).alias("_acc"), document), d=F.from_json(document, CONFIG_SCHEMA))
-    d = _with(d, tables=some(F.col("d.data_sources.tables"), _TABLE), views=some(F.col("d.data_sources.metric_views"), _TABLE))
-    d = _with(
-        d,
-        shown=F.transform("tables", _visible),
-        all_columns=F.flatten(F.transform(F.concat("tables", "views"), entries)),
-        table_texts=F.transform("tables", lambda t: _text(F.coalesce(F.nullif(t["description"], F.lit("")), t["comment"]))),
-        about=_text(F.col("d.description")),
-        body=F.aggregate(
+    guides = some(F.col("d.instructions.example_question_sqls"), "STRUCT<usage_guidance: STRING>")
+    d = d.select(
+        key, "_acc",
+        some(F.col("d.data_sources.tables"), _TABLE).alias("tables"),
+        some(F.col("d.data_sources.metric_views"), _TABLE).alias("views"),
+        _text(F.col("d.description")).alias("about"),
+        F.aggregate(
             some(F.col("d.instructions.text_instructions"), "STRUCT<content: STRING>"), F.lit(""), lambda acc, t: F.concat(acc, _joined(t["content"], ""))
-        ),
-    )
-    d = _with(d, columns=F.flatten("shown"))
-    d = _with(d, column_texts=F.transform("columns", lambda c: _text(c["text"])))
-    facts = _with(
-        d,
-        n_tables=F.size("tables"),
-        n_views=F.size("views"),
-        described=meaningful(F.col("about"), 30, 5),
-        desc_len=F.length("about"),
-        told_tables=F.size(F.filter("table_texts", lambda t: meaningful(t))),
-        n_cols=F.size("columns"),
-        told_cols=F.size(F.filter("column_texts", lambda t: meaningful(t))),
-        noisy=F.size(F.filter("columns", lambda c: c["name"].rlike(NOISE_NAME))),
-        widest=F.coalesce(F.array_max(F.transform("shown", F.size)), F.lit(0)),
-        n_texts=_count("d.instructions.text_instructions"),
-        joins=_count("d.instructions.join_specs"),
-        examples=_count("d.instructions.example_question_sqls"),
-        unguided=F.size(F.filter(
-            some(F.col("d.instructions.example_question_sqls"), "STRUCT<usage_guidance: STRING>"), lambda x: F.coalesce(x["usage_guidance"], F.lit("")) == ""
-        )),
-        functions=_count("d.instructions.sql_functions"),
-        expressions=_count("d.instructions.sql_snippets.expressions"),
-        measures=_count("d.instructions.sql_snippets.measures"),
-        filters=_count("d.instructions.sql_snippets.filters"),
-        matched=F.size(F.filter("all_columns", lambda c: flag(c["enable_entity_matching"]))),
-        assisted=F.size(F.filter("all_columns", lambda c: flag(c["enable_format_assistance"]) | flag(c["format_assistance_enabled"]))),
-        benchmarks=_count("d.benchmarks.questions"),
+        ).alias("body"),
+        _count("d.instructions.text_instructions").alias("n_texts"),
+        _count("d.instructions.join_specs").alias("joins"),
+        _count("d.instructions.example_question_sqls").alias("examples"),
+        F.size(F.filter(guides, lambda x: F.coalesce(x["usage_guidance"], F.lit("")) == "")).alias("unguided"),
+        _count("d.instructions.sql_functions").alias("functions"),
+        _count("d.instructions.sql_snippets.expressions").alias("expressions"),
+        _count("d.instructions.sql_snippets.measures").alias("measures"),
+        _count("d.instructions.sql_snippets.filters").alias("filters"),
+        _count("d.benchmarks.questions").alias("benchmarks"),
     )
+    counts = table_counts_column(_plain_texts(F.col("tables")), F.col("views"), PLACEHOLDERS + VAGUE_TEXTS, NOISE_NAME)
+    d = d.select("*", F.size("tables").alias("n_tables"), F.size("views").alias("n_views"), counts.alias("_n")).drop("tables", "views")
+    facts = _with(d.select("*", "_n.*"), described=meaningful(F.col("about"), 30, 5), desc_len=F.length("about"))
     c = F.col
     sources = c("n_tables") + c("n_views")
     no_tables = F.when(c("n_views") > 0, "pass").otherwise("fail")
