@@ -1,6 +1,7 @@
 """Catalog, lineage, governance and configuration queries."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -259,37 +260,52 @@ _RULES = ["", "Short", "Always report revenue in dollars and ignore cancelled or
 
 
 def _tables(rows, live: bool):
-    """doc_id -> array of table structs; the live form lists them backwards with other key orders."""
+    """doc_id -> array of the JSON texts of tables; the live form lists them backwards with other key orders."""
     # Lines are gathered as they are and become tables afterwards: the shuffle and its sort hold no texts.
     raw = ["l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
     gathered = rows.groupBy("doc_id", "o_custkey", "o_orderstatus", "o_orderpriority").agg(F.collect_list(F.struct(*raw)).alias("_l"))
     items = F.sort_array(F.transform("_l", lambda line: _table_item(line, live)), asc=not live)
-    return gathered.withColumn("_l", items).withColumn("tables", F.col("_l.t"))
+    return gathered.withColumn("tables", F.transform(items, lambda item: _table_text(item, live)))
 
 
 def _table_item(line, live: bool):
-    """struct(l_linenumber, l_partkey, t): a line with its table struct."""
+    """A line with what its table says, in the order in which tables are listed."""
     part = line["l_partkey"].cast("string")
     traits = [line[x].cast("string") for x in ("l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")]
-    name = F.concat_ws("_", F.lit("tbl"), part, *traits)
-    told = F.when(line["l_returnflag"] == "N", F.concat(F.lit("Sales of part "), part, F.lit(" by day"))).when(
-        line["l_returnflag"] == "A", F.lit("table")
+    told = F.when(line["l_returnflag"] == "N", F.concat(F.lit('"Sales of part '), part, F.lit(' by day"'))).when(
+        line["l_returnflag"] == "A", F.lit('"table"')
     )
-
-    def column(n, text=None, **flags):
-        fields = [F.lit(n).alias("column_name"), (F.lit(text) if text is None or isinstance(text, str) else text).cast("string").alias("description")]
-        for flag in ("exclude", "enable_entity_matching"):
-            fields.append(F.coalesce(flags.get(flag, F.lit(False)), F.lit(False)).alias(flag))
-        return F.struct(*(reversed(fields) if live else fields))
-
-    total = F.when(line["l_linestatus"] == "O", F.lit("Total value of the order")).otherwise(F.lit("number"))
-    columns = F.array(
-        column("order_total", total), column("etl_batch"), column("load_key", exclude=line["l_discount"] >= 0.05),
-        column("region", "Sales region name", enable_entity_matching=line["l_quantity"] > 48), column("Status"),
-    ).alias("columns")
-    configs = F.array(column("status", F.when(line["l_linenumber"] == 1, F.lit("Status of the shipped line")))).alias("column_configs")
-    fields = [name.alias("id"), name.alias("name"), told.alias("description"), columns, configs]
-    return F.struct(line["l_linenumber"].alias("l_linenumber"), line["l_partkey"].alias("l_partkey"), F.struct(*(reversed(fields) if live else fields)).alias("t"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    said = [
+        F.concat_ws("_", F.lit("tbl"), part, *traits).alias("name"), told.alias("told"), (~flag(line["l_linestatus"] == "O")).alias("bare"),
+        flag(line["l_discount"] >= 0.05).alias("exclude"), flag(line["l_quantity"] > 48).alias("match"),
+    ]
+    return F.struct(line["l_linenumber"].alias("n"), line["l_partkey"].alias("part"), *([*said[2:], *reversed(said[:2])] if live else said))
+
+
+def _table_text(item, live: bool):
+    def column(n, text=None, exclude=False, enable_entity_matching=False):
+        fields = {"column_name": n} | ({} if text is None else {"description": text})
+        fields |= {"exclude": exclude, "enable_entity_matching": enable_entity_matching}
+        return json.dumps(dict(reversed(fields.items())) if live else fields, separators=(",", ":"))
+
+    either = lambda cond, yes, no: F.when(cond, F.lit(yes)).otherwise(F.lit(no))
+    columns = [
+        F.lit('"columns":['),
+        either(item["bare"], column("order_total", "number"), column("order_total", "Total value of the order")),
+        F.lit(f",{column('etl_batch')},"),
+        either(item["exclude"], column("load_key", exclude=True), column("load_key")),
+        F.lit(","),
+        either(item["match"], column("region", "Sales region name", enable_entity_matching=True), column("region", "Sales region name")),
+        F.lit(f",{column('Status')}]"),
+    ]
+    status = either(item["n"] == 1, column("status", "Status of the shipped line"), column("status"))
+    configs = [F.lit('"column_configs":['), status, F.lit("]")]
+    told = F.coalesce(F.concat(F.lit('"description":'), item["told"], F.lit(",")), F.lit(""))
+    names = [item["name"].alias("id"), item["name"].alias("name")]
+    if live:
+        return F.concat(F.lit("{"), *configs, F.lit(","), *columns, F.lit(","), told, F.substring(F.to_json(F.struct(*reversed(names))), 2, 2**31 - 1))
+    return F.concat(F.rtrim(F.to_json(F.struct(*names)), F.lit("}")), F.lit(","), told, *columns, F.lit(","), *configs, F.lit("}"))
 
 
 def _documents(i, live: bool = False):
@@ -316,20 +332,22 @@ def _documents(i, live: bool = False):
     asked = (F.col("o_custkey") % 25).cast("int")
     if live:
         asked = F.when(k % 15 == 0, asked + 1).otherwise(asked)
-    question = lambda x: F.struct(F.concat(F.lit("q"), F.lpad(x.cast("string"), 3, "0")).alias("id"), F.array(F.lit("How much?")).alias("question"))
+    question = lambda x: F.concat(F.lit('{"id":"q'), F.lpad(x.cast("string"), 3, "0"), F.lit('","question":["How much?"]}'))
     one = lambda cond: items(F.when(cond, 1).otherwise(0), by_id("s"))
     snippets = F.struct(one(F.col("o_orderstatus") == "O").alias("measures"), one(F.col("o_orderstatus") == "F").alias("filters"))
     instructions = [
         texts.alias("text_instructions"), items(joins, by_id("j")).alias("join_specs"),
         items(examples, guided).alias("example_question_sqls"), snippets.alias("sql_snippets"),
     ]
+    listed = lambda texts: F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+    instructions = F.to_json(F.struct(*(reversed(instructions) if live else instructions)))
     top = [
-        about.alias("description"), F.struct("tables").alias("data_sources"),
-        F.struct(*(reversed(instructions) if live else instructions)).alias("instructions"),
-        F.struct(items(asked, question).alias("questions")).alias("benchmarks"),
+        F.concat(F.lit('"description":"'), about, F.lit('"')), F.concat(F.lit('"data_sources":{"tables":'), listed("tables"), F.lit("}")),
+        F.concat(F.lit('"instructions":'), instructions), F.concat(F.lit('"benchmarks":{"questions":'), listed(items(asked, question)), F.lit("}")),
     ]
+    text = F.concat(F.lit("{"), F.concat_ws(",", *(reversed(top) if live else top)), F.lit("}"))
     accuracy = F.when(k % 3 != 0, (k % 21) / 20.0)
-    return d.select("doc_id", F.to_json(F.struct(*(reversed(top) if live else top))).alias("document"), accuracy.alias("accuracy"))
+    return d.select("doc_id", text.alias("document"), accuracy.alias("accuracy"))
 
 
 def _grade(ok: str, warn: str = "false") -> str:
