@@ -9,9 +9,12 @@ from auditframe.functions.storage import written
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
-    """Every (u, v) with ``m``, the smallest of u and its v. Minima are combined before the shuffle, and a hot u splits in the join."""
+    """Every (u, v) with ``m``, the smallest of u and its v. Minima are combined before the shuffle, and a hot u splits in the join.
+
+    Edges of few different nodes take far less room in their files than in memory, so Spark must not broadcast them by that size.
+    """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least, "u")
+    return edges.hint("merge").join(least, "u")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -134,8 +134,9 @@ def near_links(fps: DataFrame, most: int = 3) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     # The half that the key does not hold: the low half for keys of the high one.
     other = "if(key >= shiftleft(32L, 32), fp & 4294967295L, shiftrightunsigned(fp, 32))"
+    # Spark sizes an explode by its input, 64 times too low, and would broadcast the keys of up to a million documents.
     buckets = (
-        rows.join(shared, "key")
+        rows.hint("merge").join(shared, "key")
         .withColumn("cut", F.explode(F.expr(f"if(n <= {CROWDED}, array(-1L), {_keys(f'({other})', 16)})")))
         .groupBy("key", "cut")
         .agg(F.collect_list("fp").alias("fps"))
@@ -151,14 +152,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with one fingerprint collapse before the join, so exact copies cost
     nothing there. Null ids get a component like others; it has the smallest
     id that is not null, or null where there is none. Repeated rows stay.
+    Written tables are sized by their files, a fraction of their rows in
+    memory, so the joins are by merge and nothing goes through the driver.
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
     roots = components(near_links(distinct, most), "a", "b")
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    placed = distinct.hint("merge").join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "simhash-roots")
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(placed.join(named, "root").select("fp", "component_id"), "fp").select("id", "text_hash", "fp", "component_id")
+    named = placed.hint("merge").join(named, "root").select("fp", "component_id")
+    return rows.hint("merge").join(named, "fp").select("id", "text_hash", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ from odd import ODD
 from pyspark.sql import functions as F
 
 from auditframe.llm import simhash
-from auditframe.llm.components import components
+from auditframe.llm.components import _nearest, components
 
 
 def reference_fingerprint(text):
@@ -126,3 +126,14 @@ def test_query_against_brute_force(spark):
     fps = [reference_fingerprint(text[r.doc_id]) for r in rows]
     assert [r.fingerprint for r in rows] == [f"{f:016x}" for f in fps]
     assert [r.component_id for r in rows] == brute_groups(fps, [r.doc_id for r in rows])
+
+
+def test_small_tables_are_not_broadcast(spark, docs_of):
+    """Exploded keys and written tables look small to Spark; their joins must not go through the driver."""
+    docs = docs_of([f"word{i % 5} and some more words" for i in range(40)])
+    fps = simhash.fingerprints(docs).select("fp").distinct()
+    for df in (simhash.near_links(fps), simhash.near_groups(docs)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    edges = spark.range(50).selectExpr("id + 1 AS u", "id AS v")
+    assert "Broadcast" not in _nearest(edges)._jdf.queryExecution().executedPlan().toString()
