@@ -38,7 +38,8 @@ def configuration(document: Column) -> Column:
     one of the known keys is a configuration itself. Empty objects are none.
     """
     filled = lambda c: F.when(F.size(F.json_object_keys(c)) > 0, c)
-    inside = [filled(F.get_json_object(document, f"$.{name}")) for name in WRAPPERS]
+    # A text without the letters of a wrapper's name, plain or escaped, has no such field and is not parsed for it.
+    inside = [F.when(document.contains(name) | document.contains("\\u"), filled(F.get_json_object(document, f"$.{name}"))) for name in WRAPPERS]
     known = F.arrays_overlap(F.json_object_keys(document), F.array(*[F.lit(k) for k in DOCUMENT_KEYS]))
     return F.coalesce(*inside, F.when(known, document))
 
@@ -73,8 +74,8 @@ def _leaves(root, loose_quotes: bool) -> dict[str, str]:
     return found
 
 
-def parts(text: str | None) -> tuple[dict[str, str] | None, dict[str, str] | None]:
-    """Leaves of a configuration without its benchmark block, and of that block; None for what cannot be read.
+def _blocks(text: str | None) -> tuple[dict | None, dict | None]:
+    """A configuration without its benchmark block, and that block; None for what cannot be read.
 
     Keys of the top level that begin with an underscore are internal. A block
     without questions equals one with an empty list; questions that are no
@@ -88,11 +89,71 @@ def parts(text: str | None) -> tuple[dict[str, str] | None, dict[str, str] | Non
         return None, None
     visible = {"version": DEFAULT_VERSION, **{k: v for k, v in found.items() if k[:1] != "_"}}
     block = visible.pop("benchmarks", None)
-    config = _leaves(visible, True)
     if block is not None and not isinstance(block, dict):
-        return config, None
+        return visible, None
     block = {"questions": [], **{k: v for k, v in (block or {}).items() if k != "questions" or v is not None}}
-    return config, _leaves(block, False) if isinstance(block["questions"], list) else None
+    return visible, block if isinstance(block["questions"], list) else None
+
+
+def parts(text: str | None) -> tuple[dict[str, str] | None, dict[str, str] | None]:
+    """Leaves of both blocks of a configuration; None for what cannot be read."""
+    return tuple(None if block is None else _leaves(block, loose) for block, loose in zip(_blocks(text), (True, False)))
+
+
+# Levels that a normal form may have, far below what the writer of JSON can nest; what goes deeper is compared by its leaves.
+DEEP = 200
+# Stands before the ids of a list whose loosened ids say less than they do; texts that begin with it get one more.
+MARK = "\0"
+_written = json.JSONEncoder(sort_keys=True, ensure_ascii=False, check_circular=False).encode
+
+
+def _settle(root: dict, loose_quotes: bool, plain: bool) -> bool:
+    """Bring a block into a normal form, in place: two forms are equal exactly where the leaves are. False where it is too deep.
+
+    Lists of texts under TEXT_LIST_KEYS become one text, lists whose elements
+    all have an ``id`` are sorted by it, texts lose loose quotes. ``plain``
+    says that no text of the block holds a quote or MARK.
+    """
+
+    def text(t: str) -> str:
+        t = EDGE_QUOTE.sub("", t) if loose_quotes and "'" in t else t
+        return MARK + t if t[:1] == MARK else t
+
+    def entries(node: dict | list, items, key: str | None = None) -> None:
+        for at, x in items:
+            kind = type(x)
+            if kind is str:
+                if not plain:
+                    node[at] = text(x)
+            elif kind is dict:
+                dicts.append(x)
+            elif kind is list and x:
+                own = at if key is None else key
+                if own in TEXT_LIST_KEYS and all(type(y) is str for y in x):
+                    node[at] = text("".join(x))
+                else:
+                    lists.append((own, x))
+
+    dicts, lists = [root], []
+    for _ in range(DEEP):
+        if not dicts and not lists:
+            return True
+        level, level_lists, dicts, lists = dicts, lists, [], []
+        for node in level:
+            entries(node, node.items())
+        for key, node in level_lists:
+            ids = []
+            if all(type(x) is dict and type(x.get("id")) is str for x in node):
+                node.sort(key=_id)
+                if loose_quotes and not plain and any("'" in x["id"] for x in node):
+                    ids = [MARK, *[x["id"] for x in node]]
+            entries(node, enumerate(node), key)
+            node[:0] = ids
+    return False
+
+
+def _id(node: dict) -> str:
+    return node["id"]
 
 
 def fingerprints_column(document: Column) -> Column:
@@ -110,14 +171,19 @@ def fingerprints_column(document: Column) -> Column:
 def leaves_column(document: Column) -> Column:
     """struct(config, benchmarks): digests of both parts that are equal exactly where the leaves are; NULL for what cannot be read."""
 
-    def digest(leaves: dict[str, str] | None) -> bytes | None:
-        if leaves is None:
-            return None
-        # Lone surrogates keep a form of their own, so that different leaves never share a text.
-        return hashlib.sha256(json.dumps(leaves, sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")).digest()
+    # Lone surrogates keep a form of their own, so that different leaves never share a text.
+    digest = lambda form: hashlib.sha256(_written(form).encode("utf-8", "surrogatepass")).digest()
+
+    def one(text: str | None) -> list[bytes | None]:
+        plain = text is None or "'" not in text and "\\u" not in text
+        blocks = _blocks(text)
+        settled = [block is None or _settle(block, loose, plain) for block, loose in zip(blocks, (True, False))]
+        if not all(settled):
+            blocks = [[MARK, leaves] if not ok else block for ok, leaves, block in zip(settled, parts(text), blocks)]
+        return [None if block is None else digest(block) for block in blocks]
 
     def both(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([[digest(x) for x in parts(t)] for t in texts], columns=["config", "benchmarks"], dtype="object")
+        return pd.DataFrame([one(t) for t in texts], columns=["config", "benchmarks"], dtype="object")
 
     return F.pandas_udf(both, "config BINARY, benchmarks BINARY")(configuration(document))
 

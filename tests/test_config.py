@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from auditframe.functions import config
 from auditframe.functions.config import fingerprints_column
 from auditframe.operators import catalog
 
@@ -88,3 +89,35 @@ def test_deep_and_wide(spark):
 def test_nothing_to_read(spark, document):
     frame = spark.createDataFrame([(1, document), (2, None)], "doc_id int, document string")
     assert [tuple(r)[2:] for r in catalog.fingerprints(frame).collect()] == [(None, None)] * 2
+
+
+def test_digests_are_equal_where_the_leaves_are(spark):
+    """Drift digests against the leaves, with quoted ids, marks, nested lists and texts under text keys at several depths."""
+    rng = random.Random(8)
+
+    def node(depth):
+        kind = rng.randrange(10 if depth else 5)
+        if kind < 5:
+            return rng.choice([None, True, 1, 1.0, "a", "'a'", "a'", "\0", "\0\0", "\ud83d'", "1", "", [], {}, ["a", "'b"], ["a'b"]])
+        if kind < 8:
+            return {k: node(depth - 1) for k in rng.sample(["a", "content", "sql", "id", "b"], rng.randrange(1, 4))}
+        if kind == 8:
+            return [{"id": rng.choice(["x", "'x'", "x'", "\0", "y"]), "v": node(depth - 1)} for _ in range(rng.randrange(1, 4))]
+        return [node(depth - 1) for _ in range(rng.randrange(1, 3))]
+
+    docs = [{"config": node(3)} | ({"benchmarks": {"questions": node(2)}} if rng.random() < 0.5 else {}) for _ in range(1500)]
+    docs += [{"config": [["a", "b"], ["c"]], "content": [["a", "b"], "c"]}, {"config": [["ab"], ["c"]], "content": ["ab", "c"]}]
+    deep = lambda n, end: json.loads('{"config": ' + '{"a":' * n + json.dumps(end) + "}" * n + "}")
+    docs += [deep(n, end) for n in (150, 198, 199, 200, 250) for end in ("a", "'a'", ["a"], {"content": ["a", "b"]}, {"content": "ab"}, [{"id": "2"}, {"id": "1"}], [{"id": "1"}, {"id": "2"}])]
+    texts = [json.dumps(d) for d in docs] + ['{"config": 1', '{"config": 1, "benchmarks": 3}', "3"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, d string")
+    got = {r.i: r.f for r in frame.select("i", config.leaves_column(frame.d).alias("f")).collect()}
+    for part in (0, 1):
+        forms, digests = {}, {}
+        for i, text in enumerate(texts):
+            leaves = config.parts(text if i < len(docs) else None if text == "3" else text)[part]
+            form, digest = None if leaves is None else json.dumps(leaves, sort_keys=True), got[i][part]
+            assert (form is None) == (digest is None), text
+            assert forms.setdefault(form, digest) == digest, text
+            assert digests.setdefault(digest, form) == form, text
+        assert len(forms) < len(texts)
