@@ -117,3 +117,18 @@ def test_texts_are_read_once_for_the_index(spark):
     _, sets = minhash_index._sets(spark.createDataFrame([(1, "some text"), (2, "")], "id INT, text STRING"), F.col("id"), F.col("text"), fx.shingles)
     assert sets.count() == 1
     assert sets._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_pairs_that_share_a_prefix_do_not_move(spark):
+    rng = random.Random(5)
+    pool = [f"w{k}" for k in range(240)]
+    texts = [" ".join(rng.sample(pool, 120)) for _ in range(500)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = (spark.createDataFrame(list(enumerate(x)), "id INT, text STRING") for x in (texts[:250], texts[249:]))
+        df = similarity.best_jaccard(left, right, 0.85, "id", "id", SPLIT)
+        assert [tuple(r) for r in df.collect()] == [(249, 0, 1.0)]
+        # Nearly all pairs share one of their rarest tokens, and each was a row of a shuffle.
+        assert moved(df) < 1e6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
