@@ -132,3 +132,16 @@ def test_pairs_that_share_a_prefix_do_not_move(spark):
         assert moved(df) < 1e6
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_vectors_are_not_repeated_for_open_cells(spark):
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=32)]) for k in range(300)], "id INT, embedding ARRAY<DOUBLE>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = similarity.best_cosine(frame, frame, 0.2, "id", "id")
+        assert all(r.id == r.match for r in df.collect())
+        # No cell closes: each vector moved once for each cell.
+        assert moved(df) < 500_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
